@@ -90,20 +90,20 @@ def assemble_features(
     metadata: DataFrame,
     top_k: int = TOP_K,
 ) -> DataFrame:
-    """All four blocks at their offsets. ``visitors`` with a ``recency`` column selects the weighted users block."""
+    """All four blocks at their offsets. ``visitors`` with a ``recency`` column selects the weighted users block.
 
-    def meta(field: str) -> Column:
-        return metadata.select(F.col(field).alias("v")).scalar()
-
-    users_at = meta("feature_offsets.collaborative")
+    The one metadata row is read first: block sizes are part of the plan, as they would be from a metadata file.
+    """
+    meta = metadata.first()
+    at = meta.feature_offsets
     if "recency" in visitors.columns:
-        users = recency_weighted_users(visitors, meta("num_users"), users_at)
+        users = recency_weighted_users(visitors, meta.num_users, at.collaborative)
     else:
-        users = multihot_topk_users(visitors, meta("num_users"), users_at, top_k)
+        users = multihot_topk_users(visitors, meta.num_users, at.collaborative, top_k)
     blocks = [
-        onehot_block(heads, "catname", meta("num_categories"), meta("feature_offsets.category")),
-        onehot_block(heads, "region", meta("num_regions"), meta("feature_offsets.region")),
-        multihot_topk_hours(times, meta("feature_offsets.temporal"), top_k),
+        onehot_block(heads, "catname", meta.num_categories, at.category),
+        onehot_block(heads, "region", meta.num_regions, at.region),
+        multihot_topk_hours(times, at.temporal, top_k),
         users,
     ]
     long_form = blocks[0]

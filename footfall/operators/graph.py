@@ -122,7 +122,6 @@ def attach_neighbors(profile: DataFrame, both: DataFrame, forward: DataFrame, si
     for name, ranked in (("neighbors", both), ("forward_neighbors", forward)):
         known = lists(ranked, name).join(places, "pid", "left_semi")
         joined = joined.join(known, ["pid", "segment"], "full_outer")
-    empty = F.array().cast("array<int>")
     listed = [f.name for f in joined.schema if f.dataType.typeName() == "array"]
-    filled = {n: F.coalesce(n, empty.cast(joined.schema[n].dataType)) for n in listed}
+    filled = {n: F.coalesce(n, F.array().cast(joined.schema[n].dataType)) for n in listed}
     return joined.withColumns(filled)

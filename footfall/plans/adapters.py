@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footfall.functions.geo import plus_code_region
 from footfall.operators import cleaning, encoding, quantizer, sequences, splits
 from footfall.operators.ordering import integer_block
+from footfall.session import staged
 
 ORDERS_PER_BLOCK = 100_000
 
@@ -114,13 +115,26 @@ def visits_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
     return cleaning.frequency_filter(clean_li(spark, sf, recency), LI_PLACE_MIN, LI_USER_MIN)
 
 
+def staged_visits_li(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a written table, for queries that read it more than once."""
+    return staged(visits_li(spark, sf), "visits")
+
+
 def encoded_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
-    visits = visits_li(spark, sf, recency)
+    visits = staged(visits_li(spark, sf, recency), "visits")
     return encoding.apply_dictionary(visits, encoding.build_dictionaries(visits))
 
 
+def staged_encoded_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
+    return staged(encoded_li(spark, sf, recency), "encoded-visits")
+
+
 def split_li(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return splits.split_data(clean_li(spark, sf))
+    """Train and test rows, read back from one written table: every example set reads both."""
+    train, test = splits.split_data(staged(clean_li(spark, sf), "clean"))
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    split = staged(both, "split", partition_by="part")
+    return split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
 
 
 def sequences_li(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,10 +165,10 @@ def codewords(spark: SparkSession, sf: str) -> DataFrame:
         part = rows.groupBy((F.col("vec_id") % CODEWORDS_PER_LEVEL).cast("int").alias("code")).agg(
             F.min_by(F.col("embedding").cast("array<double>"), draw).alias("word")
         )
+        # The scale is a column: a second lambda parameter would be the element's index.
+        scaled = F.transform("word", lambda x: x * F.col("scale"))
         parts.append(
-            part.select(
-                F.lit(level).alias("level"), "code", F.transform("word", lambda x, s=scale: x * F.lit(s)).alias("centroid")
-            )
+            part.withColumn("scale", F.lit(scale)).select(F.lit(level).alias("level"), "code", scaled.alias("centroid"))
         )
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -163,16 +177,22 @@ def encoded_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return quantizer.encode_places(vectors(spark, sf), codewords(spark, sf))
 
 
+def staged_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """``pid, codes`` of the embeddings as a written codebook."""
+    return staged(encoded_vectors(spark, sf).select("pid", "codes"), "codes")
+
+
 def codebook(spark: SparkSession, sf: str) -> DataFrame:
     """The codebook of the embeddings with category and region attached."""
     info = vectors(spark, sf).select("pid", "cat_id", "catname", "region_id", "region")
     label = F.concat("catname", F.lit(" @ Region "), F.col("region_id").cast("string"))
-    return encoded_vectors(spark, sf).join(info, "pid").withColumn("cat_and_region", label)
+    rows = encoded_vectors(spark, sf).join(info, "pid").withColumn("cat_and_region", label)
+    return staged(rows, "codebook")
 
 
 def place_codebook(spark: SparkSession, sf: str) -> DataFrame:
     """Codes for every part: each takes those of the embedding its key falls on."""
-    codes = encoded_vectors(spark, sf).select(F.col("pid").alias("_vec"), "codes")
+    codes = staged_codes(spark, sf).select(F.col("pid").alias("_vec"), "codes")
     total = table(spark, sf, "embeddings").select(F.count(F.lit(1)).alias("n")).scalar()
     places = table(spark, sf, "part").select(F.col("p_partkey").alias("pid"))
     return places.withColumn("_vec", F.pmod("pid", total) + 1).join(codes, "_vec").select("pid", "codes")

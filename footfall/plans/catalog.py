@@ -28,7 +28,7 @@ from footfall.operators import (
     splits,
 )
 from footfall.plans import adapters as A
-from footfall.session import scratch_folder
+from footfall.session import scratch_folder, staged
 from footfall.sources import checkins, codebooks, instructions, tables
 
 CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,7 +154,7 @@ def append_new_runs(spark, sf):
 
 @query
 def feature_metadata(spark, sf):
-    m = features.feature_metadata(A.visits_li(spark, sf))
+    m = features.feature_metadata(A.staged_visits_li(spark, sf))
     offsets = [F.col(f"feature_offsets.{b}").alias(f"{b}_offset") for b in ("category", "region", "temporal", "collaborative")]
     return m.select("num_pois", "num_categories", "num_regions", "num_users", "num_time_bins", "total_dim", *offsets)
 
@@ -233,7 +233,7 @@ def clean_checkins(spark, sf):
 
 @query
 def build_dictionary(spark, sf):
-    visits = A.visits_li(spark, sf)
+    visits = A.staged_visits_li(spark, sf)
     parts = [
         d.select(F.lit(name).alias("dictionary"), F.col("original").cast("string").alias("original"), "mapped")
         for name, d in encoding.build_dictionaries(visits).items()
@@ -248,7 +248,7 @@ def apply_dictionary(spark, sf):
 
 @query
 def reverse_dictionary(spark, sf):
-    visits = A.visits_li(spark, sf)
+    visits = A.staged_visits_li(spark, sf)
     names = encoding.build_dictionary(visits, "catname")
     heads = encoding.apply_dictionary(profiles.place_heads(visits), {"catname": names})
     return encoding.reverse_dictionary(heads, "catname", names, "category").select("pid", "catname", "category")
@@ -259,17 +259,17 @@ def reverse_dictionary(spark, sf):
 
 @query
 def user_place_sequence(spark, sf):
-    return graph.user_place_sequence(A.visits_li(spark, sf)).select("uid", "segment", joined("pids"), joined("catnames"))
+    return graph.user_place_sequence(A.staged_visits_li(spark, sf)).select("uid", "segment", joined("pids"), joined("catnames"))
 
 
 @query
 def forward_neighbors(spark, sf):
-    return graph.forward_neighbors(A.visits_li(spark, sf))
+    return graph.forward_neighbors(A.staged_visits_li(spark, sf))
 
 
 @query
 def neighbors(spark, sf):
-    return graph.neighbors(A.visits_li(spark, sf))
+    return graph.neighbors(A.staged_visits_li(spark, sf))
 
 
 @query
@@ -280,21 +280,21 @@ def forward_neighbors_events(spark, sf):
 
 @query
 def place_profile(spark, sf):
-    rows = profiles.place_profile(A.visits_li(spark, sf))
+    rows = profiles.place_profile(A.staged_visits_li(spark, sf))
     times = F.array_join(F.transform("times", lambda t: F.date_format(t, TIME_FORMAT)), ",").alias("times")
     return rows.select("pid", "segment", "catname", "region", joined("uids"), times)
 
 
 @query
 def attach_neighbors(spark, sf):
-    visits = A.visits_li(spark, sf)
+    visits = A.staged_visits_li(spark, sf)
     full = graph.attach_neighbors(profiles.place_profile(visits), graph.neighbors(visits), graph.forward_neighbors(visits))
     return full.select("pid", "segment", "catname", joined("neighbors"), joined("forward_neighbors"))
 
 
 @query
 def latest_visit_per_user(spark, sf):
-    return profiles.latest_visit_per_user(A.visits_li(spark, sf, recency=True)).select("pid", "position", "uid", "recency")
+    return profiles.latest_visit_per_user(staged(A.visits_li(spark, sf, recency=True), "visits")).select("pid", "position", "uid", "recency")
 
 
 # ---- features ----
@@ -306,33 +306,33 @@ def _shown(long_form: DataFrame) -> DataFrame:
 
 @query
 def onehot_block(spark, sf):
-    visits = A.encoded_li(spark, sf)
+    visits = A.staged_encoded_li(spark, sf)
     dim = visits.select(F.count_distinct("catname").alias("n")).scalar()
     return _shown(features.onehot_block(profiles.place_heads(visits), "catname", dim))
 
 
 @query
 def multihot_topk_users(spark, sf):
-    visits = A.encoded_li(spark, sf)
+    visits = A.staged_encoded_li(spark, sf)
     dim = visits.select(F.count_distinct("uid").alias("n")).scalar()
     return _shown(features.multihot_topk_users(profiles.place_users(visits), dim))
 
 
 @query
 def multihot_topk_hours(spark, sf):
-    return _shown(features.multihot_topk_hours(profiles.place_times(A.encoded_li(spark, sf))))
+    return _shown(features.multihot_topk_hours(profiles.place_times(A.staged_encoded_li(spark, sf))))
 
 
 @query
 def recency_weighted_users(spark, sf):
-    visits = A.encoded_li(spark, sf, recency=True)
+    visits = A.staged_encoded_li(spark, sf, recency=True)
     dim = visits.select(F.count_distinct("uid").alias("n")).scalar()
     return _shown(features.recency_weighted_users(profiles.latest_visit_per_user(visits), dim))
 
 
 @query
 def assemble_features(spark, sf):
-    visits = A.encoded_li(spark, sf)
+    visits = A.staged_encoded_li(spark, sf)
     return _shown(
         features.assemble_features(
             profiles.place_heads(visits), profiles.place_times(visits), profiles.place_users(visits), features.feature_metadata(visits)
@@ -342,7 +342,7 @@ def assemble_features(spark, sf):
 
 @query
 def pid_to_index(spark, sf):
-    return features.pid_to_index(profiles.place_heads(A.visits_li(spark, sf)))
+    return features.pid_to_index(profiles.place_heads(A.staged_visits_li(spark, sf)))
 
 
 # ---- split and sequences ----
@@ -350,7 +350,7 @@ def pid_to_index(spark, sf):
 
 @query
 def time_split(spark, sf):
-    return splits.time_split(A.clean_li(spark, sf)).select("row_id", F.col("is_train").cast("int").alias("is_train"))
+    return splits.time_split(staged(A.clean_li(spark, sf), "clean")).select("row_id", F.col("is_train").cast("int").alias("is_train"))
 
 
 @query
@@ -513,7 +513,7 @@ def encode_places(spark, sf):
 
 
 def _tokens(spark, sf):
-    return prompts.sequence_to_sids(A.sequences_li(spark, sf), A.place_codebook(spark, sf))
+    return prompts.sequence_to_sids(staged(A.sequences_li(spark, sf), "sequences"), A.place_codebook(spark, sf))
 
 
 @query
@@ -576,7 +576,7 @@ def collect_users_sids(spark, sf):
 @query
 def filter_cold_prompts(spark, sf):
     """Test prompts against prompts of the users whose digest is low, so that both reasons to drop one occur."""
-    both = _completions(spark, sf)
+    both = staged(_completions(spark, sf), "prompts")
     train = both.where((F.col("split") == "train") & (A.hex_digit(F.col("uid"), 1) < "8"))
     test = both.where("split = 'test'")
     kept = prompts.filter_cold_prompts(test, train, prompts.SEQUENCE_KEY)
@@ -604,7 +604,7 @@ def _predicted(spark, sf):
 
 def _answers(spark, sf):
     """``gold`` and the ``answer`` text after the hint, with the answer blank where no successor is known."""
-    sids = A.place_codebook(spark, sf).select("pid", sid_text(F.col("codes")).alias("sid"))
+    sids = staged(A.place_codebook(spark, sf).select("pid", sid_text(F.col("codes")).alias("sid")), "sids")
     gold = sids.select(F.col("pid").alias("target"), F.col("sid").alias("gold"))
     guess = sids.select(F.col("pid").alias("predicted"), F.col("sid").alias("guess"))
     rows = _predicted(spark, sf).select(*PREDICTION_KEY, "target", "predicted")
@@ -664,7 +664,7 @@ def cross_eval_matrix(spark, sf):
     train, test = A.split_li(spark, sf)
     group = F.when(F.col("uid") % 2 == 0, names[0]).otherwise(names[1])
     examples = sequences.test_examples(test).withColumn("test_dataset", group)
-    sids = A.place_codebook(spark, sf).select("pid", sid_text(F.col("codes")).alias("sid"))
+    sids = staged(A.place_codebook(spark, sf).select("pid", sid_text(F.col("codes")).alias("sid")), "sids")
     parts = []
     for i, name in enumerate(names):
         edges = graph.forward_edges(train.where(F.col("uid") % 2 == i))

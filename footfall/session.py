@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Every timestamp in the library is wall-clock time held as TIMESTAMP_NTZ, so the session zone has to be UTC.
 SESSION_CONF = {
@@ -43,3 +43,17 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = tempfile.mkdtemp(prefix="footfall-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Writes ``df`` to a fresh scratch folder and reads it back.
+
+    For a table that several branches of a plan read: it is computed once, later scans prune its columns, its lineage
+    ends there, and a lost executor costs a re-read instead of the whole computation.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
