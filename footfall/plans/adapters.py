@@ -46,7 +46,14 @@ def checkins_ev(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_checkins_ev(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as text rows, with unusable numbers, border coordinates, bad times and other zones mixed in."""
+    """The events as text rows, with unusable numbers, border coordinates, bad times and other zones mixed in.
+
+    Written first, as raw rows are read from files: making the odd values is not part of cleaning them.
+    """
+    return staged(_raw_rows(spark, sf), "raw")
+
+
+def _raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     event = F.col("event_id")
     zone = F.col("user_id") % 4
