@@ -22,17 +22,22 @@ def _digit(index: Column) -> Column:
 
 
 def _cell_index(degrees: Column, origin: float, units_per_degree: int) -> Column:
-    units = F.round((degrees + F.lit(origin)) * F.lit(float(units_per_degree)), 6)
-    return F.floor(units / F.lit(units_per_degree * CELL_DEGREES))
+    units = (degrees + F.lit(origin)) * F.lit(float(units_per_degree))
+    # Whole units after rounding to six decimals, without the decimal arithmetic of ``round``: only a value within
+    # half a millionth of a whole number is moved to it.
+    nearest = F.rint(units)
+    whole = F.when(F.abs(units - nearest) < 5e-7, nearest).otherwise(F.floor(units).cast("double"))
+    return F.floor(whole / F.lit(units_per_degree * CELL_DEGREES))
 
 
 def plus_code_region(lat: Column, lon: Column) -> Column:
     """First six characters of the Open Location Code; null when a coordinate is null."""
     row = F.least(_cell_index(lat, 90.0, LAT_UNITS_PER_DEGREE), F.lit(LAT_CELLS - 1))
     col = F.pmod(_cell_index(lon, 180.0, LON_UNITS_PER_DEGREE), F.lit(LON_CELLS))
-    return F.concat(
+    code = F.concat(
         *(_digit(F.pmod(F.floor(axis / F.lit(step)), F.lit(20))) for step in (400, 20, 1) for axis in (row, col))
     )
+    return F.when(lat.isNotNull() & lon.isNotNull(), code)  # ``least`` would skip a null
 
 
 def _letter(code: Column, position: int) -> Column:

@@ -17,11 +17,13 @@ def place_heads(df: DataFrame) -> DataFrame:
     )
 
 
+def first_visits(df: DataFrame, column: str) -> DataFrame:
+    """``pid, <column>, first_row, first_block``: distinct visitors (``uid``) or times (``time``), not yet numbered."""
+    return df.groupBy("pid", column).agg(F.min("row_id").alias("first_row"), F.min("row_block").alias("first_block"))
+
+
 def _first_seen(df: DataFrame, column: str) -> DataFrame:
-    distinct = df.groupBy("pid", column).agg(
-        F.min("row_id").alias("first_row"), F.min("row_block").alias("first_block")
-    )
-    return position_in_group(distinct, ["pid"], [F.col("first_row")], F.col("first_block"))
+    return position_in_group(first_visits(df, column), ["pid"], [F.col("first_row")], F.col("first_block"))
 
 
 def place_users(df: DataFrame) -> DataFrame:
@@ -34,18 +36,19 @@ def place_times(df: DataFrame) -> DataFrame:
     return _first_seen(df, "time").select("pid", "position", "time", "first_row")
 
 
-def latest_visit_per_user(df: DataFrame) -> DataFrame:
-    """``pid, position, uid, recency``: the smallest recency of each visitor, most recent visitors first.
-
-    A visitor whose visits all lack a recency goes last and reads 100.
-    """
+def visitor_recency(df: DataFrame) -> DataFrame:
+    """``pid, uid, recency, least, first_row, first_block``: the smallest recency of each visitor, 100 where all are missing."""
     best = df.groupBy("pid", "uid").agg(
         F.min("recency").alias("least"), F.min("row_id").alias("first_row"), F.min("row_block").alias("first_block")
     )
+    return best.withColumn("recency", F.coalesce("least", F.lit(MISSING_RECENCY)).cast("int"))
+
+
+def latest_visit_per_user(df: DataFrame) -> DataFrame:
+    """``pid, position, uid, recency``: most recent visitors first, those without a recency last."""
     block = F.struct(F.coalesce("least", F.lit(2**31 - 1)).alias("r"), F.col("first_block").alias("b"))
-    ordered = position_in_group(best, ["pid"], [F.asc_nulls_last("least"), F.col("first_row")], block)
-    recency = F.coalesce("least", F.lit(MISSING_RECENCY)).cast("int").alias("recency")
-    return ordered.select("pid", "position", "uid", recency)
+    order = [F.asc_nulls_last("least"), F.col("first_row")]
+    return position_in_group(visitor_recency(df), ["pid"], order, block).select("pid", "position", "uid", "recency")
 
 
 def _profile(df: DataFrame, visitors: DataFrame, size: int) -> DataFrame:

@@ -25,10 +25,8 @@ def decode_region(regions: DataFrame, code: str = "region") -> DataFrame:
             "center_lon": F.round(F.col("lon_min") + CELL_DEGREES / 2, 6),
         }
     )
-    return cells.withColumn(
-        "map_url",
-        F.concat(F.lit(MAP_URL), F.format_string("%.3f,%.3f", F.col("center_lat"), F.col("center_lon"))),
-    )
+    point = F.concat(F.lit(MAP_URL), F.format_string("%.3f,%.3f", F.col("center_lat"), F.col("center_lon")))
+    return cells.withColumn("map_url", F.when(F.col("center_lat").isNotNull(), point))
 
 
 def combo_region_lists(top_regions: DataFrame, centers: DataFrame) -> DataFrame:
@@ -64,7 +62,10 @@ def region_pair_distance(lists: DataFrame) -> DataFrame:
 def combo_distance_stats(pairs: DataFrame) -> DataFrame:
     """Mean, extremes, population deviation, nearest and farthest pair per combo; one region alone gives no row."""
     pair = F.struct("region_1", "region_2")
-    near, far = F.struct("km", "region_1", "region_2"), F.struct((-F.col("km")).alias("km"), "region_1", "region_2")
+    # Equal distances differ in their last bits, so ties are settled on rounded kilometres and then by region.
+    rounded = F.round("km", 9).alias("km")
+    near = F.struct(rounded, "region_1", "region_2")
+    far = F.struct((-rounded).alias("km"), "region_1", "region_2")
     stats = pairs.groupBy("combo").agg(
         F.count(F.lit(1)).alias("pairs"),
         F.avg("km").alias("mean_km"),

@@ -216,7 +216,7 @@ def dialogue_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loss_log(spark: SparkSession, sf: str) -> DataFrame:
-    """A loss history per clerk-like run: monthly mean order price, scaled."""
+    """A loss history per order priority: the mean price of each month, scaled."""
     month = F.month("o_orderdate")
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run"), month.alias("epoch")).agg(
         F.round(F.avg("o_totalprice") / 100000.0, 6).alias("eval_loss")

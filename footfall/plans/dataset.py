@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from footfall.functions.seeded import DEFAULT_SEED
 from footfall.operators import cleaning, encoding, features, graph, profiles, sequences, splits
+from footfall.session import staged
 
 
 @dataclass(frozen=True)
@@ -40,24 +41,21 @@ def process_dataset(
     mask_prob: float = 0.1,
     with_recency: bool = False,
     seed: int = DEFAULT_SEED,
-    visits_path: str | None = None,
 ) -> Dataset:
     """Everything up to the feature vectors. ``with_recency`` selects the recency-weighted variant.
 
-    Give ``visits_path`` (a shared folder) for a large input: the encoded visits are then written once and every
-    later table reads them with column pruning, instead of cleaning the raw files again.
+    Clean rows, filtered rows and encoded rows are written once each to the shared scratch folder: every one of them
+    is read several times, and later scans prune columns instead of cleaning the raw files again.
     """
-    clean = cleaning.process_raw_data(raw, poi_min_freq, user_min_freq, with_recency)
-    dictionaries = encoding.build_dictionaries(clean, seed)
-    visits = encoding.apply_dictionary(clean, dictionaries)
-    if visits_path:
-        visits.write.mode("errorifexists").parquet(visits_path)
-        visits = raw.sparkSession.read.parquet(visits_path)
+    clean = staged(cleaning.clean_checkins(raw, with_recency), "clean")
+    kept = staged(cleaning.frequency_filter(clean, poi_min_freq, user_min_freq), "kept")
+    dictionaries = encoding.build_dictionaries(kept, seed)
+    visits = staged(encoding.apply_dictionary(kept, dictionaries), "visits")
 
     if with_recency:
-        who, profile = profiles.latest_visit_per_user(visits), profiles.place_profile_with_recency(visits)
+        who, profile = profiles.visitor_recency(visits), profiles.place_profile_with_recency(visits)
     else:
-        who, profile = profiles.place_users(visits), profiles.place_profile(visits)
+        who, profile = profiles.first_visits(visits, "uid"), profiles.place_profile(visits)
     profile = graph.attach_neighbors(profile, graph.neighbors(visits), graph.forward_neighbors(visits))
 
     train, test = splits.split_data(visits)
@@ -65,6 +63,6 @@ def process_dataset(
 
     metadata = features.feature_metadata(visits)
     long_features = features.assemble_features(
-        profiles.place_heads(visits), profiles.place_times(visits), who, metadata
+        profiles.place_heads(visits), profiles.first_visits(visits, "time"), who, metadata
     )
     return Dataset(visits, dictionaries, profile, examples, metadata, long_features)

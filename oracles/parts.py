@@ -268,9 +268,9 @@ PARTS: dict[str, str] = {
                    case when t<5 and substr(md5('try|'||split||'|'||uid||'|'||seq_no||'|'||t),1,1) < 'a' then '' else answer end as text
             from answers, range(0,6) r(t)) a
       group by split, uid, seq_no, gold""",
-    "scored": "select *, contains('<a_'||result, gold)::int as hit, 'run-'||(uid%4) as run_name from results",
+    "scored": "select *, contains('<a_'||result, gold)::int as hit, 'run-'||(case when split='val' then uid%3 else uid%4 end) as run_name from results",
     "metrics": """
-      select run_name, avg(hit) filter (split='train') as train_acc, avg(hit) filter (split='val' and run_name<>'run-3') as val_acc,
+      select run_name, avg(hit) filter (split='train') as train_acc, avg(hit) filter (split='val') as val_acc,
              avg(hit) filter (split='test_all') as test_all_acc, avg(hit) filter (split='test') as test_acc
       from scored group by run_name""",
     "losses": """
@@ -327,4 +327,6 @@ def compose(statement: str) -> str:
     visit(statement, ())
     if not ordered:
         return statement
-    return "with " + ",\n".join(f"{name} as ({PARTS[name]})" for name in ordered) + "\n" + statement
+    head = "with recursive " + ",\n".join(f"{name} as ({PARTS[name]})" for name in ordered)
+    own = re.match(r"\s*with (recursive )?", statement)
+    return f"{head},\n{statement[own.end():]}" if own else f"{head}\n{statement}"

@@ -177,10 +177,13 @@ STATEMENTS: dict[str, str] = {
       select 'user' as kind, user as value from mentions where split='train'
       union select 'sid', unnest(sids) from mentions where split='train'""",
     "filter_cold_prompts": """
-      select uid, seq_no, completion from mentions t where split='test'
-        and user in (select user from mentions where split='train' and substr(md5(uid::varchar),1,1) < '8')
-        and not exists (select 1 from (select unnest(t.sids) as s) m
-                        where s not in (select unnest(sids) from mentions where split='train' and substr(md5(uid::varchar),1,1) < '8'))""",
+      with train_sids as (select distinct uid%2 as half, unnest(sids) as s from mentions where split='train'),
+      train_users as (select distinct uid%2 as half, user from mentions where split='train'),
+      cold as (select d.half, t.uid, t.seq_no from (select uid, seq_no, unnest(sids) as s from mentions where split='test') t,
+                      (values (0),(1)) d(half) where (d.half, t.s) not in (select half, s from train_sids))
+      select case half when 0 then 'even' else 'odd' end as train_dataset, uid, seq_no, completion
+      from mentions t join train_users u using (user)
+      where split='test' and (half, uid, seq_no) not in (select half, uid, seq_no from cold)""",
     "variant_matrix": """
       select dataset, model, kind, mode, with_time, mode||'_'||kind||(case when with_time=1 then '' else '_notime' end)||'.json' as file_name
       from (select distinct dataset_name as dataset, run_name as model, 'codebook' as kind, 1 as with_time from named where dataset_name is not null
@@ -259,10 +262,10 @@ STATEMENTS: dict[str, str] = {
       select *, 'https://www.google.com/maps/search/?api=1&query='||printf('%.3f,%.3f',center_lat,center_lon) as map_url from ({_DECODED}) d""",
     "region_pair_distance": "select combo, region_1, region_2, round(km,6) as km from km",
     "combo_distance_stats": """
-      select combo, count(*) as pairs, round(avg(km),6) as mean_km, min(km) as min_km, max(km) as max_km, round(stddev_pop(km),6) as std_km,
-             (list(region_1||'-'||region_2 order by km, region_1, region_2))[1] as nearest,
-             (list(region_1||'-'||region_2 order by km desc, region_1, region_2))[1] as farthest
-      from (select combo, region_1, region_2, round(km,6) as km from km) k group by combo""",
+      select combo, count(*) as pairs, round(avg(km),6) as mean_km, round(min(km),6) as min_km, round(max(km),6) as max_km, round(stddev_pop(km),6) as std_km,
+             (list(region_1||'-'||region_2 order by round(km,9), region_1, region_2))[1] as nearest,
+             (list(region_1||'-'||region_2 order by round(km,9) desc, region_1, region_2))[1] as farthest
+      from km group by combo""",
     "rank_combos_by_compactness": "select combo, round(mean_km,6) as mean_km, rank from compact",
     "first_combo_of_region": """
       select item as region, (list(prefix order by rank))[1] as combo

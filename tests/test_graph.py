@@ -1,0 +1,188 @@
+"""Graph, profile and feature operators against brute force, with blocks and segments small enough to matter."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from footfall.operators import encoding, features, graph, profiles
+from footfall.operators.ordering import position_in_group
+
+SCHEMA = "row_id bigint, row_block bigint, uid int, pid int, catname int, region int, time timestamp_ntz, recency int"
+
+
+def make_rows(n=1500, users=12, places=9, per_block=7, seed=3):
+    """One user and one place hold about a third of the rows; a block holds seven rows."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        uid = 1 if rnd.random() < 0.35 else rnd.randint(1, users)
+        pid = 1 if rnd.random() < 0.35 else rnd.randint(1, places)
+        when = datetime(2020, 1, 1) + timedelta(hours=rnd.randint(0, 300))
+        recency = None if rnd.random() < 0.2 else rnd.randint(0, 5)
+        rows.append((i, i // per_block, uid, pid, rnd.randint(1, 4), rnd.randint(1, 5), when, recency))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return make_rows()
+
+
+@pytest.fixture(scope="module")
+def visits(spark, rows):
+    shuffled = rows[:]
+    random.Random(1).shuffle(shuffled)
+    return spark.createDataFrame(shuffled, SCHEMA).repartition(5).cache()
+
+
+def by_user(rows):
+    seqs = defaultdict(list)
+    for r in sorted(rows):
+        seqs[r[2]].append(r)
+    return dict(sorted(seqs.items()))
+
+
+def brute_neighbors(rows, both):
+    counts = defaultdict(Counter)
+    for seq in by_user(rows).values():
+        for i, r in enumerate(seq):
+            if both and i > 0:
+                counts[r[3]][seq[i - 1][3]] += 1
+            if i + 1 < len(seq):
+                counts[r[3]][seq[i + 1][3]] += 1
+    return {p: [d for d, _ in sorted(c.items(), key=lambda x: -x[1])] for p, c in counts.items()}
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_neighbors(visits, rows, both):
+    ranked = (graph.neighbors if both else graph.forward_neighbors)(visits)
+    got = defaultdict(list)
+    for r in ranked.orderBy("src", "rank").collect():
+        got[r.src].append(r.dst)
+    assert dict(got) == brute_neighbors(rows, both)
+
+
+def test_self_pair_and_single_visit(spark):
+    rows = [(0, 0, 1, 7, 1, 1, datetime(2020, 1, 1), 0), (1, 0, 1, 7, 1, 1, datetime(2020, 1, 1), 0), (2, 0, 2, 8, 1, 1, datetime(2020, 1, 1), 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [tuple(r) for r in graph.forward_neighbors(df).collect()] == [(7, 7, 1, 1)]
+    assert [tuple(r) for r in graph.neighbors(df).collect()] == [(7, 7, 2, 1)]
+    lists = graph.neighbor_lists(df, graph.neighbors(df)).orderBy("pid").collect()
+    assert [(r.pid, r.neighbors) for r in lists] == [(7, [7]), (8, [])]
+
+
+def test_min_freq(visits, rows):
+    counts = Counter()
+    for seq in by_user(rows).values():
+        counts.update((a[3], b[3]) for a, b in zip(seq, seq[1:]))
+    got = {(r.src, r.dst): r.freq for r in graph.forward_neighbors(visits, min_freq=20).collect()}
+    assert got == {k: v for k, v in counts.items() if v >= 20}
+
+
+@pytest.mark.parametrize("size", [10_000, 10])
+def test_user_sequences_come_whole_in_segments(visits, rows, size):
+    got = defaultdict(list)
+    segments = graph.user_place_sequence(visits, size).orderBy("uid", "segment").collect()
+    for r in segments:
+        assert len(r.pids) <= size
+        got[r.uid] += list(zip(r.pids, r.catnames))
+    assert dict(got) == {u: [(r[3], r[4]) for r in seq] for u, seq in by_user(rows).items()}
+
+
+@pytest.mark.parametrize("size", [10_000, 4])
+def test_place_profile(visits, rows, size):
+    places = defaultdict(list)
+    for r in sorted(rows):
+        places[r[3]].append(r)
+    users, times, heads = defaultdict(list), defaultdict(list), {}
+    full = graph.attach_neighbors(
+        profiles.place_profile(visits, size), graph.neighbors(visits), graph.forward_neighbors(visits), size
+    )
+    around, forward = defaultdict(list), defaultdict(list)
+    for r in full.orderBy("pid", "segment").collect():
+        users[r.pid] += r.uids
+        times[r.pid] += r.times
+        around[r.pid] += r.neighbors
+        forward[r.pid] += r.forward_neighbors
+        heads[r.pid] = (r.catname, r.region)
+        assert max(map(len, (r.uids, r.times, r.neighbors, r.forward_neighbors))) <= size
+    for pid, seen in places.items():
+        assert users[pid] == list(dict.fromkeys(r[2] for r in seen))
+        assert times[pid] == list(dict.fromkeys(r[6] for r in seen))
+        assert heads[pid] == (seen[0][4], seen[0][5])
+    assert dict(around) == brute_neighbors(rows, True)
+
+
+def test_latest_visit_per_user(visits, rows):
+    best = {}
+    for r in sorted(rows):
+        key = (r[3], r[2])
+        old = best.get(key)
+        least = min((x for x in (old[0] if old else None, r[7]) if x is not None), default=None)
+        best[key] = (least, old[1] if old else r[0])
+    want = defaultdict(list)
+    for (pid, uid), (least, first) in sorted(best.items(), key=lambda e: (e[0][0], e[1][0] is None, e[1][0] or 0, e[1][1])):
+        want[pid].append((uid, 100 if least is None else least))
+    got = defaultdict(list)
+    for r in profiles.latest_visit_per_user(visits).orderBy("pid", "position").collect():
+        got[r.pid].append((r.uid, r.recency))
+    assert dict(got) == dict(want)
+
+
+def test_dictionary_is_a_bijection_and_repeatable(spark, visits):
+    df = spark.range(20_000).withColumn("v", F.concat(F.lit("x"), F.col("id").cast("string")))
+    first = encoding.build_dictionary(df, "v")
+    ids = sorted(r.mapped for r in first.collect())
+    assert ids == list(range(1, 20_001))
+    again = encoding.build_dictionary(df.repartition(13), "v")
+    assert first.exceptAll(again).isEmpty()
+    other = encoding.build_dictionary(df, "v", seed=1)
+    assert not first.exceptAll(other).isEmpty()
+
+
+def test_unmapped_becomes_null(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "pid string")
+    d = spark.createDataFrame([("a", 1)], "original string, mapped int")
+    assert sorted((r[0] for r in encoding.apply_dictionary(df, {"pid": d}).collect()), key=str) == [1, None]
+    back = encoding.reverse_dictionary(spark.createDataFrame([(1,), (9,)], "pid int"), "pid", d, "name")
+    assert sorted(map(tuple, back.collect())) == [(1, "a"), (9, None)]
+
+
+def test_onehot_edges(spark):
+    df = spark.createDataFrame([(1, 0), (2, 5), (3, 6)], "pid int, c int")
+    assert [tuple(r) for r in features.onehot_block(df, "c", 5).collect()] == [(2, 4, 1.0)]
+
+
+def test_top_users_ties_first_seen(spark):
+    df = spark.createDataFrame([(1, u, 100 - u) for u in range(1, 12)], "pid int, uid int, first_row int")
+    got = sorted(r.idx + 1 for r in features.multihot_topk_users(df, 50).collect())
+    assert got == list(range(2, 12))  # user 1 came last
+
+
+def test_hours_keep_midnight(spark):
+    rows = [(1, datetime(2020, 1, d, 0, 5), d) for d in (1, 2)] + [(1, datetime(2020, 1, 1, h, 0), 10 + h) for h in range(1, 12)]
+    df = spark.createDataFrame(rows, "pid int, time timestamp_ntz, first_row int")
+    assert sorted(r.idx for r in features.multihot_topk_hours(df).collect()) == list(range(0, 10))
+
+
+def test_recency_weights(spark):
+    df = spark.createDataFrame([(1, 1, 0), (1, 2, 3), (1, 3, 100), (1, 9, 0)], "pid int, uid int, recency int")
+    got = sorted((r.idx, r.value) for r in features.recency_weighted_users(df, 5, 10).collect())
+    assert got == [(10, 1.0), (11, 0.125), (12, 0.0)]
+
+
+def test_pid_to_index(spark):
+    pids = [5, 70_000, 140_001, 2, 65_536]
+    got = {r["pid"]: r["index"] for r in features.pid_to_index(spark.createDataFrame([(p,) for p in pids], "pid int")).collect()}
+    assert got == {p: i for i, p in enumerate(sorted(pids))}
+
+
+def test_positions_do_not_depend_on_blocks(spark, visits):
+    wide = position_in_group(visits, ["uid"], [F.col("row_id")], F.lit(0))
+    narrow = position_in_group(visits, ["uid"], [F.col("row_id")], F.col("row_block"))
+    assert wide.exceptAll(narrow).isEmpty()
