@@ -96,6 +96,30 @@ def rename_positional(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def with_row_order(raw: DataFrame) -> DataFrame:
+    """Adds ``row_id`` and ``row_block`` to raw rows that carry no order: by UTC time, equal times by content.
+
+    Identical rows are counted map-side and then told apart by a copy number, a million copies per generated piece, so
+    copies that make up much of the input are spread again instead of being numbered by one task.
+    """
+    columns = raw.columns
+    piece = 1_000_000
+    counted = raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / piece))))
+    content = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    spread = pieces.withColumn("_content", content).repartition("_content", "_piece")
+    first = F.col("_piece") * piece + 1
+    copies = spread.withColumn("_copy", F.explode(F.sequence(first, F.least(first + (piece - 1), F.col("_copies")))))
+    seconds = F.coalesce(F.unix_seconds(utc_from_text(F.col("utc_time")).cast("timestamp")), F.lit(0))
+    # Shifted so that the text form sorts like the number, years before 1970 included.
+    key = F.lpad((seconds + 10**11).cast("string"), 12, "0")
+    return copies.select(
+        *columns,
+        F.concat(key, F.lit("-"), F.col("_content"), F.lit("-"), F.lpad(F.col("_copy").cast("string"), 15, "0")).alias("row_id"),
+        F.floor((seconds + 10**11) / 3600).cast("bigint").alias("row_block"),
+    )
+
+
 def visit_recency(df: DataFrame) -> DataFrame:
     """Adds ``recency``: months between the row's UTC month and the newest UTC month of ``df``.
 

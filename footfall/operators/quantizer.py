@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from footfall.functions.seeded import DEFAULT_SEED
 
 MAX_CODEWORDS = 16_384
+MAX_CODEBOOK_VALUES = 4_000_000  # 32 MB of doubles in every task
 
 # Fixed values of the quantiser.
 CODEBOOK_LEVELS = 3
@@ -37,6 +38,8 @@ def load_codebooks(codewords: DataFrame) -> list[list[list[float]]]:
     rows = codewords.select("level", "code", "centroid").limit(MAX_CODEWORDS + 1).collect()
     if len(rows) > MAX_CODEWORDS:
         raise ValueError(f"more than {MAX_CODEWORDS} codewords; a codebook has to fit every task's memory")
+    if sum(len(row.centroid) for row in rows) > MAX_CODEBOOK_VALUES:
+        raise ValueError(f"more than {MAX_CODEBOOK_VALUES} codebook values")
     levels: dict[int, dict[int, list[float]]] = {}
     for row in rows:
         levels.setdefault(row.level, {})[row.code] = list(row.centroid)
@@ -54,6 +57,7 @@ def quantise(vector: Column, codebooks: Sequence[Sequence[Sequence[float]]]) ->
     The smallest index wins among equally near codewords. ``level_sq`` is the squared residual norm after each level.
     """
     books = [[list(map(float, word)) for word in level] for level in codebooks]
+    cells = 2_000_000
 
     @F.pandas_udf(ENCODED_TYPE)
     def encode(batch):
@@ -61,22 +65,29 @@ def quantise(vector: Column, codebooks: Sequence[Sequence[Sequence[float]]]) ->
         import pandas as pd
 
         tables = [np.asarray(level, dtype=np.float64) for level in books]
-        if len(batch) == 0:
-            return pd.DataFrame({"codes": [], "vector": [], "level_sq": []})
-        x = np.stack(batch.to_numpy()).astype(np.float64)
-        total = np.zeros_like(x)
-        codes, errors = [], []
-        for table in tables:
-            rest = x - total
+
+        def nearest(rest, table):
             # The expanded form finds the candidates by matrix product; rounding could only mislead it among
             # codewords that are almost equally near, and those rows are settled on the exact distances.
-            rough = (rest**2).sum(1)[:, None] + (table**2).sum(1)[None, :] - 2.0 * rest @ table.T
-            near = rough <= rough.min(1)[:, None] + 1e-9 * (1.0 + np.abs(rough).max(1)[:, None])
+            norms, sizes = (rest**2).sum(1)[:, None], (table**2).sum(1)[None, :]
+            rough = norms + sizes - 2.0 * rest @ table.T
+            near = rough <= rough.min(1)[:, None] + 1e-9 * (1.0 + norms + sizes.max())
             best = near.argmax(1)
             for i in np.flatnonzero(near.sum(1) > 1):
                 among = np.flatnonzero(near[i])
                 exact = ((rest[i][None, :] - table[among]) ** 2).sum(1)
                 best[i] = among[exact.argmin()]
+            return best
+
+        if len(batch) == 0:
+            return pd.DataFrame({"codes": [], "vector": [], "level_sq": []})
+        x = np.stack(batch.to_numpy()).astype(np.float64)
+        total = np.zeros_like(x)
+        codes, errors = [], []
+        for table in tables:
+            rest = x - total
+            step = max(1, cells // len(table))  # bounds the distance matrix, whatever the codebook's size
+            best = np.concatenate([nearest(rest[i : i + step], table) for i in range(0, len(rest), step)])
             total = total + table[best]
             codes.append(best)
             errors.append(((x - total) ** 2).sum(1))

@@ -129,7 +129,8 @@ def staged_visits_li(spark: SparkSession, sf: str) -> DataFrame:
 
 def encoded_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
     visits = staged(visits_li(spark, sf, recency), "visits")
-    return encoding.apply_dictionary(visits, encoding.build_dictionaries(visits))
+    dictionaries = encoding.build_dictionaries(visits)
+    return encoding.apply_dictionary(visits, {name: staged(d, f"dictionary-{name}") for name, d in dictionaries.items()})
 
 
 def staged_encoded_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:

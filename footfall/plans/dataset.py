@@ -49,7 +49,9 @@ def process_dataset(
     """
     clean = staged(cleaning.clean_checkins(raw, with_recency), "clean")
     kept = staged(cleaning.frequency_filter(clean, poi_min_freq, user_min_freq), "kept")
-    dictionaries = encoding.build_dictionaries(kept, seed)
+    dictionaries = {
+        name: staged(table, f"dictionary-{name}") for name, table in encoding.build_dictionaries(kept, seed).items()
+    }
     visits = staged(encoding.apply_dictionary(kept, dictionaries), "visits")
 
     if with_recency:

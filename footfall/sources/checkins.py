@@ -12,7 +12,8 @@ def read_checkins(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """Comma-separated latin-1 files with a header, all text; casting is the cleaning step's business.
 
     Columns are taken by position, as the header's names differ between sources. Rows of a distributed read have no
-    order, so the order columns travel in the file: name them in ``extra`` (``"row_id bigint, row_block bigint"``).
+    order, so the order columns travel in the file, named in ``extra`` (``"row_id bigint, row_block bigint"``), or are
+    made afterwards by ``cleaning.with_row_order``.
     """
     schema = RAW_SCHEMA + (f", {extra}" if extra else "")
     return (

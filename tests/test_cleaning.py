@@ -128,3 +128,17 @@ def test_missing_column_is_an_error(spark):
 def test_sid_text(spark):
     df = spark.createDataFrame([([],), ([4],), ([4, 17, 25, 0],)], "codes array<int>")
     assert [r[0] for r in df.select(sid_text(F.col("codes"))).collect()] == ["", "<a_4>", "<a_4><b_17><c_25><d_0>"]
+
+
+def test_row_order_from_time_and_content(spark):
+    late, early, bad = "Tue Apr 03 18:00:09 +0000 2012", "Tue Apr 03 08:00:09 +0000 2012", "bad"
+    rows = [("u1", late), ("u1", early), ("u2", early), ("u1", late), ("u1", late), (None, bad)]
+    df = spark.createDataFrame(rows, "uid string, utc_time string")
+    out = cleaning.with_row_order(df).collect()
+    assert sorted((str(r.uid), r.utc_time) for r in out) == sorted((str(u), t) for u, t in rows)
+    assert len({r.row_id for r in out}) == len(rows)
+    ordered = sorted(out, key=lambda r: r.row_id)
+    assert [r.utc_time for r in ordered] == [bad, early, early, late, late, late]
+    assert [r.row_block for r in ordered] == sorted(r.row_block for r in out)
+    again = cleaning.with_row_order(df.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
