@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,10 +62,7 @@ def quantise(vector: Column, codebooks: Sequence[Sequence[Sequence[float]]]) ->
     cells = 2_000_000
 
     @F.pandas_udf(ENCODED_TYPE)
-    def encode(batch):
-        import numpy as np
-        import pandas as pd
-
+    def encode(batch: pd.Series) -> pd.DataFrame:
         tables = [np.asarray(level, dtype=np.float64) for level in books]
 
         def nearest(rest, table):

@@ -230,7 +230,7 @@ def run_ids(spark: SparkSession, sf: str) -> DataFrame:
     dataset = F.element_at(
         F.array(*(F.lit(x) for x in ("nyc", "tky", "NYC_Exploration", "TKY_Exploration", "NYC", "none"))), (order % 6 + 1).cast("int")
     )
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("rqvae", "llama3", "Nrqvae-withKL", "baseline"))), (cust % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("rqvae", "llama3", "rqvae2-withKL", "baseline"))), (cust % 4 + 1).cast("int"))
     div = F.concat(F.lit("-div0."), F.lpad((order % 4 * 25).cast("string"), 2, "0"))
     commit = F.when(cust % 3 == 0, "").otherwise(F.concat(F.lit("-commit0."), (cust % 10).cast("string")))
     rate = F.when(order % 5 == 0, "").otherwise(F.concat(F.lit("-lr"), (order % 9 + 1).cast("string"), F.lit("e-"), (cust % 4 + 2).cast("string")))

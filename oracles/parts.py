@@ -289,7 +289,7 @@ PARTS: dict[str, str] = {
       select combo, avg(km) as mean_km, row_number() over (order by round(avg(km),9), combo) as rank from km group by combo""",
     # runs
     "run_ids": """
-      select o_orderkey as order_key, 'org/'||['rqvae','llama3','Nrqvae-withKL','baseline'][(o_custkey%4+1)::int]||'-'
+      select o_orderkey as order_key, 'org/'||['rqvae','llama3','rqvae2-withKL','baseline'][(o_custkey%4+1)::int]||'-'
         ||['nyc','tky','NYC_Exploration','TKY_Exploration','NYC','none'][(o_orderkey%6+1)::int]
         ||(case when o_orderkey%11=0 then '' else '-div0.'||lpad((o_orderkey%4*25)::varchar,2,'0') end)
         ||(case when o_custkey%3=0 then '' else '-commit0.'||(o_custkey%10) end)

@@ -82,9 +82,9 @@ def test_distances(spark):
         ("org/rqvae-tky-div0.0-commit0.25-lr5e-5", ("TKY", 0.0, 0.25, 5e-5, 1.0, 1.0, False)),
         ("org/rqvae-nyc-div0.75-commit0.5-lr5e-5", ("NYC", 0.75, 0.5, 5e-5, 1.0, 1.0, False)),
         ("rqvae-nyc-div0.25-commit0.5-lr5e-5-without_L_quant", ("NYC", 0.25, 0.5, 5e-5, 0.0, 1.0, False)),
-        ("org/Nrqvae-NYC_Exploration-div0.25-commit0.25-lr1e-3", ("NYC_Exploration", 0.25, 0.25, 1e-3, 1.0, 1.0, False)),
-        ("Nrqvae-TKY_Exploration-div0.5", ("TKY_Exploration", 0.5, 0.25, 5e-5, 1.0, 1.0, False)),
-        ("Nrqvae-withKL-NYC-without_L_reconstruction", ("NYC", 0.25, 0.25, 5e-5, 1.0, 0.0, True)),
+        ("org/rqvae2-NYC_Exploration-div0.25-commit0.25-lr1e-3", ("NYC_Exploration", 0.25, 0.25, 1e-3, 1.0, 1.0, False)),
+        ("rqvae2-TKY_Exploration-div0.5", ("TKY_Exploration", 0.5, 0.25, 5e-5, 1.0, 1.0, False)),
+        ("rqvae2-withKL-NYC-without_L_reconstruction", ("NYC", 0.25, 0.25, 5e-5, 1.0, 0.0, True)),
         ("something-else", (None, 0.25, 0.25, 5e-5, 1.0, 1.0, False)),
     ],
 )
