@@ -32,12 +32,12 @@ def _cell_index(degrees: Column, origin: float, units_per_degree: int) -> Column
 
 def plus_code_region(lat: Column, lon: Column) -> Column:
     """First six characters of the Open Location Code; null when a coordinate is null."""
-    row = F.least(_cell_index(lat, 90.0, LAT_UNITS_PER_DEGREE), F.lit(LAT_CELLS - 1))
-    col = F.pmod(_cell_index(lon, 180.0, LON_UNITS_PER_DEGREE), F.lit(LON_CELLS))
-    code = F.concat(
-        *(_digit(F.pmod(F.floor(axis / F.lit(step)), F.lit(20))) for step in (400, 20, 1) for axis in (row, col))
-    )
-    return F.when(lat.isNotNull() & lon.isNotNull(), code)  # ``least`` would skip a null
+    north = _cell_index(lat, 90.0, LAT_UNITS_PER_DEGREE)
+    # The pole belongs to the last row. ``least`` would skip a null, and a CASE would hide the index, which all digits
+    # share, from common-subexpression elimination.
+    row = north - F.floor(north / F.lit(LAT_CELLS))
+    col = _cell_index(lon, 180.0, LON_UNITS_PER_DEGREE) % LON_CELLS
+    return F.concat(*(_digit(F.floor(axis / F.lit(step)) % 20) for step in (400, 20, 1) for axis in (row, col)))
 
 
 def _letter(code: Column, position: int) -> Column:

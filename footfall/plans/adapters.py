@@ -119,7 +119,8 @@ def clean_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
 
 
 def visits_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
-    return cleaning.frequency_filter(clean_li(spark, sf, recency), LI_PLACE_MIN, LI_USER_MIN)
+    # The filter reads its input four times, twice for counts: the three-table join behind it is done once.
+    return cleaning.frequency_filter(staged(clean_li(spark, sf, recency), "clean"), LI_PLACE_MIN, LI_USER_MIN)
 
 
 def staged_visits_li(spark: SparkSession, sf: str) -> DataFrame:
