@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from oracles.parts import cell, cell_text, compose, fmt, hex_int, sid, top_items, windows
 
-POSITIONS = "array_to_string(list({0} order by {1}),',')"
-
-
 def _csv(column: str, sep: str = ",") -> str:
     return f"array_to_string({column},'{sep}')"
 
