@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from footfall.plans.catalog import CATALOG as QUERIES
+from oracles import statements
 from tests.compare import connect, differences
 
-QUERIES = queries()
-STATEMENTS = oracle_sql()
+STATEMENTS = statements()
 
 
 @pytest.fixture(scope="module")
