@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, mixing, pii, quality, secrets
+from footfall.llm import bpe, mixing, ngram_join, pii, quality, secrets
 from footfall.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir, "doc_id", "text"), vocabulary())
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -55,6 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_first_quality": op1_line_first_quality,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_personal_data": op5_personal_data,
     "op6_source_mix": op6_source_mix,
     "op10_secrets": op10_secrets,

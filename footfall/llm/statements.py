@@ -38,4 +38,35 @@ select doc_id, size, source_size::bigint as source_size, target,
 from placed
 """
 
-STATEMENTS: dict[str, str] = {"op6_source_mix": SOURCE_MIX}
+NGRAM_JACCARD_JOIN = f"""
+with recursive worded as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) as w
+    from documents
+), sets as (
+    select doc_id, list_distinct(case when len(w) = 0 then []
+                                      when len(w) < 3 then [array_to_string(w, ' ')]
+                                      else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s
+    from worded
+), single as (
+    select doc_id, len(s) as n, unnest(s) as shingle from sets
+), common as (
+    select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as common
+    from single a join single b on a.shingle = b.shingle and a.doc_id < b.doc_id
+    group by all
+), links as (
+    select a, b from common where 100 * common >= 90 * (na + nb - common)
+), both_ways as (
+    select a, b from links union all select b, a from links
+), reach(origin, target) as (
+    select a, b from both_ways
+    union
+    select reach.origin, both_ways.b from reach join both_ways on reach.target = both_ways.a
+)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, (select min(target) from reach where origin = doc_id)) as component_id
+from sets
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
+    "op6_source_mix": SOURCE_MIX,
+}
