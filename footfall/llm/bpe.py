@@ -274,8 +274,10 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", key_type: str = "bigin
     return map_batches(df, [key, ids], run, f"`{key}` {key_type}, text string")
 
 
-def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256``: encodes every whole text and decodes the ids again.
+def round_trip_digests(
+    df: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256``, if asked for ``ids``: encodes whole texts and decodes the ids again.
 
     Both directions run in one pass, so that ids do not travel to the JVM and back. Rows stay as they come: repeated
     rows give repeated rows, a null key stays null.
@@ -291,7 +293,9 @@ def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str
                 [len(p) // 4 for p in packed],
                 [hashlib.sha256(p).hexdigest() for p in packed],
                 [hashlib.sha256(b.encode("utf-8")).hexdigest() for b in back],
+                *([[np.frombuffer(p, "<u4").astype(np.int32) for p in packed]] if with_ids else []),
             ]
 
     schema = f"`{key}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema += ", ids array<int>" if with_ids else ""
     return map_batches(df, [key, text], run, schema)

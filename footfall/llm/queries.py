@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, mixing, ngram_join, pii, quality, secrets
+import corpus_pipeline
+from footfall.llm import bpe, line_runs, mixing, ngram_join, pii, quality, secrets
 from footfall.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +53,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return line_runs.without_repeats(docs, "runs").select(
+        "doc_id", "runs.n_removed", "runs.n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -62,5 +70,7 @@ QUERIES: dict[str, Query] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_personal_data": op5_personal_data,
     "op6_source_mix": op6_source_mix,
+    "op7_line_runs": op7_line_runs,
     "op10_secrets": op10_secrets,
+    "pipeline": corpus_pipeline.run,
 }
