@@ -26,6 +26,7 @@ def map_batches(
     columns: list[str],
     fn: Callable[[Iterator[list[list]]], Iterator[list[list]]],
     schema: str,
+    rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """Runs ``fn`` over Arrow batches of ``columns``, given and returned as lists of columns.
 
@@ -33,7 +34,7 @@ def map_batches(
     at a time.
     """
     # Only a bound on the batch's size, which no result depends on.
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     # The names and types go to the tasks by the schema that Spark checks the batches against.
     from pyspark.sql.pandas.types import to_arrow_schema
