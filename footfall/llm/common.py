@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,8 +61,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a fresh shared folder and reads it back: computed once, lineage cut, no local copy to lose."""
+def written_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, and the folder."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to a fresh shared folder and reads it back: computed once, lineage cut, no local copy to lose."""
+    return written_to(df, name)[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose DataFrames are gone; it does so when the JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def remove_written(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``written_to``, through the file system that it lies in."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

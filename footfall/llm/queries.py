@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, line_runs, mixing, ngram_join, pii, quality, secrets, vector_graph
+from footfall.llm import bpe, line_runs, mixing, ngram_join, pii, quality, secrets, suffix_levels, vector_graph
 from footfall.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return vector_graph.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_personal_data": op5_personal_data,
     "op6_source_mix": op6_source_mix,
     "op7_line_runs": op7_line_runs,
+    "op8_suffix_levels": op8_suffix_levels,
     "op9_vector_graph": op9_vector_graph,
     "op10_secrets": op10_secrets,
     "pipeline": corpus_pipeline.run,
