@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, line_runs, mixing, ngram_join, pii, quality, secrets, suffix_levels, vector_graph
+from footfall.llm import bpe, line_runs, mixing, ngram_join, pii, quality, secrets, style_tree, suffix_levels, vector_graph
 from footfall.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(documents(spark, sf_dir, "doc_id", "text"), with_text=False)
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir, "doc_id", "text"), vocabulary())
 
@@ -75,6 +79,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_first_quality": op1_line_first_quality,
+    "op2_style_tree": op2_style_tree,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_personal_data": op5_personal_data,
