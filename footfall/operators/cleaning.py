@@ -30,12 +30,19 @@ def to_number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
+def to_whole_number(text: Column) -> Column:
+    """Int from text; null for anything that is not a whole number, a fraction included."""
+    number = to_number(text)
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
 def coerce_numeric(df: DataFrame) -> DataFrame:
+    """Numbers from text, null where there is none; an offset with a fraction of a minute is none."""
     return df.withColumns(
         {
             "lat": to_number(F.col("lat")),
             "lon": to_number(F.col("lon")),
-            "tz_offset": to_number(F.col("tz_offset")).try_cast("int"),
+            "tz_offset": to_whole_number(F.col("tz_offset")),
         }
     )
 
@@ -50,7 +57,8 @@ def with_region(df: DataFrame) -> DataFrame:
 
 
 def utc_from_text(text: Column) -> Column:
-    """``Tue Apr 03 18:00:09 +0000 2012`` as a UTC wall-clock time; null when it does not parse."""
+    """``Tue Apr 03 18:00:09 +0000 2012`` as a UTC wall-clock time, names in any case; null when it does not parse."""
+    text = F.initcap(text)
     named = F.substring(text, 1, 3).isin(WEEKDAYS) & (F.substring(text, 4, 1) == " ")
     return F.when(named, F.try_to_timestamp(F.substr(text, F.lit(5)), F.lit(UTC_PATTERN)).cast("timestamp_ntz"))
 
@@ -79,7 +87,7 @@ def local_time_text(df: DataFrame) -> DataFrame:
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     missing = [name for name in names if name not in df.columns]
     if missing:
-        raise ValueError(f"required columns not found: {missing}; available: {df.columns}")
+        raise ValueError(f"the table lacks {missing} among its columns {df.columns}")
     return df
 
 

@@ -112,6 +112,28 @@ def assemble_features(
     return long_form
 
 
+def sparse_vectors(long_form: DataFrame, dim: Column | int) -> DataFrame:
+    """``pid, dim, indices, values``: one sparse vector per place, indices ascending."""
+    entries = F.sort_array(F.collect_list(F.struct("idx", "value")))
+    return long_form.groupBy("pid").agg(entries.alias("_e")).select(
+        "pid",
+        F.lit(dim).cast("bigint").alias("dim") if isinstance(dim, int) else dim.cast("bigint").alias("dim"),
+        F.transform("_e", lambda e: e["idx"]).alias("indices"),
+        F.transform("_e", lambda e: e["value"]).alias("values"),
+    )
+
+
+def ml_vectors(vectors: DataFrame) -> DataFrame:
+    """``pid, features`` as the sparse vectors that the machine-learning stages of Spark read."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    @F.udf(VectorUDT())
+    def sparse(dim, indices, values):
+        return Vectors.sparse(dim, indices, values)
+
+    return vectors.select("pid", sparse("dim", "indices", "values").alias("features"))
+
+
 def pid_to_index(heads: DataFrame) -> DataFrame:
     """0-based row position of each place in the profile, which is sorted by place id."""
     block = F.floor(F.col("pid") / F.lit(_PLACES_PER_BLOCK))

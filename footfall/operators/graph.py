@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.operators.ordering import (
@@ -12,10 +12,7 @@ from footfall.operators.ordering import (
     position_in_group,
     segment_of,
 )
-
-_USERS_PER_BLOCK = 4096
-_USER_PREFIX = 6
-
+from footfall.operators.profiles import latest_visit_per_user, place_users, profile_rows, segmented
 
 def user_place_steps(df: DataFrame) -> DataFrame:
     """``uid, position, pid, catname`` in input row order (not time order)."""
@@ -37,7 +34,11 @@ def _count_edges(pairs: DataFrame, min_freq: int) -> DataFrame:
     """``src, dst, freq`` and the first encounter, which breaks frequency ties."""
     return (
         pairs.groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("freq"), F.min(F.struct("uid", "row_id", "side")).alias("first"))
+        .agg(
+            F.count(F.lit(1)).alias("freq"),
+            F.min(F.struct("uid", "row_id", "side", "row_block")).alias("first"),
+        )
+        .withColumn("first_block", F.col("first.row_block"))
         .where(F.col("freq") >= min_freq)
     )
 
@@ -45,7 +46,7 @@ def _count_edges(pairs: DataFrame, min_freq: int) -> DataFrame:
 def forward_edges(df: DataFrame, min_freq: int = 1) -> DataFrame:
     """Ordered consecutive pairs within a user, self pairs included."""
     pairs = consecutive_pairs(df, "uid", "pid", "row_id", "row_block").select(
-        F.col("pid").alias("src"), F.col("next_pid").alias("dst"), "uid", "row_id", F.lit(1).alias("side")
+        F.col("pid").alias("src"), F.col("next_pid").alias("dst"), "uid", "row_id", F.lit(1).alias("side"), "row_block"
     )
     return _count_edges(pairs, min_freq)
 
@@ -54,27 +55,23 @@ def undirected_edges(df: DataFrame, min_freq: int = 1) -> DataFrame:
     """Both neighbours of every visit count, so a self pair adds two; at one visit the earlier neighbour comes first."""
     steps = consecutive_pairs(df, "uid", "pid", "row_id", "row_block")
     later = F.struct(
-        F.col("pid").alias("src"), F.col("next_pid").alias("dst"), F.col("row_id").alias("row_id"), F.lit(1).alias("side")
+        F.col("pid").alias("src"), F.col("next_pid").alias("dst"), F.col("row_id").alias("row_id"), F.lit(1).alias("side"),
+        F.col("row_block").alias("row_block"),
     )
     earlier = F.struct(
-        F.col("next_pid").alias("src"), F.col("pid").alias("dst"), F.col("next_row_id").alias("row_id"), F.lit(0).alias("side")
+        F.col("next_pid").alias("src"), F.col("pid").alias("dst"), F.col("next_row_id").alias("row_id"), F.lit(0).alias("side"),
+        F.col("next_row_block").alias("row_block"),
     )
     pairs = steps.select("uid", F.explode(F.array(later, earlier)).alias("e")).select("e.*", "uid")
     return _count_edges(pairs, min_freq)
 
 
-def _user_block(df: DataFrame) -> Column:
-    """A coarse number that never decreases with the tie-breaking user."""
-    kind = df.schema["first"].dataType["uid"].dataType.typeName()
-    user = F.col("first.uid")
-    if kind in ("integer", "long", "short", "byte"):
-        return F.floor(user / F.lit(_USERS_PER_BLOCK))
-    return F.substring(user.cast("string"), 1, _USER_PREFIX)
-
-
 def ranked_edges(edges: DataFrame) -> DataFrame:
-    """``src, dst, freq, rank``: frequency descending, ties by first encounter."""
-    block = F.struct((-F.col("freq")).alias("f"), _user_block(edges).alias("u"))
+    """``src, dst, freq, rank``: frequency descending, ties by first encounter.
+
+    A block holds the edges of one frequency that one user met first in one block of rows, so it is as bounded as that.
+    """
+    block = F.struct((-F.col("freq")).alias("f"), F.col("first.uid").alias("u"), F.col("first_block").alias("b"))
     ranked = position_in_group(edges, ["src"], [F.desc("freq"), F.asc("first")], block, name="rank")
     return ranked.select("src", "dst", "freq", "rank")
 
@@ -103,25 +100,18 @@ def neighbor_lists(df: DataFrame, ranked: DataFrame, name: str = "neighbors", si
     )
 
 
-def attach_neighbors(profile: DataFrame, both: DataFrame, forward: DataFrame, size: int = SEGMENT_SIZE) -> DataFrame:
-    """Adds both neighbour lists to the place profile, segment by segment.
+def attach_neighbors(
+    df: DataFrame, both: DataFrame, forward: DataFrame, size: int = SEGMENT_SIZE, with_recency: bool = False
+) -> DataFrame:
+    """The place profile of the visits ``df`` with both neighbour lists, segment by segment.
 
-    ``both`` and ``forward`` are ranked edges. A place can have more neighbour segments than profile segments, so
-    the spine is the union of the three.
+    ``both`` and ``forward`` are ranked edges. Visitors, times and neighbours are entries of one long table, which is
+    aggregated once; a place with more neighbour segments than visitor segments has its category and region in all.
     """
-
-    def lists(ranked: DataFrame, name: str) -> DataFrame:
-        return (
-            ranked.withColumn("segment", segment_of(F.col("rank"), size))
-            .groupBy(F.col("src").alias("pid"), "segment")
-            .agg(ordered_list(F.col("rank"), F.col("dst")).alias(name))
-        )
-
-    places = profile.select("pid").distinct()
-    joined = profile
-    for name, ranked in (("neighbors", both), ("forward_neighbors", forward)):
-        known = lists(ranked, name).join(places, "pid", "left_semi")
-        joined = joined.join(known, ["pid", "segment"], "full_outer")
-    listed = [f.name for f in joined.schema if f.dataType.typeName() == "array"]
-    filled = {n: F.coalesce(n, F.array().cast(joined.schema[n].dataType)) for n in listed}
-    return joined.withColumns(filled)
+    visitors = latest_visit_per_user(df) if with_recency else place_users(df)
+    rows = profile_rows(df, visitors)
+    names = ["neighbors", "forward_neighbors"]
+    for name, ranked in zip(names, (both, forward), strict=True):
+        entries = ranked.select(F.col("src").alias("pid"), F.col("rank").alias("position"), F.col("dst").alias(name))
+        rows = rows.unionByName(entries, allowMissingColumns=True)
+    return segmented(df, rows, size, names)

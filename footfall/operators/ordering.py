@@ -43,17 +43,18 @@ def position_in_group(
 
 
 def consecutive_pairs(df: DataFrame, key: str, value: str, order: str, block: str) -> DataFrame:
-    """Every pair of neighbouring rows of a group: ``key, value, order, next_value, next_order``.
+    """Every pair of neighbouring rows of a group: ``key, value, order, block, next_value, next_order, next_block``.
 
     Inside a block the partner comes from ``lead``; the last row of a block meets the first row of the group's
     next block on the block table, so no group is ever walked by one task.
     """
     inside = W.partitionBy(key, block).orderBy(order)
     across = W.partitionBy(key).orderBy(block)
-    here = F.struct(F.col(value).alias("v"), F.col(order).alias("o"))
-    shape = [key, value, order, F.col("_next.v").alias(f"next_{value}"), F.col("_next.o").alias(f"next_{order}")]
+    here = F.struct(F.col(value).alias("v"), F.col(order).alias("o"), F.col(block).alias("b"))
+    names = [(value, "v"), (order, "o"), (block, "b")]
+    shape = [key, value, order, block, *(F.col(f"_next.{f}").alias(f"next_{name}") for name, f in names)]
 
-    within = df.select(key, value, order, F.lead(here).over(inside).alias("_next")).where("_next is not null")
+    within = df.select(key, value, order, block, F.lead(here).over(inside).alias("_next")).where("_next is not null")
     ends = df.groupBy(key, block).agg(
         F.min_by(here, F.col(order)).alias("_first"), F.max_by(here, F.col(order)).alias("_last")
     )
@@ -62,6 +63,7 @@ def consecutive_pairs(df: DataFrame, key: str, value: str, order: str, block: st
             key,
             F.col("_last.v").alias(value),
             F.col("_last.o").alias(order),
+            block,
             F.lead("_first").over(across).alias("_next"),
         )
         .where("_next is not null")

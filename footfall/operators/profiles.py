@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +53,8 @@ def latest_visit_per_user(df: DataFrame) -> DataFrame:
     return position_in_group(visitor_recency(df), ["pid"], order, block).select("pid", "position", "uid", "recency")
 
 
-def _profile(df: DataFrame, visitors: DataFrame, size: int) -> DataFrame:
-    """One row per place and segment; list columns hold at most ``size`` elements each."""
+def profile_rows(df: DataFrame, visitors: DataFrame) -> DataFrame:
+    """``pid, position, uid, [recency], time``: the entries of a place's lists, each row an entry of one of them."""
     recency = "recency" in visitors.columns
     time_type = df.schema["time"].dataType
     who = visitors.select(
@@ -65,20 +67,30 @@ def _profile(df: DataFrame, visitors: DataFrame, size: int) -> DataFrame:
         *([F.lit(None).cast("int").alias("recency")] if recency else []),
         "time",
     )
-    position, is_user = F.col("position"), F.col("uid").isNotNull()
+    return who.unionByName(when)
+
+
+def segmented(df: DataFrame, rows: DataFrame, size: int, more: Sequence[str] = ()) -> DataFrame:
+    """One row per place and segment from long rows, with the place's category and region in every segment.
+
+    List columns hold at most ``size`` elements each. ``more`` names further columns of ``rows``, each a list of its own.
+    """
+    position = F.col("position")
+    is_user, is_time = F.col("uid").isNotNull(), F.col("time").isNotNull()
     lists = [ordered_list(position, F.col("uid"), is_user).alias("uids")]
-    if recency:
+    if "recency" in rows.columns:
         lists.append(ordered_list(position, F.col("recency"), is_user).alias("recencies"))
-    lists.append(ordered_list(position, F.col("time"), ~is_user).alias("times"))
-    segments = who.unionByName(when).groupBy("pid", segment_of(position, size).alias("segment")).agg(*lists)
+    lists.append(ordered_list(position, F.col("time"), is_time).alias("times"))
+    lists += [ordered_list(position, F.col(name), F.col(name).isNotNull()).alias(name) for name in more]
+    segments = rows.groupBy("pid", segment_of(position, size).alias("segment")).agg(*lists)
     return segments.join(place_heads(df), "pid").select(
         "pid", "segment", "catname", "region", *(c for c in segments.columns if c not in ("pid", "segment"))
     )
 
 
 def place_profile(df: DataFrame, size: int = SEGMENT_SIZE) -> DataFrame:
-    return _profile(df, place_users(df), size)
+    return segmented(df, profile_rows(df, place_users(df)), size)
 
 
 def place_profile_with_recency(df: DataFrame, size: int = SEGMENT_SIZE) -> DataFrame:
-    return _profile(df, latest_visit_per_user(df), size)
+    return segmented(df, profile_rows(df, latest_visit_per_user(df)), size)

@@ -162,11 +162,11 @@ def _all_sids(text: Column) -> Column:
 
 
 def extract_user_sids(prompts: DataFrame) -> DataFrame:
-    """Adds ``user`` (first mention in the prompt) and ``sids`` (distinct, prompt and completion together)."""
+    """Adds ``user`` (first mention in the prompt, null where there is none) and ``sids`` (distinct, prompt and completion together)."""
     prompt, completion = F.lower("prompt"), F.lower("completion")
     return prompts.withColumns(
         {
-            "user": F.regexp_extract(prompt, USER_PATTERN, 0),
+            "user": F.nullif(F.regexp_extract(prompt, USER_PATTERN, 0), F.lit("")),
             "sids": F.array_distinct(F.concat(_all_sids(prompt), _all_sids(completion))),
         }
     )
@@ -182,12 +182,14 @@ def collect_users_sids(prompts: DataFrame) -> DataFrame:
             )
         ).alias("e")
     )
-    return found.select("e.*").distinct()
+    return found.select("e.*").where("value is not null").distinct()
 
 
 def filter_cold_prompts(test: DataFrame, train: DataFrame, key: list[str]) -> DataFrame:
     """Test prompts whose user and semantic ids all occur in train. ``key`` identifies a prompt.
 
+    A prompt that names no user is cold.
+
     Each mention is an item; an item train lacks marks its prompt, and marked prompts are anti-joined away.
     """
     items = extract_user_sids(test).select(
@@ -202,7 +204,19 @@ def filter_cold_prompts(test: DataFrame, train: DataFrame, key: list[str]) -> Da
     # Reduce to distinct items first: the join then meets every item once, however often it is mentioned.
     unseen = items.select("kind", "value").distinct().join(collect_users_sids(train), ["kind", "value"], "left_anti")
     cold = items.join(unseen, ["kind", "value"], "left_semi").select(*key).distinct()
-    return test.join(cold, key, "left_anti")
+    named = test.where(F.regexp_extract(F.lower("prompt"), USER_PATTERN, 0) != "")
+    return named.join(cold, key, "left_anti")
+
+
+# The models that also have tables without times.
+NOTIME_MODELS = [
+    "rqvae-nyc-div0.25-commit0.5-lr5e-5",
+    "rqvae-tky-div0.25-commit0.25-lr5e-5",
+    "Nrqvae-NYC-div0.25-commit0.25-lr1e-3",
+    "Nrqvae-TKY-div0.25-commit0.25-lr1e-3",
+    "Nrqvae-NYC_Exploration-div0.25-commit0.25-lr1e-3",
+    "Nrqvae-TKY_Exploration-div0.25-commit0.25-lr1e-3",
+]
 
 
 def variant_matrix(models: DataFrame) -> DataFrame:

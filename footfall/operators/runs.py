@@ -46,7 +46,7 @@ def parse_run_name(runs: DataFrame, column: str = "run_id") -> DataFrame:
         F.when(F.contains(lower, F.lit("without_l_quant")), 0.0).otherwise(1.0).alias("quant_weight"),
         F.when(F.contains(lower, F.lit("without_l_reconstruction")), 0.0).otherwise(1.0).alias("recon_weight"),
         F.contains(lower, F.lit("withkl")).alias("use_kl_divergence"),
-        F.when(dataset.isNull(), F.concat(F.lit("cannot determine dataset from run name: "), name)).alias("error"),
+        F.when(dataset.isNull(), F.concat(F.lit("no known dataset in the run name "), name)).alias("error"),
     )
 
 

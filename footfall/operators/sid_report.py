@@ -133,7 +133,9 @@ def projection_subset(
 
 
 def project_2d(rows: DataFrame, vector: str = "vector") -> DataFrame:
-    """Adds ``x, y``: the first two principal components of the vectors."""
+    """Adds ``x, y``: the first two principal components of the vectors. No rows give no rows."""
+    if rows.isEmpty():
+        return rows.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     data = rows.withColumn("_v", array_to_vector(F.col(vector)))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(data)
     both = vector_to_array("_p")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footfall.functions.geo import plus_code_region
 from footfall.operators import cleaning, encoding, quantizer, sequences, splits
 from footfall.operators.ordering import integer_block
+from footfall.operators.prompts import NOTIME_MODELS
 from footfall.session import staged
 
 ORDERS_PER_BLOCK = 100_000
@@ -18,6 +19,8 @@ LI_PLACE_MIN, LI_USER_MIN = 25, 30
 
 CODEWORDS_PER_LEVEL = 16
 REGION_CELLS = 25
+# Run names that some of the orders take: the models with tables without times, and one that only looks like them.
+KNOWN_RUNS = [*NOTIME_MODELS, "rqvae-nyc-div0.25-commit0.5-lr5e-5-without_L_quant"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,7 +60,8 @@ def _raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     event = F.col("event_id")
     zone = F.col("user_id") % 4
-    offset = F.when(zone == 0, "-300").when(zone == 1, "-240").when(zone == 2, "0").otherwise("540")
+    # The fifth digit makes some offsets fractions of a minute, which are none.
+    offset = F.when(hex_digit(event, 5) == "0", "330.5").when(zone == 0, "-300").when(zone == 1, "-240").when(zone == 2, "0").otherwise("540")
     lat = (F.lit(40513) + F.lit(50) * (k % 10)).cast("string")
     lon = (F.lit(74187) - F.lit(50) * F.floor(k / 10).cast("int")).cast("string")
 
@@ -199,14 +203,22 @@ def codebook(spark: SparkSession, sf: str) -> DataFrame:
     return staged(rows, "codebook")
 
 
-def place_codebook(spark: SparkSession, sf: str) -> DataFrame:
+def place_codebook(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> DataFrame:
     """Codes for every part: each takes those of the embedding its key falls on."""
-    codes = staged_codes(spark, sf).select(F.col("pid").alias("_vec"), "codes")
+    codes = (staged_codes(spark, sf) if codes is None else codes).select(F.col("pid").alias("_vec"), "codes")
     total = table(spark, sf, "embeddings").select(F.count(F.lit(1)).alias("n")).scalar()
     places = table(spark, sf, "part").select(F.col("p_partkey").alias("pid"))
     return places.withColumn("_vec", F.pmod("pid", total) + 1).join(codes, "_vec").select("pid", "codes")
 
 
+def enriched_place_codebook(spark: SparkSession, sf: str) -> DataFrame:
+    """``pid, codes, vector, catname, region_id`` for every part, from the embedding its key falls on."""
+    book = codebook(spark, sf).select(F.col("pid").alias("_vec"), "codes", "vector", "catname", "region_id")
+    total = table(spark, sf, "embeddings").select(F.count(F.lit(1)).alias("n")).scalar()
+    places = table(spark, sf, "part").select(F.col("p_partkey").alias("pid"))
+    return staged(places.withColumn("_vec", F.pmod("pid", total) + 1).join(book, "_vec").drop("_vec"), "place-codebook")
+
+
 def dialogue_examples(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn with the assistant turn that follows it, as instruction records."""
     turns = table(spark, sf, "conversations")
@@ -231,10 +243,12 @@ def run_ids(spark: SparkSession, sf: str) -> DataFrame:
     dataset = F.element_at(
         F.array(*(F.lit(x) for x in ("nyc", "tky", "NYC_Exploration", "TKY_Exploration", "NYC", "none"))), (order % 6 + 1).cast("int")
     )
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("rqvae", "llama3", "rqvae2-withKL", "baseline"))), (cust % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("rqvae", "llama3", "Nrqvae-withKL", "baseline"))), (cust % 4 + 1).cast("int"))
     div = F.concat(F.lit("-div0."), F.lpad((order % 4 * 25).cast("string"), 2, "0"))
     commit = F.when(cust % 3 == 0, "").otherwise(F.concat(F.lit("-commit0."), (cust % 10).cast("string")))
     rate = F.when(order % 5 == 0, "").otherwise(F.concat(F.lit("-lr"), (order % 9 + 1).cast("string"), F.lit("e-"), (cust % 4 + 2).cast("string")))
     flag = F.when(order % 7 == 0, "-without_L_quant").when(order % 7 == 1, "-without_L_reconstruction").otherwise("")
-    run = F.concat(F.lit("org/"), kind, F.lit("-"), dataset, F.when(order % 11 == 0, "").otherwise(div), commit, rate, flag)
+    made = F.concat(kind, F.lit("-"), dataset, F.when(order % 11 == 0, "").otherwise(div), commit, rate, flag)
+    known = F.element_at(F.array(*map(F.lit, KNOWN_RUNS)), (F.floor(order / 13) % len(KNOWN_RUNS) + 1).cast("int"))
+    run = F.concat(F.lit("org/"), F.when(order % 13 == 0, known).otherwise(made))
     return table(spark, sf, "orders").select(order.alias("order_key"), run.alias("run_id"))

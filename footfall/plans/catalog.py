@@ -91,7 +91,7 @@ def read_instructions(spark, sf):
 def write_instructions(spark, sf):
     """Round trip by split: what was written under each file name comes back."""
     folder = scratch_folder(spark, "instructions")
-    examples = A.dialogue_examples(spark, sf)
+    examples = staged(A.dialogue_examples(spark, sf), "examples")
     for i, mode in enumerate(("train", "val", "test")):
         instructions.write_instructions(examples.where(F.col("conv_id") % 3 == i), folder, mode, "id", with_time=False)
     back = instructions.read_instruction_folder(spark, folder)
@@ -101,7 +101,7 @@ def write_instructions(spark, sf):
 @query
 def split_from_filename(spark, sf):
     folder = scratch_folder(spark, "split-files")
-    examples = A.dialogue_examples(spark, sf)
+    examples = staged(A.dialogue_examples(spark, sf), "examples")
     for i, mode in enumerate(prompts.MODES):
         instructions.write_instructions(examples.where(F.col("conv_id") % 4 == i), folder, mode, "codebook")
     back = instructions.read_instruction_folder(spark, folder)
@@ -143,12 +143,13 @@ def _run_metrics(spark, sf):
 
 @query
 def append_new_runs(spark, sf):
-    """A table of some runs, then all runs offered: each name is there once, the older row stays."""
+    """A table of some runs, then all runs offered twice: each name is there once, the older row stays."""
     path = scratch_folder(spark, "metrics")
     offered = _run_metrics(spark, sf)
     older = offered.where(F.substring(F.md5("run_name"), 1, 1) < "8").withColumn("test_acc", F.lit(-1.0))
     tables.append_new_runs(spark, older, path)
-    tables.append_new_runs(spark, offered, path)
+    repeated = offered.unionByName(offered.withColumn("train_acc", F.col("train_acc") + 1))
+    tables.append_new_runs(spark, repeated, path)
     return spark.read.schema(tables.METRIC_SCHEMA).parquet(path)
 
 
@@ -288,7 +289,7 @@ def place_profile(spark, sf):
 @query
 def attach_neighbors(spark, sf):
     visits = A.staged_visits_li(spark, sf)
-    full = graph.attach_neighbors(profiles.place_profile(visits), graph.neighbors(visits), graph.forward_neighbors(visits))
+    full = graph.attach_neighbors(visits, graph.neighbors(visits), graph.forward_neighbors(visits))
     return full.select("pid", "segment", "catname", joined("neighbors"), joined("forward_neighbors"))
 
 
@@ -340,6 +341,17 @@ def assemble_features(spark, sf):
     )
 
 
+@query
+def feature_vectors(spark, sf):
+    visits = A.staged_encoded_li(spark, sf)
+    metadata = features.feature_metadata(visits)
+    rows = features.assemble_features(
+        profiles.place_heads(visits), profiles.first_visits(visits, "time"), profiles.first_visits(visits, "uid"), metadata
+    )
+    vectors = features.sparse_vectors(rows, metadata.select("total_dim").scalar())
+    return vectors.select("pid", "dim", joined("indices"), joined("values"))
+
+
 @query
 def pid_to_index(spark, sf):
     return features.pid_to_index(profiles.place_heads(A.staged_visits_li(spark, sf)))
@@ -589,7 +601,7 @@ def filter_cold_prompts(spark, sf):
 def variant_matrix(spark, sf):
     named = runs.parse_run_name(A.run_ids(spark, sf)).where("dataset_name is not null")
     models = named.groupBy(F.col("dataset_name").alias("dataset"), F.col("run_name").alias("model")).agg(
-        (F.max("div_weight") == 0.25).alias("has_notime")
+        F.max(F.col("run_name").isin(prompts.NOTIME_MODELS)).alias("has_notime")
     )
     return prompts.variant_matrix(models).withColumn("with_time", F.col("with_time").cast("int"))
 
@@ -619,7 +631,9 @@ def _attempts(spark, sf):
     tries = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("attempt")
     rows = _answers(spark, sf).select("*", tries)
     blank = F.substring(digest("try", *(F.col(c) for c in (*PREDICTION_KEY, "attempt"))), 1, 1) < "a"
-    text = F.when(blank & (F.col("attempt") < 5), " ").otherwise(F.concat(F.lit(" "), "answer"))
+    # White space of several kinds, alone or around the answer.
+    spaces = F.element_at(F.array(*map(F.lit, (" ", "\n", "\t \r\n", "\u00a0"))), (F.col("uid") % 4 + 1).cast("int"))
+    text = F.when(blank & (F.col("attempt") < 5), spaces).otherwise(F.concat(spaces, "answer", spaces))
     return rows.select(*PREDICTION_KEY, "gold", "attempt", text.alias("text"))
 
 
@@ -712,8 +726,9 @@ def best_epoch_early_stop(spark, sf):
 @query
 def sid_collisions(spark, sf):
     """Codebooks of three and of two levels count as two models; the parts share the embeddings' codes."""
-    book = A.place_codebook(spark, sf).withColumn("dataset", F.lit("parts"))
-    vec = A.codebook(spark, sf).select("pid", "codes").withColumn("dataset", F.lit("embeddings"))
+    codes = A.staged_codes(spark, sf)
+    book = A.place_codebook(spark, sf, codes).withColumn("dataset", F.lit("parts"))
+    vec = codes.withColumn("dataset", F.lit("embeddings"))
     both = book.unionByName(vec, allowMissingColumns=True)
     deep = both.withColumn("model", F.lit("three-levels"))
     flat = both.withColumns({"model": F.lit("two-levels"), "codes": F.slice("codes", 1, 2)})
@@ -735,8 +750,8 @@ def _prefixed(spark, sf, prefix: Column):
 
 @query
 def prefix_frequency(spark, sf):
-    first = sid_report.prefix_frequency(_prefixed(spark, sf, sid_report.level_prefix(1)), 10)
-    second = sid_report.prefix_frequency(_prefixed(spark, sf, sid_report.level_prefix(2)), 10)
+    book = A.codebook(spark, sf)
+    first, second = (sid_report.prefix_frequency(sid_report.with_prefix(book, sid_report.level_prefix(k))) for k in (1, 2))
     return first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
 
 
@@ -761,8 +776,12 @@ def top_cat_region_per_prefix(spark, sf):
 
 @query
 def top_regions_per_prefix(spark, sf):
-    first = _top(spark, sf, sid_report.level_prefix(1), "region_id", sid_report.TOP_PREFIXES_FIRST_BY_REGION)
-    second = _top(spark, sf, sid_report.level_prefix(2), "region_id", sid_report.TOP_PREFIXES_LEVEL)
+    book = A.codebook(spark, sf)
+    tops = (sid_report.TOP_PREFIXES_FIRST_BY_REGION, sid_report.TOP_PREFIXES_LEVEL)
+    first, second = (
+        sid_report.top_items_per_prefix(sid_report.with_prefix(book, sid_report.level_prefix(k)), "region_id", top)
+        for k, top in enumerate(tops, 1)
+    )
     return first.withColumn("level", F.lit(1)).unionByName(second.withColumn("level", F.lit(2)))
 
 
@@ -776,34 +795,56 @@ def top_regions_per_combo(spark, sf):
     return _top(spark, sf, sid_report.combo_prefix(), "region_id", sid_report.TOP_COMBOS)
 
 
-MIN_PREFIX_COUNT = 20
+# The reports on drawn prefixes: name, prefix, item, least count.
+DRAWN = [
+    ("level_1", lambda: sid_report.level_prefix(1), "catname", sid_report.MIN_COUNT_LEVEL),
+    ("level_2", lambda: sid_report.level_prefix(2), "catname", sid_report.MIN_COUNT_LEVEL),
+    ("combo_category", sid_report.combo_prefix, "catname", sid_report.MIN_COUNT_COMBO_CATEGORY),
+    ("combo_region", sid_report.combo_prefix, "region_id", sid_report.MIN_COUNT_COMBO_REGION),
+]
 
 
-def _selected(prefixed):
-    return sid_report.sample_frequent_prefixes(prefixed, MIN_PREFIX_COUNT)
+def _drawn(spark, sf, report):
+    """``report(prefixed, selected, item)`` of each kind over the codebook of the parts, which is the largest."""
+    book = A.enriched_place_codebook(spark, sf)
+    parts = []
+    for name, prefix, item, least in DRAWN:
+        prefixed = sid_report.with_prefix(book, prefix())
+        rows = report(prefixed, sid_report.sample_frequent_prefixes(prefixed, least), item)
+        parts.append(rows.withColumn("report", F.lit(name)))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
 
 
 @query
 def sample_frequent_prefixes(spark, sf):
-    return _selected(_prefixed(spark, sf, sid_report.level_prefix(1)))
+    return _drawn(spark, sf, lambda prefixed, selected, item: selected)
 
 
 @query
 def aligned_prefix_matrix(spark, sf):
-    prefixed = _prefixed(spark, sf, sid_report.level_prefix(1))
-    return sid_report.aligned_prefix_matrix(prefixed, _selected(prefixed), "catname")
+    def report(prefixed, selected, item):
+        return sid_report.aligned_prefix_matrix(prefixed, selected, item).withColumn("item", F.col("item").cast("string"))
+
+    return _drawn(spark, sf, report)
 
 
 @query
 def projection_subset(spark, sf):
-    prefixed = _prefixed(spark, sf, sid_report.level_prefix(1))
-    return sid_report.projection_subset(prefixed, _selected(prefixed), "cat_and_region").select("pid", "prefix", "cat_and_region")
+    def report(prefixed, selected, item):
+        rows = sid_report.projection_subset(prefixed, selected, item)
+        return rows.select("pid", "prefix", F.col(item).cast("string").alias("item"))
+
+    return _drawn(spark, sf, report)
 
 
 @query
 def project_2d(spark, sf):
-    prefixed = _prefixed(spark, sf, sid_report.level_prefix(1))
-    subset = sid_report.projection_subset(prefixed, _selected(prefixed), "catname")
+    prefixed = sid_report.with_prefix(A.enriched_place_codebook(spark, sf), sid_report.level_prefix(1))
+    selected = sid_report.sample_frequent_prefixes(prefixed, sid_report.MIN_COUNT_LEVEL)
+    subset = sid_report.projection_subset(prefixed, selected, "catname")
     return sid_report.project_2d(subset).select("pid", "catname", r6(F.abs("x"), "x"), r6(F.abs("y"), "y"))
 
 

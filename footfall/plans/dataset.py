@@ -55,10 +55,12 @@ def process_dataset(
     visits = staged(encoding.apply_dictionary(kept, dictionaries), "visits")
 
     if with_recency:
-        who, profile = profiles.visitor_recency(visits), profiles.place_profile_with_recency(visits)
+        who = profiles.visitor_recency(visits)
     else:
-        who, profile = profiles.first_visits(visits, "uid"), profiles.place_profile(visits)
-    profile = graph.attach_neighbors(profile, graph.neighbors(visits), graph.forward_neighbors(visits))
+        who = profiles.first_visits(visits, "uid")
+    profile = graph.attach_neighbors(
+        visits, graph.neighbors(visits), graph.forward_neighbors(visits), with_recency=with_recency
+    )
 
     train, test = splits.split_data(visits)
     examples = sequences.generate_sequences(train, test, window_size, step_size, mask_prob, seed)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,17 +33,31 @@ def build_session(app: str = "footfall", master: str | None = None, **conf: str)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; a machine-local one is made only where that is unset and
-    the master is local, because on a cluster the executors could not see it.
-    """
+    """A fresh sub-folder of ``spark.checkpoint.dir``, which has to be a folder that every executor can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="footfall-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    path = os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    for opened in _open_scratch:
+        opened.append(path)
+    return path
+
+
+_open_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end all scratch folders made inside; results have to be read or written before that."""
+    made: list[str] = []
+    _open_scratch.append(made)
+    try:
+        yield made
+    finally:
+        _open_scratch.remove(made)
+        for path in made:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -59,6 +59,12 @@ def top_items(source: str, item: str, top: int) -> str:
         group by prefix, {item}) t where rank <= 5"""
 
 
+# Run names that some of the orders take.
+_KNOWN = (
+    "['rqvae-nyc-div0.25-commit0.5-lr5e-5','rqvae-tky-div0.25-commit0.25-lr5e-5','Nrqvae-NYC-div0.25-commit0.25-lr1e-3','Nrqvae-TKY-div0.25-commit0.25-lr1e-3',"
+    "'Nrqvae-NYC_Exploration-div0.25-commit0.25-lr1e-3','Nrqvae-TKY_Exploration-div0.25-commit0.25-lr1e-3','rqvae-nyc-div0.25-commit0.5-lr5e-5-without_L_quant']"
+)
+
 PARTS: dict[str, str] = {
     # check-ins of the events
     "ev": """
@@ -74,7 +80,7 @@ PARTS: dict[str, str] = {
              case b when '0' then '180' when '1' then '-180' when '2' then '181' when '3' then '1e2'
                else '-'||substr(x,1,2)||'.'||substr(x,3,3) end as lon,
              case c when '0' then '' when '1' then 'n/a' else
-               case user_id%4 when 0 then '-300' when 1 then '-240' when 2 then '0' else '540' end end as tz_offset,
+               case when substr(md5(event_id::varchar),5,1) = '0' then '330.5' else case user_id%4 when 0 then '-300' when 1 then '-240' when 2 then '0' else '540' end end end as tz_offset,
              case d when '0' then 'bad' else
                strftime(ts,'%a %b %d %H:%M:%S')||(case d when '1' then ' +0130 ' else ' +0000 ' end)||strftime(ts,'%Y') end as utc_time,
              case when d = '0' then null when d = '1' then date_trunc('second',ts) - interval 90 minute else date_trunc('second',ts) end as utc
@@ -84,7 +90,7 @@ PARTS: dict[str, str] = {
             from (select *, regexp_extract(props,'[0-9]+',0)::int as k from events) e) e""",
     "numeric": f"""
       select * exclude (lat, lon, tz_offset), {number('lat')} as lat, {number('lon')} as lon,
-             try_cast({number('tz_offset')} as int) as tz_offset from raw""",
+             case when {number('tz_offset')} = floor({number('tz_offset')}) then try_cast({number('tz_offset')} as int) end as tz_offset from raw""",
     "valid": "select * from numeric where lat between -90 and 90 and lon between -180 and 180",
     "valid_region": f"select *, {cell_text()} as region from (select *, {cell('lat','lon')} from valid) v",
     # check-ins of the line items
@@ -221,9 +227,26 @@ PARTS: dict[str, str] = {
     "by1": "select *, codes[1]::varchar as prefix from book",
     "by2": "select *, codes[2]::varchar as prefix from book",
     "by12": "select *, codes[1]||','||codes[2] as prefix from book",
+    "pbook": """
+      select p_partkey as pid, b.codes, b.catname, b.region_id from part
+      join book b on b.pid = p_partkey % (select count(*) from embeddings) + 1""",
+    "drawable": """
+      select 'level_1' as report, 50 as least, pid, codes[1]::varchar as prefix, catname as item from pbook
+      union all select 'level_2', 50, pid, codes[2]::varchar, catname from pbook
+      union all select 'combo_category', 18, pid, codes[1]||','||codes[2], catname from pbook
+      union all select 'combo_region', 15, pid, codes[1]||','||codes[2], region_id::varchar from pbook""",
     "chosen": """
-      select prefix, n, row_number() over (order by md5('42|'||prefix)) as slot from (
-        select prefix, count(*) as n from by1 group by prefix having count(*) >= 20) p order by slot limit 4""",
+      select report, prefix, n, slot from (
+        select report, prefix, n, row_number() over (partition by report order by md5('42|'||prefix)) as slot from (
+          select report, prefix, count(*) as n from drawable group by report, prefix having count(*) >= any_value(least)) p) q
+      where slot <= 4""",
+    # Regions are ordered as numbers, categories as text.
+    "drawn_items": """
+      select report, prefix, slot, item, n from (
+        select d.report, d.prefix, slot, item, count(*) as n, row_number() over (
+                 partition by d.report, d.prefix order by count(*) desc, try_cast(item as int), item) as k
+        from drawable d join chosen c on c.report=d.report and c.prefix=d.prefix group by d.report, d.prefix, slot, item) t
+      where k <= 5""",
     "place_sid": f"""
       select p_partkey as pid, {sid('codes')} as sid from part
       join coded c on c.pid = p_partkey % (select count(*) from embeddings) + 1""",
@@ -264,9 +287,10 @@ PARTS: dict[str, str] = {
     "results": """
       select split, uid, seq_no, gold,
              coalesce(arg_min(text, attempt) filter (attempt<5 and text<>''),'') as result
-      from (select split, uid, seq_no, gold, t as attempt,
-                   case when t<5 and substr(md5('try|'||split||'|'||uid||'|'||seq_no||'|'||t),1,1) < 'a' then '' else answer end as text
-            from answers, range(0,6) r(t)) a
+      from (select split, uid, seq_no, gold, attempt, trim(raw, ' '||chr(9)||chr(10)||chr(13)||chr(160)) as text
+            from (select split, uid, seq_no, gold, t as attempt,
+                         s||(case when t<5 and substr(md5('try|'||split||'|'||uid||'|'||seq_no||'|'||t),1,1) < 'a' then '' else answer||s end) as raw
+                  from (select *, [' ',chr(10),chr(9)||' '||chr(13)||chr(10),chr(160)][(uid%4+1)::int] as s from answers) w, range(0,6) r(t)) b) a
       group by split, uid, seq_no, gold""",
     "scored": "select *, contains('<a_'||result, gold)::int as hit, 'run-'||(case when split='val' then uid%3 else uid%4 end) as run_name from results",
     "metrics": """
@@ -288,13 +312,14 @@ PARTS: dict[str, str] = {
     "compact": """
       select combo, avg(km) as mean_km, row_number() over (order by round(avg(km),9), combo) as rank from km group by combo""",
     # runs
-    "run_ids": """
-      select o_orderkey as order_key, 'org/'||['rqvae','llama3','rqvae2-withKL','baseline'][(o_custkey%4+1)::int]||'-'
+    "run_ids": f"""
+      select o_orderkey as order_key, 'org/'||case when o_orderkey%13=0 then {_KNOWN}[((o_orderkey//13)%7+1)::int] else
+        ['rqvae','llama3','Nrqvae-withKL','baseline'][(o_custkey%4+1)::int]||'-'
         ||['nyc','tky','NYC_Exploration','TKY_Exploration','NYC','none'][(o_orderkey%6+1)::int]
         ||(case when o_orderkey%11=0 then '' else '-div0.'||lpad((o_orderkey%4*25)::varchar,2,'0') end)
         ||(case when o_custkey%3=0 then '' else '-commit0.'||(o_custkey%10) end)
         ||(case when o_orderkey%5=0 then '' else '-lr'||(o_orderkey%9+1)||'e-'||(o_custkey%4+2) end)
-        ||(case when o_orderkey%7=0 then '-without_L_quant' when o_orderkey%7=1 then '-without_L_reconstruction' else '' end) as run_id
+        ||(case when o_orderkey%7=0 then '-without_L_quant' when o_orderkey%7=1 then '-without_L_reconstruction' else '' end) end as run_id
       from orders""",
     "named": """
       select order_key, string_split(run_id,'/')[2] as run_name, lower(run_id) as low,

@@ -107,6 +107,13 @@ STATEMENTS: dict[str, str] = {
       union all select pid, (select c from sizes)+region-1, 1.0 from enc_heads
       union all select pid, (select c+r from sizes)+idx, value from f_hours
       union all select pid, (select c+r+24 from sizes)+idx, value from f_users""",
+    "feature_vectors": """
+      select pid, (select c+r+24+u from sizes) as dim, string_agg(idx::varchar, ',' order by idx) as indices,
+             string_agg('1.0', ',' order by idx) as values
+      from (select pid, idx from f_category
+            union all select pid, (select c from sizes)+region-1 from enc_heads
+            union all select pid, (select c+r from sizes)+idx from f_hours
+            union all select pid, (select c+r+24 from sizes)+idx from f_users) e group by pid""",
     "pid_to_index": "select pid, row_number() over (order by pid)-1 as index from heads",
     # split and sequences
     "time_split": "select row_id, is_train from marked",
@@ -184,7 +191,7 @@ STATEMENTS: dict[str, str] = {
     "variant_matrix": """
       select dataset, model, kind, mode, with_time, mode||'_'||kind||(case when with_time=1 then '' else '_notime' end)||'.json' as file_name
       from (select distinct dataset_name as dataset, run_name as model, 'codebook' as kind, 1 as with_time from named where dataset_name is not null
-            union all select distinct dataset_name, run_name, 'codebook', 0 from named where dataset_name is not null and div_weight=0.25
+            union all select distinct dataset_name, run_name, 'codebook', 0 from named where dataset_name is not null and run_name in ('rqvae-nyc-div0.25-commit0.5-lr5e-5','rqvae-tky-div0.25-commit0.25-lr5e-5','Nrqvae-NYC-div0.25-commit0.25-lr1e-3','Nrqvae-TKY-div0.25-commit0.25-lr1e-3','Nrqvae-NYC_Exploration-div0.25-commit0.25-lr1e-3','Nrqvae-TKY_Exploration-div0.25-commit0.25-lr1e-3')
             union all select distinct dataset_name, '', 'id', 1 from named where dataset_name is not null) v,
            (select unnest(['train','val','test','test_all']) as mode) m""",
     # predictions
@@ -233,8 +240,8 @@ STATEMENTS: dict[str, str] = {
       from vec v join (select original, row_number() over (order by md5('2024|'||original)) as mapped
                        from (select distinct catname as original from vec) o) d on d.original=v.catname""",
     "prefix_frequency": """
-      select * from (select prefix, count(*) as n, 1 as level from by1 group by prefix order by n desc, prefix::int limit 10) a
-      union all select * from (select prefix, count(*) as n, 2 as level from by2 group by prefix order by n desc, prefix::int limit 10) b""",
+      select * from (select prefix, count(*) as n, 1 as level from by1 group by prefix order by n desc, prefix::int limit 50) a
+      union all select * from (select prefix, count(*) as n, 2 as level from by2 group by prefix order by n desc, prefix::int limit 50) b""",
     "combo_frequency": """
       select prefix, count(*) as n from by12 group by prefix
       order by n desc, split_part(prefix,',',1)::int, split_part(prefix,',',2)::int limit 30""",
@@ -244,16 +251,15 @@ STATEMENTS: dict[str, str] = {
       select *, 1 as level from ({top_items('by1', 'region_id', 20)}) a union all select *, 2 from ({top_items('by2', 'region_id', 50)}) b""",
     "top_categories_per_combo": top_items("by12", "catname", 30),
     "top_regions_per_combo": "select prefix, item, n, rank from top_combo_regions",
-    "sample_frequent_prefixes": "select prefix, n, slot from chosen",
+    "sample_frequent_prefixes": "select report, prefix, n, slot from chosen",
     "aligned_prefix_matrix": """
-      select item, coalesce(sum(n) filter (slot=1),0)::bigint as slot_1, coalesce(sum(n) filter (slot=2),0)::bigint as slot_2,
+      select report, item, coalesce(sum(n) filter (slot=1),0)::bigint as slot_1, coalesce(sum(n) filter (slot=2),0)::bigint as slot_2,
              coalesce(sum(n) filter (slot=3),0)::bigint as slot_3, coalesce(sum(n) filter (slot=4),0)::bigint as slot_4
-      from (select slot, catname as item, count(*) as n, row_number() over (partition by slot order by count(*) desc, catname) as k
-            from by1 join chosen using (prefix) group by slot, catname) t where k<=5 group by item""",
+      from drawn_items group by report, item""",
     "projection_subset": """
-      select b.pid, b.prefix, b.cat_and_region from by1 b join chosen using (prefix) where cat_and_region in (
-        select item from (select cat_and_region as item, row_number() over (partition by prefix order by count(*) desc, cat_and_region) as k
-                          from by1 join chosen using (prefix) group by prefix, cat_and_region) t where k<=5)""",
+      select distinct d.pid, d.prefix, d.item, d.report from drawable d
+      join chosen c on c.report=d.report and c.prefix=d.prefix
+      join (select distinct report, item from drawn_items) i on i.report=d.report and i.item=d.item""",
     # regions
     "decode_region": f"""
       select *, 'https://www.google.com/maps/search/?api=1&query='||printf('%.3f,%.3f',center_lat,center_lon) as map_url from ({_DECODED}) d""",

@@ -142,3 +142,13 @@ def test_row_order_from_time_and_content(spark):
     assert [r.row_block for r in ordered] == sorted(r.row_block for r in out)
     again = cleaning.with_row_order(df.repartition(5)).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_fractional_offsets_are_none_and_names_come_in_any_case(spark):
+    rows = [("1", "2", "330.5"), ("1", "2", "330.0"), ("1", "2", "-60"), ("1", "2", "1e2")]
+    df = spark.createDataFrame(rows, "lat string, lon string, tz_offset string")
+    assert [r.tz_offset for r in cleaning.coerce_numeric(df).collect()] == [None, 330, -60, 100]
+    stamps = ["Tue Apr 03 18:00:09 +0000 2012", "tue apr 03 18:00:09 +0000 2012", "TUE APR 03 18:00:09 +0000 2012", "Foo Apr 03 18:00:09 +0000 2012"]
+    df = spark.createDataFrame([(s,) for s in stamps], "utc_time string")
+    got = [r[0] for r in df.select(cleaning.utc_from_text(F.col("utc_time"))).collect()]
+    assert got[0] is not None and got == [got[0]] * 3 + [None]

@@ -94,22 +94,23 @@ def test_user_sequences_come_whole_in_segments(visits, rows, size):
     assert dict(got) == {u: [(r[3], r[4]) for r in seq] for u, seq in by_user(rows).items()}
 
 
-@pytest.mark.parametrize("size", [10_000, 4])
+@pytest.mark.parametrize("size", [10_000, 4, 1])
 def test_place_profile(visits, rows, size):
     places = defaultdict(list)
     for r in sorted(rows):
         places[r[3]].append(r)
     users, times, heads = defaultdict(list), defaultdict(list), {}
-    full = graph.attach_neighbors(
-        profiles.place_profile(visits, size), graph.neighbors(visits), graph.forward_neighbors(visits), size
-    )
+    full = graph.attach_neighbors(visits, graph.neighbors(visits), graph.forward_neighbors(visits), size)
+    plain = {(r.pid, r.segment): r for r in profiles.place_profile(visits, size).collect()}
     around, forward = defaultdict(list), defaultdict(list)
     for r in full.orderBy("pid", "segment").collect():
         users[r.pid] += r.uids
         times[r.pid] += r.times
         around[r.pid] += r.neighbors
         forward[r.pid] += r.forward_neighbors
-        heads[r.pid] = (r.catname, r.region)
+        assert heads.setdefault(r.pid, (r.catname, r.region)) == (r.catname, r.region)
+        alone = plain.get((r.pid, r.segment))
+        assert (r.uids, r.times) == ((alone.uids, alone.times) if alone else ([], []))
         assert max(map(len, (r.uids, r.times, r.neighbors, r.forward_neighbors))) <= size
     for pid, seen in places.items():
         assert users[pid] == list(dict.fromkeys(r[2] for r in seen))

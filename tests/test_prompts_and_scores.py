@@ -151,3 +151,20 @@ def test_perplexity(spark):
     df = spark.createDataFrame([(0.0, None), (1.0, 7.0)], "eval_loss double, perplexity double")
     assert [r.perplexity for r in scoring.with_perplexity(df).collect()] == [1.0, 7.0]
     assert scoring.with_perplexity(df.drop("perplexity")).collect()[1].perplexity == pytest.approx(math.e)
+
+
+def test_attempts_lose_white_space_of_any_kind(spark):
+    tries = ["\n", "\t4>", " \n5>\n", "\u00a0\u2003 ", "\x1c6>\x1f"]
+    df = spark.createDataFrame([(k, i, t) for i, t in enumerate(tries) for k in ("a",)], "k string, attempt int, text string")
+    assert scoring.first_nonempty_attempt(df, ["k"]).first().result == "4>"
+    for i, want in ((0, ""), (2, "5>"), (3, ""), (4, "6>")):
+        one = df.where(F.col("attempt") == i).withColumn("attempt", F.lit(0))
+        assert scoring.first_nonempty_attempt(one, ["k"]).first().result == want == tries[i].strip()
+
+
+def test_prompts_without_a_user_are_cold(spark):
+    rows = [(1, 1, "user_1 was at <a>", "<a>"), (2, 1, "nobody was at <a>", "<a>")]
+    df = spark.createDataFrame(rows, "uid int, seq_no int, prompt string, completion string").withColumn("split", F.lit("test"))
+    assert [r.user for r in prompts.extract_user_sids(df).orderBy("uid").collect()] == ["user_1", None]
+    assert {r.value for r in prompts.collect_users_sids(df).collect()} == {"user_1", "<a>"}
+    assert [r.uid for r in prompts.filter_cold_prompts(df, df, ["uid", "seq_no"]).collect()] == [1]

@@ -38,7 +38,7 @@ def test_runs_are_appended_once(spark, tmp_path):
     path = str(tmp_path / "metrics")
     one = spark.createDataFrame([("a", 0.1, None, None, 0.2)], tables.METRIC_SCHEMA)
     two = spark.createDataFrame([("a", 0.9, None, None, 0.9), ("b", 0.3, 0.4, 0.5, 0.6)], tables.METRIC_SCHEMA)
-    for runs in (one, two, two):
+    for runs in (one.unionByName(one), two, two.unionByName(two.withColumn("train_acc", F.lit(9.0)))):
         tables.append_new_runs(spark, runs, path)
     got = {r.run_name: r.train_acc for r in spark.read.parquet(path).collect()}
     assert got == {"a": 0.1, "b": 0.3} and spark.read.parquet(path).count() == 2
@@ -60,3 +60,20 @@ def test_whole_chain(spark, testdata, with_recency):
     assert set(per_split) == set(prompts.MODES)
     train = back["sequences"].where("split = 'train' and size(pids) = 19")
     assert not train.isEmpty()
+
+
+def test_scratch_folders_go_with_their_context(spark):
+    from footfall.session import scratch, staged
+
+    with scratch(spark) as made:
+        table = staged(spark.range(5).toDF("n"), "five")
+        assert table.count() == 5 and tables.table_exists(spark, made[0])
+    assert not tables.table_exists(spark, made[0])
+
+
+def test_sparse_vectors(spark):
+    from footfall.operators.features import ml_vectors, sparse_vectors
+
+    rows = spark.createDataFrame([(1, 4, 1.0), (1, 0, 0.5), (2, 9, 1.0)], "pid int, idx bigint, value double")
+    found = {r.pid: r.features for r in ml_vectors(sparse_vectors(rows, 10)).collect()}
+    assert list(found[1].toArray()) == [0.5, 0, 0, 0, 1.0, 0, 0, 0, 0, 0] and found[2].indices.tolist() == [9]
