@@ -66,7 +66,129 @@ select doc_id, len(s)::bigint as n_shingles, least(doc_id, (select min(target) f
 from sets
 """
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NOTICES = " or ".join(
+    f"contains(lower_line, '{phrase}')"
+    for phrase in (
+        "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
+        "accept cookies", "accept all cookies", "uses cookies", "use cookies", "enable javascript", "subscribe to our", "click here",
+    )
+)
+
+LINE_FIRST_QUALITY = rf"""
+with texts as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {_WORD}) as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 4], ' ') as five from texts, unnest(range(1, greatest(len(w) - 3, 1))) r(i)
+), repeated as (
+    select doc_id, i from (select *, count(*) over (partition by doc_id, five) as n from windows) c where n > 1
+), covered as (
+    select doc_id, count(distinct i + k) as n_repeat_words from repeated, range(0, 5) r(k) group by doc_id
+), lines as (
+    select doc_id, line, regexp_extract_all(line, {_WORD}) as w, {_LOWER.format('line')} as lower_line,
+           length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) as signs,
+           length(line) - length(regexp_replace(line, '[A-Z]', '', 'g')) as capitals,
+           length(line) - length(regexp_replace(line, '[a-z]', '', 'g')) as smalls
+    from (select doc_id, unnest(string_split(t, chr(10))) as line from texts) l where regexp_matches(line, {_WORD})
+), sized as (
+    select *, list_sum(list_transform(w, lambda x: strlen(x)))::bigint as size,
+           len(list_filter(w, lambda x: x in ('|', '›', '»', '•', '>', '/', '—', '–'))) as separators,
+           len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) as same
+    from lines
+), judged as (
+    select *, case
+        when signs > 0.1::double * size then 'signs'
+        when len(w) >= 4 and capitals > 0.6::double * (capitals + smalls) then 'shouting'
+        when len(w) >= 4 and separators * 5 > len(w) then 'navigation'
+        when {_NOTICES} then 'boilerplate'
+        when len(w) >= 10 and same * 2 > len(w) then 'repetition'
+        when len(w) >= 10 and not regexp_matches(line, '[.!?…。！？][)\]"''”’»]*(?:[\x20\x09-\x0D]|$)') then 'punctuation'
+        end as rule
+    from sized
+), by_document as (
+    select doc_id, count(*) as n_lines, count(rule) as n_failed_lines, count(*) - count(distinct line) as n_dup_lines,
+           sum(size)::bigint as word_bytes, coalesce(sum(size) filter (rule is not null), 0)::bigint as lost_bytes,
+           coalesce(sum(size) filter (rule = 'boilerplate'), 0)::bigint as notices
+    from judged group by doc_id
+), figures as (
+    select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+           coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(n_failed_lines, 0) as n_failed_lines,
+           coalesce(lost_bytes, 0)::bigint as lost_bytes, coalesce(word_bytes, 0)::bigint as word_bytes, coalesce(notices, 0) as notices,
+           len(w) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(w) as base_failed
+    from texts left join covered using (doc_id) left join by_document using (doc_id)
+)
+select * exclude (notices),
+       not base_failed and lost_bytes < word_bytes and lost_bytes - notices <= 0.5::double * (word_bytes - notices) as kept
+from figures
+"""
+
+LINE_RUNS = f"""
+with split as (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as number
+    from documents
+), lines as (
+    select doc_id, line, number, row_number() over (partition by doc_id order by number) as seq,
+           least(len(regexp_extract_all(line, {_WORD})), 5) as words
+    from split where regexp_matches(line, {_WORD})
+), stretches as (
+    select a.doc_id, a.seq, n.l, string_agg(b.line, chr(10) order by b.seq) as content, sum(b.words) as words,
+           arg_min(b.words, b.seq) as first_words, arg_max(b.words, b.seq) as last_words
+    from lines a, range(1, 6) n(l), lines b
+    where b.doc_id = a.doc_id and b.seq >= a.seq and b.seq < a.seq + n.l
+    group by a.doc_id, a.seq, n.l having count(*) = n.l
+), later as (
+    select doc_id, seq, l from (
+        select *, row_number() over (partition by l, content order by doc_id, seq) as copy from stretches
+        where words >= 5 and (words - first_words < 5 or words - last_words < 5)) s
+    where copy > 1
+), gone as (
+    select distinct doc_id, seq + k as seq from later, range(0, 5) r(k) where k < l
+), runs as (
+    select doc_id, count(*) as n_removed, count(*) filter (seq <> before + 1 or before is null) as n_runs
+    from (select *, lag(seq) over (partition by doc_id order by seq) as before from gone) g group by doc_id
+), kept as (
+    select s.doc_id, string_agg(s.line, chr(10) order by s.number) as text
+    from split s left join lines using (doc_id, number)
+    where (s.doc_id, coalesce(seq, -1)) not in (select doc_id, seq from gone) group by s.doc_id
+)
+select d.doc_id, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_runs, 0)::bigint as n_runs, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join runs r on r.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id
+"""
+
+# Bytes as pairs of hex digits: DuckDB cuts texts by characters only.
+SUFFIX_LEVELS = """
+with raw as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n_bytes from documents
+), starts as (
+    select doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) as digest
+    from raw, unnest(range(0, greatest(n_bytes - 199, 0))) r(i)
+), twice as (
+    select doc_id, i from (select doc_id, i, count(*) over (partition by digest) as n from starts) c where n > 1
+), numbered as (
+    select doc_id, i, sum(case when i <= before + 200 then 0 else 1 end) over (partition by doc_id order by i) as span
+    from (select *, lag(i) over (partition by doc_id order by i) as before from twice) t
+), spans as (
+    select doc_id, span, min(i) as first, max(i) + 200 as past from numbered group by doc_id, span
+), pieces as (
+    select doc_id, first, coalesce(lag(past) over (partition by doc_id order by first), 0) as since from spans
+), kept as (
+    select p.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (first - since)), '' order by first)
+                     || any_value(substr(h, 2 * ends.past + 1)) as h
+    from pieces p join raw r on r.doc_id = p.doc_id join (select doc_id, max(past) as past from spans group by doc_id) ends on ends.doc_id = p.doc_id
+    group by p.doc_id
+), sums as (
+    select doc_id, sum(past - first)::bigint as n_removed, count(*) as n_spans from spans group by doc_id
+)
+select r.doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(k.h, r.h))) as kept_sha256
+from raw r left join sums s on s.doc_id = r.doc_id left join kept k on k.doc_id = r.doc_id
+"""
+
 STATEMENTS: dict[str, str] = {
+    "op1_line_first_quality": LINE_FIRST_QUALITY,
     "op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op6_source_mix": SOURCE_MIX,
+    "op7_line_runs": LINE_RUNS,
+    "op8_suffix_levels": SUFFIX_LEVELS,
 }
