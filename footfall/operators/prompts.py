@@ -24,20 +24,26 @@ SEQUENCE_KEY = ["split", "uid", "seq_no"]
 def sequence_to_sids(sequences: DataFrame, codebook: DataFrame) -> DataFrame:
     """Adds ``tokens`` and ``target_token``: semantic ids in visit order. A place without codes is an error.
 
-    Sequences hold at most a few dozen places, so the regrouped lists are small.
+    Sequences hold at most a few dozen places, so the regrouped lists are small. The first step of a sequence carries its
+    other columns, so regrouping the steps brings the whole row back.
     """
     with_target = F.concat("pids", F.array("target"))
-    steps = sequences.select(*SEQUENCE_KEY, F.posexplode(with_target).alias("_at", "pid"))
+    rest = [c for c in sequences.columns if c not in SEQUENCE_KEY]
+    steps = sequences.select(*SEQUENCE_KEY, F.struct(*rest).alias("_rest"), F.posexplode(with_target).alias("_at", "pid"))
+    steps = steps.withColumn("_rest", F.when(F.col("_at") == 0, F.col("_rest")))
     sids = codebook.select("pid", sid_text(F.col("codes")).alias("sid"))
     named = steps.join(sids, "pid", "left").select(
         *SEQUENCE_KEY,
         "_at",
+        "_rest",
         F.coalesce("sid", F.raise_error(F.concat(F.lit("no codes for place "), F.col("pid").cast("string")))).alias("sid"),
     )
-    lists = named.groupBy(*SEQUENCE_KEY).agg(F.array_sort(F.collect_list(F.struct("_at", "sid"))).alias("_steps"))
+    lists = named.groupBy(*SEQUENCE_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("_at", "sid"))).alias("_steps"), F.first("_rest", ignorenulls=True).alias("_rest")
+    )
     texts = F.transform("_steps", lambda s: s["sid"])
-    return sequences.join(lists, SEQUENCE_KEY).select(
-        *sequences.columns,
+    return lists.select(
+        *(F.col(c) if c in SEQUENCE_KEY else F.col(f"_rest.{c}") for c in sequences.columns),
         F.slice(texts, F.lit(1), F.size("_steps") - 1).alias("tokens"),
         F.element_at(texts, -1).alias("target_token"),
     )

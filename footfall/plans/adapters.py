@@ -122,9 +122,10 @@ def clean_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
     return cleaning.project_rename(cleaning.local_time(located), [*cleaning.CLEAN_COLUMNS, *(["recency"] if recency else [])])
 
 
-def visits_li(spark: SparkSession, sf: str, recency: bool = False) -> DataFrame:
+def visits_li(spark: SparkSession, sf: str, recency: bool = False, columns: list[str] | None = None) -> DataFrame:
     # The filter reads its input four times, twice for counts: the three-table join behind it is done once.
-    return cleaning.frequency_filter(staged(clean_li(spark, sf, recency), "clean"), LI_PLACE_MIN, LI_USER_MIN)
+    rows = clean_li(spark, sf, recency)
+    return cleaning.frequency_filter(staged(rows.select(*(columns or rows.columns)), "clean"), LI_PLACE_MIN, LI_USER_MIN)
 
 
 def staged_visits_li(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,6 +151,12 @@ def split_li(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
 
 
+def train_li(spark: SparkSession, sf: str) -> DataFrame:
+    """The train rows alone, where no test row is needed."""
+    rows = staged(clean_li(spark, sf).select("uid", "pid", "time", *cleaning.ORDER_COLUMNS), "clean")
+    return splits.time_split(rows).where("is_train").drop("is_train")
+
+
 def sequences_li(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.generate_sequences(*split_li(spark, sf))
 

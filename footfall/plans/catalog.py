@@ -214,7 +214,7 @@ def visit_recency(spark, sf):
 
 @query
 def frequency_filter(spark, sf):
-    return A.visits_li(spark, sf).select("row_id", "uid", "pid")
+    return A.visits_li(spark, sf, columns=["row_id", "uid", "pid"])
 
 
 @query
@@ -386,18 +386,18 @@ def _shown_visits(name: str) -> list[Column]:
 
 @query
 def cap_history(spark, sf):
-    return sequences.cap_history(A.split_li(spark, sf)[0]).select("uid", *_shown_visits("visits"))
+    return sequences.cap_history(A.train_li(spark, sf)).select("uid", *_shown_visits("visits"))
 
 
 @query
 def train_windows(spark, sf):
-    windows = sequences.train_windows(sequences.cap_history(A.split_li(spark, sf)[0])).where(F.size("window") == sequences.WINDOW)
+    windows = sequences.train_windows(sequences.cap_history(A.train_li(spark, sf))).where(F.size("window") == sequences.WINDOW)
     return windows.select("uid", "seq_no", "end", *_shown_visits("window"))
 
 
 @query
 def short_history_example(spark, sf):
-    windows = sequences.train_windows(sequences.cap_history(A.split_li(spark, sf)[0])).where(F.size("window") < sequences.WINDOW)
+    windows = sequences.train_windows(sequences.cap_history(A.train_li(spark, sf))).where(F.size("window") < sequences.WINDOW)
     return windows.select("uid", "end", *_shown_visits("window"))
 
 
@@ -407,7 +407,7 @@ def _shown_sequences(df: DataFrame, *extra: str) -> DataFrame:
 
 @query
 def mask_augment(spark, sf):
-    return _shown_sequences(sequences.train_sequences(A.split_li(spark, sf)[0]))
+    return _shown_sequences(sequences.train_sequences(A.train_li(spark, sf)))
 
 
 @query
@@ -524,8 +524,10 @@ def encode_places(spark, sf):
 # ---- prompts ----
 
 
-def _tokens(spark, sf):
-    return prompts.sequence_to_sids(staged(A.sequences_li(spark, sf), "sequences"), A.place_codebook(spark, sf))
+def _tokens(spark, sf, split: str | None = None):
+    """Sequences with their tokens, of one split or of all; train sequences alone need no test rows."""
+    rows = sequences.train_sequences(A.train_li(spark, sf)).withColumn("split", F.lit("train")) if split == "train" else A.sequences_li(spark, sf)
+    return prompts.sequence_to_sids(rows, A.place_codebook(spark, sf))
 
 
 @query
@@ -570,8 +572,8 @@ def token_length_histogram(spark, sf):
     return prompts.token_length_histogram(prompts.token_lengths(A.table(spark, sf, "documents")))
 
 
-def _completions(spark, sf):
-    return prompts.prompt_completion(prompts.prompt_with_time(_tokens(spark, sf)))
+def _completions(spark, sf, split: str | None = None):
+    return prompts.prompt_completion(prompts.prompt_with_time(_tokens(spark, sf, split)))
 
 
 @query
@@ -582,7 +584,7 @@ def extract_user_sids(spark, sf):
 
 @query
 def collect_users_sids(spark, sf):
-    return prompts.collect_users_sids(_completions(spark, sf).where("split = 'train'"))
+    return prompts.collect_users_sids(_completions(spark, sf, "train"))
 
 
 @query
