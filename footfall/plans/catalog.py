@@ -28,6 +28,7 @@ from footfall.operators import (
     splits,
 )
 from footfall.plans import adapters as A
+from footfall.plans.dataset import process_clean
 from footfall.session import scratch_folder, staged
 from footfall.sources import checkins, codebooks, instructions, tables
 
@@ -119,16 +120,27 @@ def read_codebook(spark, sf):
 
 @query
 def write_tables(spark, sf):
-    folder = scratch_folder(spark, "tables")
-    visits = A.clean_li(spark, sf)
-    paths = tables.write_tables(
-        {"visits": visits, "dictionary": encoding.build_dictionary(visits, "catname")}, folder
-    )
-    counts = [
-        spark.read.parquet(p).select(F.lit(p.rsplit("/", 1)[1]).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
-        for p in paths
-    ]
-    return counts[0].unionByName(counts[1])
+    """All tables of a processed data set, written and read back: rows and weighted sums of each table and split."""
+    clean = A.clean_li(spark, sf)
+    data = process_clean(clean, A.LI_PLACE_MIN, A.LI_USER_MIN)
+    paths = tables.write_tables(data.tables(), scratch_folder(spark, "tables"), partition_by={"sequences": "split"})
+    back = {p.rsplit("/", 1)[1]: spark.read.parquet(p) for p in paths}
+    sums = {name: F.col("mapped") for name in back if name.startswith("dictionary_")}
+    sums |= dict.fromkeys(("train", "test"), F.col("uid") + 3 * F.col("pid"))
+    sums["visits"] = F.col("uid") + 3 * F.col("pid") + 5 * F.col("catname") + 7 * F.col("region")
+    sums["profile"] = F.size("uids") + 3 * F.size("times") + 5 * F.size("neighbors") + 7 * F.size("forward_neighbors")
+    sums["sequences"] = F.col("target") + 3 * F.size("pids") + 5 * F.element_at("pids", 1)
+    sums["metadata"] = F.col("total_dim")
+    sums["features"] = F.col("idx")
+    parts = []
+    for name, value in sums.items():
+        table_name = F.concat(F.lit(f"{name}_"), "split") if name == "sequences" else F.lit(name)
+        rows = back[name].select(table_name.alias("table_name"), value.cast("bigint").alias("v"))
+        parts.append(rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
 
 
 def _run_metrics(spark, sf):
@@ -658,6 +670,17 @@ def top1_accuracy(spark, sf):
     return scoring.top1_accuracy(_results(spark, sf), ["split"]).select("split", "examples", r6("accuracy"))
 
 
+@query
+def plain_id_accuracy(spark, sf):
+    """Tables of plain ids are scored with their own hint."""
+    rows = _predicted(spark, sf).select(
+        "split",
+        F.concat(F.lit("<"), F.col("target").cast("string"), F.lit(">")).alias("gold"),
+        F.concat(F.col("predicted").cast("string"), F.lit(">")).alias("result"),
+    )
+    return scoring.top1_accuracy(rows, ["split"], scoring.ID_PREFIX).select("split", "examples", r6("accuracy"))
+
+
 def _split_metrics(spark, sf):
     # Validation rows spread over three runs, the others over four: the fourth run has a missing value.
     number = F.when(F.col("split") == "val", F.col("uid") % 3).otherwise(F.col("uid") % 4)

@@ -16,6 +16,8 @@ class Dataset:
     visits: DataFrame
     dictionaries: dict[str, DataFrame]
     profile: DataFrame
+    train: DataFrame
+    test: DataFrame
     sequences: DataFrame
     metadata: DataFrame
     features: DataFrame
@@ -25,6 +27,8 @@ class Dataset:
         return {
             "visits": self.visits,
             "profile": self.profile,
+            "train": self.train,
+            "test": self.test,
             "sequences": self.sequences,
             "metadata": self.metadata,
             "features": self.features,
@@ -42,12 +46,27 @@ def process_dataset(
     with_recency: bool = False,
     seed: int = DEFAULT_SEED,
 ) -> Dataset:
-    """Everything up to the feature vectors. ``with_recency`` selects the recency-weighted variant.
+    """Everything up to the feature vectors. ``with_recency`` selects the recency-weighted variant."""
+    clean = cleaning.clean_checkins(raw, with_recency)
+    return process_clean(clean, poi_min_freq, user_min_freq, window_size, step_size, mask_prob, with_recency, seed)
 
-    Clean rows, filtered rows and encoded rows are written once each to the shared scratch folder: every one of them
-    is read several times, and later scans prune columns instead of cleaning the raw files again.
+
+def process_clean(
+    clean: DataFrame,
+    poi_min_freq: int = 10,
+    user_min_freq: int = 10,
+    window_size: int = 50,
+    step_size: int = 10,
+    mask_prob: float = 0.1,
+    with_recency: bool = False,
+    seed: int = DEFAULT_SEED,
+) -> Dataset:
+    """The same from clean check-ins.
+
+    Clean rows, filtered rows, encoded rows and the split are written once each to the shared scratch folder: every one of
+    them is read several times, and later scans prune columns instead of cleaning the raw files again.
     """
-    clean = staged(cleaning.clean_checkins(raw, with_recency), "clean")
+    clean = staged(clean, "clean")
     kept = staged(cleaning.frequency_filter(clean, poi_min_freq, user_min_freq), "kept")
     dictionaries = {
         name: staged(table, f"dictionary-{name}") for name, table in encoding.build_dictionaries(kept, seed).items()
@@ -62,11 +81,11 @@ def process_dataset(
         visits, graph.neighbors(visits), graph.forward_neighbors(visits), with_recency=with_recency
     )
 
-    train, test = splits.split_data(visits)
+    train, test = (staged(part, name) for part, name in zip(splits.split_data(visits), ("train", "test"), strict=True))
     examples = sequences.generate_sequences(train, test, window_size, step_size, mask_prob, seed)
 
     metadata = features.feature_metadata(visits)
     long_features = features.assemble_features(
         profiles.place_heads(visits), profiles.first_visits(visits, "time"), who, metadata
     )
-    return Dataset(visits, dictionaries, profile, examples, metadata, long_features)
+    return Dataset(visits, dictionaries, profile, train, test, examples, metadata, long_features)

@@ -339,6 +339,14 @@ PARTS: dict[str, str] = {
 }
 
 
+# The split and the sequences again, of the filtered and encoded rows.
+_CHAIN = ["marked", "train", "test", "all_rows", "hist", "ends", "win", "aim", "seq_train", "test_pos", "both_pos", "seq_val", "seq_test", "seq_test_all", "seqs"]
+PARTS |= {
+    f"{name}_e": re.sub(rf"\b(from|join) ({'|'.join(_CHAIN)})\b", r"\1 \2_e", PARTS[name]).replace("from clean", "from enc")
+    for name in _CHAIN
+}
+
+
 def compose(statement: str) -> str:
     ordered: list[str] = []
 

@@ -44,7 +44,17 @@ STATEMENTS: dict[str, str] = {
       from dialogue group by 1""",
     "read_codebook": f"select pid, {_csv('codes')} as codes, round(list_sum(q),6) as vector_sum from coded",
     "write_tables": """
-      select 'visits' as table_name, count(*) as n from clean union all select 'dictionary', count(distinct catname) from clean""",
+      select 'dictionary_'||dictionary as table_name, count(*) as n, sum(mapped)::bigint as total from dict group by dictionary
+      union all select 'visits', count(*), sum(uid+3*pid+5*catname+7*region)::bigint from enc
+      union all select 'train', count(*), sum(uid+3*pid)::bigint from train_e
+      union all select 'test', count(*), sum(uid+3*pid)::bigint from test_e
+      union all select 'profile', (select count(*) from heads), ((select count(*) from place_users) + 3*(select count(*) from place_times)
+        + 5*(select count(*) from around) + 7*(select count(*) from forward))::bigint
+      union all select 'sequences_'||split, count(*), sum(target+3*len(pids)+5*pids[1])::bigint from seqs_e group by split
+      union all select 'metadata', 1, (c+r+24+u)::bigint from sizes
+      union all select 'features', count(*), sum(idx)::bigint from (
+        select idx from f_category union all select (select c from sizes)+region-1 from enc_heads
+        union all select (select c+r from sizes)+idx from f_hours union all select (select c+r+24 from sizes)+idx from f_users) f""",
     "append_new_runs": """
       select run_name, train_acc, val_acc, test_all_acc,
              case when substr(md5(run_name),1,1) < '8' then -1.0::double else test_acc end as test_acc from run_metrics""",
@@ -198,6 +208,9 @@ STATEMENTS: dict[str, str] = {
     "batch_predict": "select split, uid, seq_no, target, coalesce(predicted,-1) as predicted from guessed",
     "first_nonempty_attempt": "select split, uid, seq_no, gold, result from results",
     "top1_accuracy": "select split, count(*) as examples, round(avg(hit),6) as accuracy from scored group by split",
+    "plain_id_accuracy": """
+      select split, count(*) as examples, round(avg(contains('<'||coalesce(predicted||'>',''), '<'||target||'>')::int),6) as accuracy
+      from guessed group by split""",
     "metrics_by_split": """
       select run_name, round(coalesce(train_acc,-1),6) as train_acc, round(coalesce(val_acc,-1),6) as val_acc,
              round(coalesce(test_all_acc,-1),6) as test_all_acc, round(coalesce(test_acc,-1),6) as test_acc from metrics""",
