@@ -6,6 +6,8 @@ dictionary, so a dense matrix is never built.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,13 +21,29 @@ _PLACES_PER_BLOCK = 65_536
 
 
 def feature_metadata(df: DataFrame) -> DataFrame:
-    """One row: sizes of the blocks and where each starts."""
-    sizes = df.agg(
-        F.count_distinct("pid").alias("num_pois"),
-        F.count_distinct("catname").alias("num_categories"),
-        F.count_distinct("region").alias("num_regions"),
-        F.count_distinct("uid").alias("num_users"),
+    """One row: sizes of the blocks and where each starts, counted on the visits."""
+    return _metadata(
+        df.agg(
+            F.count_distinct("pid").alias("num_pois"),
+            F.count_distinct("catname").alias("num_categories"),
+            F.count_distinct("region").alias("num_regions"),
+            F.count_distinct("uid").alias("num_users"),
+        )
     )
+
+
+def metadata_of_dictionaries(dictionaries: Mapping[str, DataFrame]) -> DataFrame:
+    """The same from the dictionaries ``pid, catname, region, uid``, whose rows are the distinct values already."""
+    names = {"pid": "num_pois", "catname": "num_categories", "region": "num_regions", "uid": "num_users"}
+    counts = None
+    for column, name in names.items():
+        one = dictionaries[column].select(F.lit(name).alias("name"), F.lit(1).alias("n"))
+        counts = one if counts is None else counts.unionByName(one)
+    total = [F.count(F.when(F.col("name") == name, 1)).alias(name) for name in names.values()]
+    return _metadata(counts.agg(*total))
+
+
+def _metadata(sizes: DataFrame) -> DataFrame:
     c, r, u = F.col("num_categories"), F.col("num_regions"), F.col("num_users")
     return sizes.select(
         "num_pois",

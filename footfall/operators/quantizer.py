@@ -33,6 +33,7 @@ KMEANS_MAX_ITER = 100
 DIVERSITY_TERMS = ["utilization", "compactness", "kl_divergence"]
 
 ENCODED_TYPE = "codes array<int>, vector array<double>, level_sq array<double>"
+WITH_RESIDUALS = ENCODED_TYPE + ", residuals array<array<double>>"
 
 
 def load_codebooks(codewords: DataFrame) -> list[list[list[float]]]:
@@ -53,15 +54,16 @@ def load_codebooks(codewords: DataFrame) -> list[list[list[float]]]:
     return [[levels[level][code] for code in range(len(levels[level]))] for level in range(len(levels))]
 
 
-def quantise(vector: Column, codebooks: Sequence[Sequence[Sequence[float]]]) -> Column:
+def quantise(vector: Column, codebooks: Sequence[Sequence[Sequence[float]]], residuals: bool = False) -> Column:
     """``struct<codes, vector, level_sq>``: nearest codeword per level on the running residual.
 
-    The smallest index wins among equally near codewords. ``level_sq`` is the squared residual norm after each level.
+    The smallest index wins among equally near codewords. ``level_sq`` is the squared residual norm after each level;
+    ``residuals``, if asked for, what each level was given.
     """
     books = [[list(map(float, word)) for word in level] for level in codebooks]
     cells = 2_000_000
 
-    @F.pandas_udf(ENCODED_TYPE)
+    @F.pandas_udf(WITH_RESIDUALS if residuals else ENCODED_TYPE)
     def encode(batch: pd.Series) -> pd.DataFrame:
         tables = [np.asarray(level, dtype=np.float64) for level in books]
 
@@ -79,24 +81,27 @@ def quantise(vector: Column, codebooks: Sequence[Sequence[Sequence[float]]]) ->
             return best
 
         if len(batch) == 0:
-            return pd.DataFrame({"codes": [], "vector": [], "level_sq": []})
+            names = ["codes", "vector", "level_sq", *(["residuals"] if residuals else [])]
+            return pd.DataFrame({name: [] for name in names})
         x = np.stack(batch.to_numpy()).astype(np.float64)
         total = np.zeros_like(x)
-        codes, errors = [], []
+        codes, errors, given = [], [], []
         for table in tables:
             rest = x - total
+            given.append(rest)
             step = max(1, cells // len(table))  # bounds the distance matrix, whatever the codebook's size
             best = np.concatenate([nearest(rest[i : i + step], table) for i in range(0, len(rest), step)])
             total = total + table[best]
             codes.append(best)
             errors.append(((x - total) ** 2).sum(1))
-        return pd.DataFrame(
-            {
-                "codes": list(np.stack(codes, 1).astype(np.int32)),
-                "vector": list(total),
-                "level_sq": list(np.stack(errors, 1)),
-            }
-        )
+        out = {
+            "codes": list(np.stack(codes, 1).astype(np.int32)),
+            "vector": list(total),
+            "level_sq": list(np.stack(errors, 1)),
+        }
+        if residuals:
+            out["residuals"] = [list(row) for row in np.stack(given, 1)]
+        return pd.DataFrame(out)
 
     return encode(vector)
 
@@ -118,21 +123,13 @@ def residual_codes(vectors: DataFrame, codewords: DataFrame) -> DataFrame:
 
 
 def residuals_per_level(vectors: DataFrame, codewords: DataFrame) -> DataFrame:
-    """``pid, level, code, residual``: what each level was asked to quantise and the code it gave."""
-    book = load_codebooks(codewords)
-    parts = []
-    for level in range(len(book)):
-        before = book[:level]
-        residual = F.col("vector")
-        if before:
-            residual = F.zip_with("vector", quantise(F.col("vector"), before)["vector"], lambda a, b: a - b)
-        step = vectors.select("pid", residual.alias("residual"))
-        code = F.get(quantise(F.col("residual"), [book[level]])["codes"], F.lit(0))
-        parts.append(step.select("pid", F.lit(level).alias("level"), code.alias("code"), "residual"))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    """``pid, level, code, residual``: what each level was asked to quantise and the code it gave.
+
+    One pass over the vectors: all levels come from one call, and the rows per level are made from its result.
+    """
+    coded = vectors.select("pid", quantise(F.col("vector"), load_codebooks(codewords), residuals=True).alias("q"))
+    levels = F.arrays_zip(F.col("q.codes").alias("code"), F.col("q.residuals").alias("residual"))
+    return coded.select("pid", F.posexplode(levels).alias("level", "e")).select("pid", "level", "e.code", "e.residual")
 
 
 def fit_codebooks(

@@ -84,7 +84,7 @@ def process_clean(
     train, test = (staged(part, name) for part, name in zip(splits.split_data(visits), ("train", "test"), strict=True))
     examples = sequences.generate_sequences(train, test, window_size, step_size, mask_prob, seed)
 
-    metadata = features.feature_metadata(visits)
+    metadata = features.metadata_of_dictionaries(dictionaries)
     long_features = features.assemble_features(
         profiles.place_heads(visits), profiles.first_visits(visits, "time"), who, metadata
     )

@@ -7,7 +7,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from footfall.session import build_session  # noqa: E402
+from footfall.session import build_session, scratch  # noqa: E402
+from footfall.sources.tables import table_exists  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +24,9 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    with scratch(session) as made:
+        yield session
+    assert not any(table_exists(session, path) for path in made)
 
 
 @pytest.fixture(scope="session")

@@ -86,3 +86,17 @@ def test_no_python_rows_anywhere(spark, sf_dir):
     visits = adapters.encoded_li(spark, sf_dir)
     assert "BatchEvalPython" not in plan_of(visits)
     assert visits.where(F.col("uid").isNull()).isEmpty()
+
+
+def test_residuals_of_all_levels_take_one_python_pass(spark, sf_dir):
+    rows = quantizer.residuals_per_level(adapters.vectors(spark, sf_dir), adapters.codewords(spark, sf_dir))
+    plan = plan_of(rows.join(adapters.codewords(spark, sf_dir).select("level", "code"), ["level", "code"], "left"))
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_neighbours_join_the_profile_in_one_aggregation(visits):
+    plain, full = profiles.place_profile(visits), graph.attach_neighbors(visits, graph.neighbors(visits), graph.forward_neighbors(visits))
+    lists = graph.neighbors(visits), graph.forward_neighbors(visits)
+    added = plan_of(full).count("Exchange") - plan_of(plain).count("Exchange")
+    # Beyond the two neighbour tables only their way into the one aggregation, which the profile has anyway.
+    assert added <= sum(plan_of(x).count("Exchange") for x in lists)
