@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import bpe, line_runs, mixing, ngram_join, quality
-from footfall.llm.common import shared_folder
+from footfall.session import scratch_folder
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows go to the shared folder and come back from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = shared_folder(spark, "pipeline")
+    folder = scratch_folder(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES, 1):
         out = stage(spark, docs, sf_dir)
         if number == len(STAGES):

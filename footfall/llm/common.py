@@ -1,27 +1,23 @@
-"""Helpers shared by the operators: words, Arrow batches, written tables."""
+"""Helpers shared by the operators: Arrow batches and written tables."""
 
 from __future__ import annotations
 
 import gc
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-# A word is a maximal run of characters other than the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
+from footfall.session import scratch_folder
+
+# The six ASCII white-space characters, at which ``bytes.split`` cuts words.
 WHITE = b" \t\n\x0b\x0c\r"
 # Rows of one Arrow batch: texts may be long, so batches are kept short.
 BATCH_ROWS = 256
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text as UTF-8; ``bytes.split`` cuts at exactly the six ASCII white-space characters."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
 def map_batches(
     df: DataFrame,
     columns: list[str],
@@ -37,10 +33,6 @@ def map_batches(
     # Only a bound on the batch's size, which no result depends on.
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-    # The names and types go to the tasks by the schema that Spark checks the batches against.
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,17 +45,9 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which executors and driver share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 def written_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``written``, and the folder."""
-    path = shared_folder(df.sparkSession, name)
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
