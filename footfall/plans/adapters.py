@@ -98,7 +98,9 @@ def checkins_li(spark: SparkSession, sf: str) -> DataFrame:
     )
     row_id = F.concat(
         *(F.lpad(F.col(c).cast("string"), n, "0") for c, n in
-          (("l_orderkey", 10), ("l_linenumber", 2), ("l_partkey", 10), ("l_suppkey", 8)))
+          (("l_orderkey", 10), ("l_linenumber", 2), ("l_partkey", 10), ("l_suppkey", 8))),
+        # The four keys together occur twice now and then.
+        F.date_format("l_shipdate", "yyyyMMdd"),
     )
     part = F.col("l_partkey")
     hours = F.pmod(part * 7 + F.col("l_linenumber"), F.lit(24)).cast("int")

@@ -96,7 +96,7 @@ PARTS: dict[str, str] = {
     # check-ins of the line items
     "li": """
       select lpad(l_orderkey::varchar,10,'0')||lpad(l_linenumber::varchar,2,'0')
-             ||lpad(l_partkey::varchar,10,'0')||lpad(l_suppkey::varchar,8,'0') as row_id,
+             ||lpad(l_partkey::varchar,10,'0')||lpad(l_suppkey::varchar,8,'0')||strftime(l_shipdate,'%Y%m%d') as row_id,
              o_custkey as uid, l_partkey as pid, p_type as catname,
              (-59.987)::double+(l_partkey%120) as lat, (-119.987)::double+floor((l_partkey%2400)/10) as lon,
              (60*(o_custkey%5)-120)::int as tz_offset,
