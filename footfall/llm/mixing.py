@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from footfall.llm.common import written
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Between a word and the white space after it: cuts a text into pieces of one word each.
 AFTER_WORD = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
@@ -28,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2.0
 SEED = "mix-1"
+# Sources up to which the table of their targets is broadcast (some 100 bytes each); beyond it the join shuffles.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -119,7 +123,9 @@ def mixed(
         .agg(F.max(F.struct("bucket", "start")).alias("last"))
         .select(F.struct("source", "source_size", "target", "whole", "cut", "last").alias("_plan"))
     )
-    plan = plan.withColumn("_plan_source", F.col("_plan.source"))
+    # One row per source, written so that its size is known: the rows are not dealt out by source, of which one may be hot.
+    plan = written(plan.withColumn("_plan_source", F.col("_plan.source")), "mix-plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     joined = rows.withColumn("_mix", F.col(out)).drop(out)
     joined = joined.join(plan, F.col("_mix.source").eqNullSafe(F.col("_plan_source"))).drop("_plan_source")
     here = F.col("_mix.bucket") == F.col("_plan.last.bucket")
