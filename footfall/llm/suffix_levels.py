@@ -36,7 +36,9 @@ BATCHES = 4
 # Text bytes whose suffixes one range of the arrays holds, about.
 RANGE_BYTES = 1 << 25
 # Bytes of text laid end to end at once.
-GATHER = 1 << 21
+GATHER = 1 << 19
+# Documents of one batch where each comes with a list of its stretches or ranges.
+LISTED_ROWS = 24
 # Stretches of one suffix that one group compares, about.
 GROUP = 4_096
 DOC = ["doc", "digest"]
@@ -195,7 +197,7 @@ def window_rows(stretches: DataFrame, docs: DataFrame) -> DataFrame:
 
     joined = docs.join(by_doc, DOC)
     schema = "gram bigint, salt bigint, alone boolean, doc bigint, digest bigint, windows binary, digests binary"
-    return map_batches(joined, [*DOC, "text", "parts"], run, schema)
+    return map_batches(joined, [*DOC, "text", "parts"], run, schema, rows=LISTED_ROWS)
 
 
 def equal_windows(rows: DataFrame) -> DataFrame:
@@ -247,7 +249,7 @@ def equal_windows(rows: DataFrame) -> DataFrame:
         arrays = [pa.array(np.asarray(c, np.int64)) for c in columns]
         return pa.RecordBatch.from_arrays(arrays, names=["doc", "digest", "first", "last"])
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     dealt = rows.select(*names).repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     return dealt.mapInArrow(run, "doc bigint, digest bigint, first bigint, last bigint")
 
@@ -311,7 +313,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", batc
             yield out
 
     schema = "doc bigint, digest bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    changed = map_batches(docs.join(ranges, DOC).dropDuplicates(DOC), [*DOC, "text", "ranges"], run, schema)
+    changed = map_batches(docs.join(ranges, DOC).dropDuplicates(DOC), [*DOC, "text", "ranges"], run, schema, rows=LISTED_ROWS)
     release(df.sparkSession)
     plain = keyed(df, key, text, F.col(f"`{key}`").cast("bigint").alias("given"))
     facts = plain.select(
