@@ -8,8 +8,8 @@
    presentations. What looks and reads the same on all pages comes near 0, what differs from page to page near 1. A node of fewer
    than ``LEAST_PAGES`` pages has importance 1, for nothing can be said of it.
 3. From each page the branches below ``LOWEST`` go, and those that their tag or class declares to be no text of the page: navigation,
-   footers, forms, scripts, adverts, notices, comments. What an ``article`` (else ``main``) element holds is never judged by the tree, and
-   where a page has such elements only they are read.
+   footers, forms, scripts, adverts, notices, comments. What an ``article`` (else ``main``) element holds is never judged by the tree,
+   no branch around such an element goes, and where a page has such elements only they are read.
 
 Text outside tags is decoded, white space inside a block becomes one blank, and blocks are joined by one blank in page order. Null and
 empty pages give an empty text. Pages without a url are of one host without a name. Rows are independent in the second pass, so repeated rows give
@@ -83,10 +83,12 @@ def path_number(path: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    __slots__ = ("tag", "path", "noise", "main", "holds", "children")
 
     def __init__(self, tag: str, path: str, noise: bool, main: str):
         self.tag, self.path, self.noise, self.main = tag, path, noise, main
+        # Whether an article or main element stands in it.
+        self.holds = False
         self.children: list[str] = []
 
 
@@ -156,6 +158,9 @@ def read_page(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]
         noise = noise or (tag == "header" and not main)
         main = tag if tag in ("article", "main") and main != "article" else main
         element = Element(tag, f"{above.path}/{label}" if above else label, noise or bool(above and above.noise), main)
+        if tag in ("article", "main") and not element.noise:
+            for e in stack:
+                e.holds = True
         elements.append(element)
         stack.append(element)
     if at < len(page):
@@ -170,7 +175,7 @@ def main_text(page: str | None, removed: frozenset[int] | set[int]) -> str:
     if removed:
         low = {
             id(e) for e in elements
-            if not e.main and e.tag not in KEPT_TAGS and path_number(e.path) in removed
+            if not e.main and not e.holds and e.tag not in KEPT_TAGS and path_number(e.path) in removed
         }
         blocks = [(t, around) for t, around in blocks if not any(id(e) in low for e in around)]
     blocks = [(t, around[-1].main if around else "") for t, around in blocks if not (around and around[-1].noise)]
@@ -208,9 +213,8 @@ def tree_facts(pages: DataFrame) -> DataFrame:
                         found.add((path, 0, 0))
                         found.add((path, 1, path_number(">".join(e.children))))
                 for text, around in blocks:
-                    if around and not around[-1].main:
-                        value = path_number(text)
-                        found.update((path_number(e.path), 2, value) for e in around if e.tag not in KEPT_TAGS)
+                    value = path_number(text)
+                    found.update((path_number(e.path), 2, value) for e in around if not e.main and e.tag not in KEPT_TAGS)
                 rows += [(host, *f) for f in found]
             yield [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
 

@@ -278,3 +278,16 @@ def test_tree_removes_what_all_pages_of_a_host_share(spark):
         assert by[k].text == f"Story {k} tells of {k * 7} things. It ends with {k + 1}." and by[k].n_chars == len(by[k].text)
     assert "Our fine site" in by[100].text and by[101].text == "" and by[102].n_chars == 0
     assert style_tree.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrapped_articles_stay(spark, tag):
+    def page(k: int) -> str:
+        return (f"<body><div class=top><p>Our fine site</div><div id=content><p>Read on</p><{tag}><p>Story {k} tells of {k * 7}.</p>"
+                f"</{tag}></div></body>")
+
+    rows = [(k, f"http://many.example.com/{k}", page(k)) for k in range(30)]
+    rows += [(100 + k, "http://same.example.com/", f"<body><div><section><{tag}>One text {k // 6}.</{tag}></section></div>") for k in range(12)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} tells of {k * 7}." for k in range(30))
+    assert all(got[100 + k] == f"One text {k // 6}." for k in range(12))
