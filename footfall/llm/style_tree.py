@@ -1,7 +1,7 @@
 """Main text of web pages by a site style tree.
 
-1. The elements of all pages of a host are merged: those with the same path of tags and classes are one node of the
-   host's tree. A node keeps in how many pages it stands, its presentations (rows of child elements), and how many pages share
+1. The elements of all distinct pages of a host are merged: those with the same path of tags and classes are one node of the
+   host's tree. Pages with the same elements and text blocks are one page, however often they are repeated. A node keeps in how many pages it stands, its presentations (rows of child elements), and how many pages share
    each content (text block) below it.
 2. Importance of a node that ``m`` pages have: presentation ``-sum p log_m p`` over its presentations, content
    ``1 - average of log_m k`` over the contents, each in ``k`` pages; together ``(1 - g^l) presentation + g^l content`` for ``l``
@@ -24,11 +24,13 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import map_batches, written
 
+# Distinct pages.
 LEAST_PAGES = 5
 LOWEST = 0.3
 DECAY = 0.9
@@ -199,12 +201,16 @@ def plain(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
 
 
 def tree_facts(pages: DataFrame) -> DataFrame:
-    """``host, path, kind, value``: what each page has of its host's tree; kinds are page (0), presentation (1), content (2)."""
+    """``host, path, kind, value``: what each distinct page has of its host's tree.
 
-    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+    Kinds are page (0), presentation (1), content (2). Equal pages of a host are told by a digest of all their elements and blocks; the
+    facts of a page are packed into one value until only one of its copies is left.
+    """
+
+    def read(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for hosts, texts in batches:
-            rows: list[tuple[str, int, int, int]] = []
-            for host, page in zip(hosts, texts, strict=True):
+            digests, packed = [], []
+            for page in texts:
                 blocks, elements = read_page(page or "")
                 found: set[tuple[int, int, int]] = set()
                 for e in elements:
@@ -212,13 +218,24 @@ def tree_facts(pages: DataFrame) -> DataFrame:
                         path = path_number(e.path)
                         found.add((path, 0, 0))
                         found.add((path, 1, path_number(">".join(e.children))))
+                shown = [e.path for e in elements]
                 for text, around in blocks:
                     value = path_number(text)
                     found.update((path_number(e.path), 2, value) for e in around if not e.main and e.tag not in KEPT_TAGS)
-                rows += [(host, *f) for f in found]
-            yield [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
-
-    return map_batches(pages, ["host", "page"], run, "host string, path bigint, kind int, value bigint")
+                    shown += [around[-1].path if around else "", text]
+                digests.append(path_number.__wrapped__("\n".join(shown)))
+                packed.append(np.array(sorted(found), np.int64).tobytes())
+            yield [hosts, digests, packed]
+
+    def unpack(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for hosts, packed in batches:
+            facts = [np.frombuffer(p, np.int64).reshape(-1, 3) for p in packed]
+            every = np.concatenate(facts) if facts else np.zeros((0, 3), np.int64)
+            yield [[h for h, f in zip(hosts, facts, strict=True) for _ in range(len(f))], every[:, 0], every[:, 1].astype(np.int32), every[:, 2]]
+
+    read_once = map_batches(pages, ["host", "page"], read, "host string, digest bigint, facts binary")
+    distinct = read_once.dropDuplicates(["host", "digest"])
+    return map_batches(distinct, ["host", "facts"], unpack, "host string, path bigint, kind int, value bigint")
 
 
 def importances(facts: DataFrame) -> DataFrame:

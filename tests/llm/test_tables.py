@@ -291,3 +291,14 @@ def test_wrapped_articles_stay(spark, tag):
     got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(got[k] == f"Story {k} tells of {k * 7}." for k in range(30))
     assert all(got[100 + k] == f"One text {k // 6}." for k in range(12))
+
+
+def test_copies_of_a_page_do_not_empty_their_host(spark):
+    def page(k: int) -> str:
+        return f"<body><div class=top>Our site</div><div class=txt><p>Story {k} tells of {k * 7} things.</p></div></body>"
+
+    rows = [(k, "http://copies.example.com/", f"<body><div class=txt><p>Only page.</p></div><!-- {k} --></body>") for k in range(10)]
+    rows += [(100 + k, "http://most.example.com/", page(max(0, k - 80))) for k in range(100)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == "Only page." for k in range(10))
+    assert all(got[100 + k] == f"Story {max(0, k - 80)} tells of {max(0, k - 80) * 7} things." for k in range(100))
