@@ -8,8 +8,10 @@
    presentations. What looks and reads the same on all pages comes near 0, what differs from page to page near 1. A node of fewer
    than ``LEAST_PAGES`` pages has importance 1, for nothing can be said of it.
 3. From each page the branches below ``LOWEST`` go, and those that their tag or class declares to be no text of the page: navigation,
-   footers, forms, scripts, adverts, notices, comments. What an ``article`` (else ``main``) element holds is never judged by the tree,
-   no branch around such an element goes, and where a page has such elements only they are read.
+   footers, forms, scripts, adverts, notices, comments. No branch around an ``article`` or ``main`` element goes.
+4. Where a page has an ``article`` (else a ``main``) element, branches inside and beside it are judged too. Inside, the low branches stay
+   when they hold more than ``MOST_INSIDE`` of the text (near copies of one article, not what a site adds to each). Beside, only
+   branches stay of which the tree knows that they are at least ``BESIDE``.
 
 Text outside tags is decoded, white space inside a block becomes one blank, and blocks are joined by one blank in page order. Null and
 empty pages give an empty text. Pages without a url are of one host without a name. Rows are independent in the second pass, so repeated rows give
@@ -33,8 +35,10 @@ from footfall.llm.common import map_batches, written
 # Distinct pages.
 LEAST_PAGES = 5
 LOWEST = 0.3
+BESIDE = 0.6
+MOST_INSIDE = 0.5
 DECAY = 0.9
-# Hosts with branches to remove up to which their table is broadcast; beyond it the join shuffles.
+# Hosts with judged branches up to which their table is broadcast; beyond it the join shuffles.
 BROADCAST_HOSTS = 100_000
 
 TAG = re.compile(
@@ -171,21 +175,34 @@ def read_page(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]
     return blocks, elements
 
 
-def main_text(page: str | None, removed: frozenset[int] | set[int]) -> str:
-    """The page's text without declared noise and without the branches whose path numbers are in ``removed``."""
+def main_text(page: str | None, removed: frozenset[int] | set[int], beside: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's text without declared noise and without the branches whose path numbers are in ``removed``.
+
+    Of the text beside the article (else main) elements of a page stays what lies in branches whose path numbers are in ``beside``.
+    """
     blocks, elements = read_page(page or "")
+    low: set[int] = set()
     if removed:
-        low = {
-            id(e) for e in elements
-            if not e.main and not e.holds and e.tag not in KEPT_TAGS and path_number(e.path) in removed
-        }
-        blocks = [(t, around) for t, around in blocks if not any(id(e) in low for e in around)]
-    blocks = [(t, around[-1].main if around else "") for t, around in blocks if not (around and around[-1].noise)]
-    for kind in ("article", "main"):
-        if any(main == kind for _, main in blocks):
-            blocks = [b for b in blocks if b[1] == kind]
-            break
-    return " ".join(t for t, _ in blocks)
+        low = {id(e) for e in elements if not e.holds and e.tag not in KEPT_TAGS and path_number(e.path) in removed}
+    blocks = [b for b in blocks if not (b[1] and b[1][-1].noise)]
+    inside = main_kind(blocks)
+    stays = [not any(id(e) in low for e in around) for _, around in blocks]
+    if inside:
+        own = [k for k, (_, around) in enumerate(blocks) if around and around[-1].main == inside]
+        gone = sum(len(blocks[k][0]) for k in own if not stays[k])
+        if gone > MOST_INSIDE * sum(len(blocks[k][0]) for k in own):
+            for k in own:
+                stays[k] = True
+        for k in set(range(len(blocks))).difference(own):
+            around = blocks[k][1]
+            stays[k] &= bool(around) and around[-1].tag not in KEPT_TAGS and path_number(around[-1].path) in beside
+    return " ".join(text for (text, _), stay in zip(blocks, stays, strict=True) if stay)
+
+
+def main_kind(blocks: list[tuple[str, list[Element]]]) -> str:
+    """The element that holds a page's main text, ``article`` or else ``main``; empty where no text is in either."""
+    found = {around[-1].main for _, around in blocks if around and not around[-1].noise}
+    return "article" if "article" in found else "main" if "main" in found else ""
 
 
 def host_of(url: Column) -> Column:
@@ -203,7 +220,7 @@ def plain(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
 def tree_facts(pages: DataFrame) -> DataFrame:
     """``host, path, kind, value``: what each distinct page has of its host's tree.
 
-    Kinds are page (0), presentation (1), content (2). Equal pages of a host are told by a digest of all their elements and blocks; the
+    Kinds are page (0), presentation (1), content (2), standing beside a page's article or main elements (3). Equal pages of a host are told by a digest of all their elements and blocks; the
     facts of a page are packed into one value until only one of its copies is left.
     """
 
@@ -212,16 +229,19 @@ def tree_facts(pages: DataFrame) -> DataFrame:
             digests, packed = [], []
             for page in texts:
                 blocks, elements = read_page(page or "")
+                inside = main_kind(blocks)
                 found: set[tuple[int, int, int]] = set()
                 for e in elements:
-                    if not e.main and e.tag not in KEPT_TAGS:
+                    if e.tag not in KEPT_TAGS:
                         path = path_number(e.path)
                         found.add((path, 0, 0))
                         found.add((path, 1, path_number(">".join(e.children))))
+                        if inside and e.main != inside and not e.noise:
+                            found.add((path, 3, 0))
                 shown = [e.path for e in elements]
                 for text, around in blocks:
                     value = path_number(text)
-                    found.update((path_number(e.path), 2, value) for e in around if not e.main and e.tag not in KEPT_TAGS)
+                    found.update((path_number(e.path), 2, value) for e in around if e.tag not in KEPT_TAGS)
                     shown += [around[-1].path if around else "", text]
                 digests.append(path_number.__wrapped__("\n".join(shown)))
                 packed.append(np.array(sorted(found), np.int64).tobytes())
@@ -239,7 +259,7 @@ def tree_facts(pages: DataFrame) -> DataFrame:
 
 
 def importances(facts: DataFrame) -> DataFrame:
-    """``host, path, pages, importance`` of the nodes of all trees."""
+    """``host, path, pages, beside, importance`` of the nodes of all trees."""
     counts = facts.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
     k = F.col("k").cast("double")
 
@@ -248,6 +268,7 @@ def importances(facts: DataFrame) -> DataFrame:
 
     nodes = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("pages"),
+        F.max(F.col("kind") == 3).alias("beside"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("styles"),
         over(1, k * F.log(k)).alias("style_k_log_k"),
         over(2, k).alias("contents"),
@@ -258,21 +279,25 @@ def importances(facts: DataFrame) -> DataFrame:
     content = F.when(F.col("contents") > 0, 1 - F.col("content_k_log_k") / (F.col("contents") * F.log(m))).otherwise(0.0)
     weight = F.pow(F.lit(DECAY), F.col("styles"))
     both = (1 - weight) * presentation + weight * content
-    return nodes.select("host", "path", "pages", F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(both).alias("importance"))
+    return nodes.select("host", "path", "pages", "beside", F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(both).alias("importance"))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` for every row of ``df``."""
     pages = plain(df, key, url, page)
-    low = importances(tree_facts(pages)).where(F.col("importance") < LOWEST)
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("removed")), "branches")
-    few = low.count() <= BROADCAST_HOSTS
-    rows = pages.join(F.broadcast(low) if few else low, "host", "left")
+    low = F.col("importance") < LOWEST
+    known = F.col("beside") & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") >= BESIDE)
+    judged = importances(tree_facts(pages)).where(low | known).groupBy("host").agg(
+        F.collect_set(F.when(low, F.col("path"))).alias("removed"), F.collect_set(F.when(known, F.col("path"))).alias("stays")
+    )
+    judged = written(judged, "branches")
+    few = judged.count() <= BROADCAST_HOSTS
+    rows = pages.join(F.broadcast(judged) if few else judged, "host", "left")
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
-        for keys, urls, contents, lists in batches:
-            texts = [main_text(p, frozenset(r or ())) for p, r in zip(contents, lists, strict=True)]
+        for keys, urls, contents, lists, beside in batches:
+            texts = [main_text(p, frozenset(r or ()), frozenset(s or ())) for p, r, s in zip(contents, lists, beside, strict=True)]
             yield [keys, urls, texts, [len(t) for t in texts]]
 
     schema = f"`{key}` bigint, `{url}` string, text string, n_chars bigint"
-    return map_batches(rows, ["key", "url", "page", "removed"], run, schema)
+    return map_batches(rows, ["key", "url", "page", "removed", "stays"], run, schema)

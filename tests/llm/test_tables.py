@@ -302,3 +302,20 @@ def test_copies_of_a_page_do_not_empty_their_host(spark):
     got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(got[k] == "Only page." for k in range(10))
     assert all(got[100 + k] == f"Story {max(0, k - 80)} tells of {max(0, k - 80) * 7} things." for k in range(100))
+
+
+def test_tree_judges_inside_and_beside_articles(spark):
+    def page(k: int) -> str:
+        return (f"<body><p>Welcome</p><div class=txt>Body {k} is here, {k * 7}.</div><article class=teaser><p>Teaser {k}, seen {k * 3} times."
+                f"</p><div class=end>Told by us</div></article></body>")
+
+    def near(k: int) -> str:
+        return f"<body><article><p>The same long text on every page of this host.</p><i>{k}</i></article></body>"
+
+    rows = [(k, "http://teasers.example.com/", page(k)) for k in range(30)]
+    rows += [(100 + k, "http://near.example.com/", near(k)) for k in range(20)]
+    rows += [(200, "http://lone.example.com/", page(3))]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"Body {k} is here, {k * 7}. Teaser {k}, seen {k * 3} times." for k in range(30))
+    assert all(got[100 + k].startswith("The same long text") for k in range(20))
+    assert got[200] == "Teaser 3, seen 9 times. Told by us"
