@@ -17,6 +17,9 @@ TOKEN = re.compile(r"\S+")
 # Documents that a tagger is fitted on, and pieces of one of them: bounds of the labelled sample only.
 TRAIN_DOCUMENTS = 2_000
 TRAIN_PIECES = 400
+# Ranges of key digests by which the documents are counted, and digests in one.
+RANGES = 1 << 14
+RANGE = 1 << 16
 
 
 def windows(text: str, site: re.Pattern, reach: int) -> list[tuple[int, int]]:
@@ -68,27 +71,59 @@ def log_sum(values: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(values - top).sum(axis=axis))
 
 
+def share(positive: int, negative: int, documents: int) -> tuple[int, int]:
+    """How many of each sort a sample takes: as they stand in the table, but a quarter with spans as far as there are so many."""
+    natural = round(documents * positive / max(1, positive + negative))
+    own = min(positive, max(documents // 4, natural, documents - negative))
+    return own, min(negative, documents - own)
+
+
 def labelled_sample(
-    df: DataFrame, key: str, text: str, label: Callable[[str], object | None], documents: int = TRAIN_DOCUMENTS
+    df: DataFrame, key: str, text: str, label: Callable[[str], object | None], sort: Callable[[str], int], documents: int = TRAIN_DOCUMENTS
 ) -> list:
-    """What ``label`` makes of at most ``documents`` documents, those with the smallest digests of their keys.
+    """What ``label`` makes of at most ``documents`` documents of the whole table, those with the smallest digests of their keys.
 
-    Only documents for which it makes something count. The sample's rows come from a digest range wide enough for twenty times
-    as many documents, so the pass that looks for them does not label the whole table.
+    ``sort`` tells of a text whether it has a span to learn from (2), only places where one could be (1), or neither (0). A first pass
+    counts both sorts by ranges of digests; the second one labels only documents of the ranges that fill the sample.
     """
-    total = max(1, df.count())
-    span = 1 << 30
-    digest = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`"), F.lit(-1))), F.lit(span))
-    bound = min(span, span * 20 * documents // total + 1)
+    digest = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`"), F.lit(-1))), F.lit(RANGES * RANGE))
+    docs = df.select(digest.alias("digest"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+
+    def count(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        for digests, texts in batches:
+            yield [[sort(t or "") for t in texts], [d // RANGE for d in digests]]
+
+    counted = map_batches(docs, ["digest", "text"], count, "sort int, part bigint").where("sort > 0")
+    sizes = sorted((r["sort"], r["part"], r["n"]) for r in counted.groupBy("sort", "part").agg(F.count(F.lit(1)).alias("n")).collect())
+    wanted = dict(zip((2, 1), share(*(sum(n for s, _, n in sizes if s == k) for k in (2, 1)), documents), strict=True))
+    bounds = {1: 0, 2: 0}
+    found = {1: 0, 2: 0}
+    for kind, part, n in sizes:
+        if found[kind] < wanted[kind]:
+            found[kind] += n
+            bounds[kind] = (part + 1) * RANGE
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for digests, keys, texts in batches:
-            made = [label(t or "") for t in texts]
-            rows = [(d, k, pickle.dumps(m)) for d, k, m in zip(digests, keys, made, strict=True) if m is not None]
-            yield [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-
-    near = df.select(digest.alias("digest"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    near = near.where(F.col("digest") < bound)
-    labelled = map_batches(near, ["digest", "key", "text"], run, "digest bigint, key bigint, made binary")
-    rows = labelled.orderBy("digest", "key", "made").limit(documents).collect()
-    return [pickle.loads(r["made"]) for r in rows]
+            rows = []
+            for d, k, t in zip(digests, keys, texts, strict=True):
+                kind = sort(t or "")
+                if kind and d < bounds[kind]:
+                    rows.append((kind, d, k, pickle.dumps(label(t or ""))))
+            yield [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], []]
+
+    near = docs.where(F.col("digest") < max(bounds.values()))
+    labelled = map_batches(near, ["digest", "key", "text"], run, "kind int, digest bigint, key bigint, made binary")
+    taken = []
+    for kind, most in wanted.items():
+        if most:
+            taken += labelled.where(F.col("kind") == kind).orderBy("digest", "key", "made").limit(most).collect()
+    made = [pickle.loads(r["made"]) for r in sorted(taken, key=lambda r: (r["digest"], r["key"] is not None, r["key"] or 0, bytes(r["made"])))]
+    return [m for m in made if m is not None]
+
+
+def stretch(tags: list[int], out: int, most: int) -> slice:
+    """At most ``most`` pieces, from the first or, where the first labelled one lies further on, from half as many before that."""
+    first = next((i for i, tag in enumerate(tags) if tag != out), 0)
+    start = 0 if first < most else first - most // 2
+    return slice(start, start + most)

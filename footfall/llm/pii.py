@@ -7,7 +7,7 @@ observed labels. Loopy message passing carries them along both kinds of edges, s
 caught once is labelled alike where it stands without its telling signs. Runs of pieces of one kind in which every piece is
 sure enough are added.
 
-The weights are fitted by pseudo-likelihood on a bounded sample of documents (``TRAIN_DOCUMENTS``) that the patterns label.
+The weights are fitted by pseudo-likelihood on a bounded sample of documents (``TRAIN_DOCUMENTS``) of the whole table, with base spans and without.
 Null and empty texts have no spans; with an empty sample the field adds nothing; repeated rows give repeated rows.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from footfall.llm.common import map_batches
-from footfall.llm.crf import PIECE, TOKEN, TRAIN_PIECES, adam, labelled_sample, log_sum, windows
+from footfall.llm.crf import PIECE, TOKEN, TRAIN_PIECES, adam, labelled_sample, log_sum, stretch, windows
 
 KINDS = ("email", "ip", "card", "phone")
 OUT = len(KINDS)
@@ -188,8 +188,15 @@ def labelled(text: str) -> tuple | None:
     places, features, numbers = pieces_of(text)
     if not places:
         return None
-    places, features, numbers = places[:TRAIN_PIECES], features[:TRAIN_PIECES], numbers[:TRAIN_PIECES]
-    return features, observed(places, base_spans(text)), *edges_of(text, places, numbers)
+    tags = observed(places, base_spans(text))
+    part = stretch(tags, OUT, TRAIN_PIECES)
+    places, numbers = places[part], numbers[part]
+    return features[part], tags[part], *edges_of(text, places, numbers)
+
+
+def sort_of(text: str) -> int:
+    """2 for a text with base spans, 1 for another one with pieces to label, else 0."""
+    return 2 if base_spans(text) else 1 if SITE.search(text) else 0
 
 
 class Field:
@@ -338,7 +345,7 @@ def find_personal_data(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
     The counts are those of the base spans.
     """
-    field = fit(labelled_sample(df, key, text, labelled))
+    field = fit(labelled_sample(df, key, text, labelled, sort_of))
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for keys, texts in batches:

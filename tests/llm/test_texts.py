@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from footfall.llm import bpe, pii, quality, secrets
+from footfall.llm import bpe, crf, pii, quality, secrets
 from tests.llm import brute
 from tests.llm.conftest import ODD_TEXTS
 
@@ -206,3 +206,18 @@ def test_secret_rows(docs_of):
     assert [(r.n_assign, r.n_access, r.n_hex) for r in rows if r.doc_id == 20] == [(1, 0, 1)] * 2
     assert all(r.spans == "" for r in rows if r.doc_id != 20)
     assert secrets.find_secrets(docs_of([])).count() == 0
+
+
+def test_sample_has_the_few_positives_of_a_large_table(docs_of):
+    rows = [(k, f"Chapter {k} has some {k % 97} pages.") for k in range(6000)]
+    rows += [(10_000 + k, SECRETS[k] + " " + PHONES[k] + " " + "7 pages here. " * 10) for k in range(6)]
+    df = docs_of(rows)
+    for module in (pii, secrets):
+        made = crf.labelled_sample(df, "doc_id", "text", module.labelled, module.sort_of, 40)
+        assert len(made) == 40
+        assert module.fit(made if module is pii else [w for m in made for w in m]) is not None
+    late = "Page 7 of 9.\n" * 300 + PHONES[0]
+    assert pii.fit([pii.labelled(late)]) is not None
+    assert secrets.fit(secrets.labelled("In 1 2 3 " * 100 + SECRETS[0])) is not None
+    assert crf.share(3, 10_000, 2000) == (3, 1997) and crf.share(500, 100, 2000) == (500, 100)
+    assert crf.share(60_000, 40_000, 2000) == (1200, 800)
