@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, line_runs, mixing, ngram_join, pii, quality, secrets, style_tree, suffix_levels, vector_graph
+from footfall.llm import (
+    bpe, line_runs, mixing, ngram_join, order_minhash, pii, quality, secrets, style_tree, suffix_levels, vector_graph,
+)
 from footfall.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +79,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_comparison(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_first_quality": op1_line_first_quality,
     "op2_style_tree": op2_style_tree,
@@ -88,5 +94,6 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_levels": op8_suffix_levels,
     "op9_vector_graph": op9_vector_graph,
     "op10_secrets": op10_secrets,
+    "op13_order_minhash": op13_order_minhash,
     "pipeline": corpus_pipeline.run,
 }
