@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from footfall.llm import (
-    bpe, line_runs, mixing, ngram_join, order_minhash, pii, quality, secrets, style_tree, suffix_levels, vector_graph,
+    bpe, hard_negatives, line_runs, mixing, ngram_join, order_minhash, pii, quality, ranked_search, secrets, style_tree,
+    suffix_levels, vector_graph,
 )
 from footfall.llm.common import written
 
@@ -79,6 +80,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label")
+    )
+    return hard_negatives.hard_negatives(vectors, "id % 50 = 0")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return ranked_search.ranked_search(documents(spark, sf_dir, "doc_id", "text"), items)
+
+
 def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_comparison(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -94,6 +108,8 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_levels": op8_suffix_levels,
     "op9_vector_graph": op9_vector_graph,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ranked_search": op12_ranked_search,
     "op13_order_minhash": op13_order_minhash,
     "pipeline": corpus_pipeline.run,
 }

@@ -185,10 +185,67 @@ select r.doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(
 from raw r left join sums s on s.doc_id = r.doc_id left join kept k on k.doc_id = r.doc_id
 """
 
+HARD_NEGATIVES = """
+with usable as (
+    select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+    from usable a join usable b on a.vec_id <> b.vec_id
+    where a.vec_id % 50 = 0
+), positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id,
+       (row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id))::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not same
+     and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+RANKED_SEARCH = """
+with words as (
+    select row_number() over () as row, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+    from documents
+), totals as (
+    select count(*)::hugeint as docs, sum(len(w))::hugeint as terms from words where len(w) > 0
+), counted as (
+    select row, doc_id, len(w) as n, term, count(*)::bigint as tf
+    from (select row, doc_id, w, unnest(w) as term from words) t
+    group by all
+), weights as (
+    select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as weight
+    from counted, totals group by term, docs
+), asked as (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+    from benchmark
+), wanted as (
+    select item_id, term, count(*)::bigint as times from asked group by all
+), scored as (
+    select item_id, row, doc_id,
+           sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // terms)::bigint))))::bigint as score
+    from counted join wanted using (term) join weights using (term), totals
+    group by item_id, row, doc_id
+)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scored where score > 0
+qualify rank <= 20
+"""
+
 STATEMENTS: dict[str, str] = {
     "op1_line_first_quality": LINE_FIRST_QUALITY,
     "op4_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op6_source_mix": SOURCE_MIX,
     "op7_line_runs": LINE_RUNS,
     "op8_suffix_levels": SUFFIX_LEVELS,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_ranked_search": RANKED_SEARCH,
 }
