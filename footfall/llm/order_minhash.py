@@ -31,6 +31,8 @@ SLOTS = 64
 TUPLE = 2
 # Low bits of a packed number: the place of the k-mer in the text. The others are its place on the ring.
 PLACE_BITS = 28
+# Bytes of one unit of a text, and the encoding that has them.
+WIDTH, CHARSET = 4, "UTF-32"
 PLACE = (1 << PLACE_BITS) - 1
 # Rows of a range of keys, and the most ranges: their borders are one small row.
 RANGE_ROWS = 1_024
@@ -42,15 +44,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _at_most(numbers: Column, steps: Column, test: Callable[[Column], Column]) -> Column:
-    """How many leading elements of ``numbers`` pass ``test``, which no later one does; ``steps`` are falling powers of two."""
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(
-            (found + step <= F.size(numbers)) & test(F.get(numbers, found + step - 1)), found + step
-        ).otherwise(found),
+def _leading(numbers: Column, steps: Column, test: Callable[[Column], Column]) -> Column:
+    """How many leading elements of ``numbers`` pass ``test``, which no later one does.
+
+    ``steps`` are falling powers of two. What lies behind the end is null and passes no test.
+    """
+    last = F.aggregate(
+        steps, F.lit(-1), lambda at, step: F.when(test(F.get(numbers, at + step)), at + step).otherwise(at)
     )
+    return last + 1
 
 
 def _powers(n: Column) -> Column:
@@ -60,26 +62,29 @@ def _powers(n: Column) -> Column:
 
 
 def _kmers(text: Column, k: int) -> Column:
-    """Packed digest and place of every k-mer, in text order."""
+    """Packed digest and place of every k-mer, in text order; a place is where its first byte stands, from 1 on."""
 
     def of(wide: Column) -> Column:
-        last = F.greatest((F.octet_length(wide) / 4).cast("int") - k, F.lit(0))
+        last = F.greatest(F.octet_length(wide) - WIDTH * k + 1, F.lit(1))
         return F.transform(
-            F.sequence(F.lit(0), last, F.lit(1)),
-            lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * k)))
-            .bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("bigint")),
+            F.sequence(F.lit(1), last, F.lit(WIDTH)),
+            lambda at: F.xxhash64(F.substring(wide, at, F.lit(WIDTH * k))).bitwiseAND(F.lit(~PLACE)).bitwiseOR(at),
         )
 
-    # Four bytes for each code point: every stretch can be cut out without walking the text.
-    return _let(F.encode(text, "UTF-32"), of)
+    # The same number of bytes for each unit: every stretch can be cut out without walking the text.
+    return _let(F.encode(text, CHARSET), of)
+
 
+def _numbered(sorted_kmers: Column) -> Column:
+    """The k-mers with the second, third, ... occurrence of one moved to a place on the ring of its own."""
+    # Read through a variable: a column read inside a lambda is looked up in the row again for every element.
+    return _let(sorted_kmers, lambda held: F.transform(sorted_kmers, _moved(held)))
 
-def _numbered(by_digest: Column) -> Callable[[Column, Column], Column]:
-    """Moves the second, third, ... occurrence of a k-mer to a place on the ring of its own."""
 
+def _moved(by_digest: Column) -> Callable[[Column, Column], Column]:
     def same(back: Column | int, x: Column, i: Column) -> Column:
-        other = F.get(by_digest, i - back)
-        return (i >= back) & (F.shiftright(other, PLACE_BITS) == F.shiftright(x, PLACE_BITS))
+        # Null, so not true, before the first element.
+        return F.shiftright(F.get(by_digest, i - back).bitwiseXOR(x), PLACE_BITS) == 0
 
     def moved(x: Column, number: Column) -> Column:
         return (
@@ -87,33 +92,31 @@ def _numbered(by_digest: Column) -> Callable[[Column, Column], Column]:
             .bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE)))
         )
 
-    def place(x: Column, i: Column) -> Column:
+    def again(x: Column, i: Column) -> Column:
         # Equal k-mers stand side by side, so the number is found by doubling steps back.
         far = F.aggregate(
             _powers(i),
             F.lit(0),
             lambda found, step: F.when(same(found + step, x, i), found + step).otherwise(found),
         )
-        return (
-            F.when(~same(1, x, i), x)
-            .when(~same(2, x, i), moved(x, F.lit(1)))
-            .when(~same(3, x, i), moved(x, F.lit(2)))
-            .otherwise(moved(x, far))
-        )
+        return moved(x, F.when(same(3, x, i), far).when(same(2, x, i), F.lit(2)).otherwise(F.lit(1)))
 
-    return place
+    return lambda x, i: F.when(same(1, x, i), again(x, i)).otherwise(x)
 
 
-def _slot(start: Column, ring: Column, steps: Column, kmers: Column, size: int) -> Column:
-    first = _at_most(ring, steps, lambda x: x < start)
+def _slot(start: Column, held: Column) -> Column:
+    """Digest of the k-mers from ``start`` on, in text order; the ring's first ones follow its last."""
+    first = _leading(held["ring"], held["steps"], lambda x: x < start)
     places = _let(
         first,
         lambda at: F.transform(
-            F.sequence(F.lit(0), F.least(F.lit(size), F.size(ring)) - 1),
-            lambda k: F.get(ring, (at + k) % F.size(ring)).bitwiseAND(F.lit(PLACE)).cast("int"),
+            held["offsets"], lambda k: F.get(held["ring"], (at + k) % held["size"]).bitwiseAND(F.lit(PLACE)).cast("int")
         ),
     )
-    ordered = F.transform(F.sort_array(places), lambda at: F.shiftright(F.get(kmers, at), PLACE_BITS))
+    ordered = F.transform(
+        F.sort_array(places),
+        lambda at: F.shiftright(F.get(held["kmers"], F.shiftright(at, WIDTH.bit_length() - 1)), PLACE_BITS),
+    )
     return F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
@@ -126,11 +129,15 @@ def with_slots(df: DataFrame, text: str, slots: str, k: int = K, n_slots: int =
     return (
         df.select(*kept, _kmers(F.coalesce(F.col(f"`{text}`"), F.lit("")), k).alias("_omh_kmers"))
         .select(*kept, kmers, F.sort_array(kmers).alias("_omh_by_digest"))
-        .select(*kept, kmers, F.sort_array(F.transform(by_digest, _numbered(by_digest))).alias("_omh_ring"))
-        .select(*kept, kmers, ring, _powers(F.size(ring)).alias("_omh_steps"))
+        .select(*kept, kmers, F.sort_array(_numbered(by_digest)).alias("_omh_ring"))
         .select(
-            *kept, F.transform(starts, lambda s: _slot(s, ring, F.col("_omh_steps"), kmers, size)).alias(slots)
+            *kept,
+            F.struct(
+                ring.alias("ring"), kmers.alias("kmers"), _powers(F.size(ring)).alias("steps"), F.size(ring).alias("size"),
+                F.sequence(F.lit(0), F.least(F.size(ring), F.lit(size)) - 1).alias("offsets"),
+            ).alias("_omh_held"),
         )
+        .select(*kept, _let(F.col("_omh_held"), lambda held: F.transform(starts, lambda s: _slot(s, held))).alias(slots))
     )
 
 
@@ -159,7 +166,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], digest: Column) -> Da
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(borders).bit_length()))])
     own = F.array(*[F.lit(b) for b in borders])
     placed = (
-        df.withColumn("_o", order).withColumn("_range", _at_most(own, steps, lambda b: b <= F.col("_o")))
+        df.withColumn("_o", order).withColumn("_range", _leading(own, steps, lambda b: b <= F.col("_o")))
         .withColumn("_first", F.get(own, F.col("_range") - 1) == F.col("_o"))
     )
     before = F.when(F.col("_range") > 1, F.col("_range") - 1).otherwise(F.lit(len(borders)))
