@@ -2,14 +2,15 @@
 
 All of it is DataFrame functions; no Python code runs on the executors.
 
-1. A text's k-mers are its stretches of ``K`` code points; one that comes again is another k-mer, told apart by its occurrence number.
+1. A text's k-mers are its stretches of ``K`` units of UTF-16 (code points, but for those beyond the first 65,536, which have two); one
+   that comes again is another k-mer, told apart by its occurrence number.
 2. Every numbered k-mer gets one place on a ring of 36-bit numbers, a digest of the k-mer and of its occurrence.
 3. ``SLOTS`` rotations of the ring are the permutations: rotation ``j`` starts at ``j / SLOTS`` of it, and the ``TUPLE`` k-mers that
    follow are the smallest under it. They are put back in the order of the text, and the digest of that tuple is the slot.
 
-The likeness of two fingerprints is the share of equal slots. A text of fewer than ``K`` code points, the empty one too, is one k-mer
+The likeness of two fingerprints is the share of equal slots. A text of fewer than ``K`` units, the empty one too, is one k-mer
 as a whole; with fewer than ``TUPLE`` k-mers all of them form the tuple. Work on a text grows with its length times the logarithm of it;
-texts may have up to 2**28 code points.
+texts may have up to 2**27 units.
 
 ``with_next`` pairs every row with the row that follows by descending key, the first after the last. Rows are dealt to ranges of keys;
 the first rows of a range go to the preceding one as well, so that one shuffle of the texts and a window inside each range are
@@ -32,7 +33,7 @@ TUPLE = 2
 # Low bits of a packed number: the place of the k-mer in the text. The others are its place on the ring.
 PLACE_BITS = 28
 # Bytes of one unit of a text, and the encoding that has them.
-WIDTH, CHARSET = 4, "UTF-32"
+WIDTH, CHARSET = 2, "UTF-16BE"
 PLACE = (1 << PLACE_BITS) - 1
 # Rows of a range of keys, and the most ranges: their borders are one small row.
 RANGE_ROWS = 1_024
@@ -143,12 +144,12 @@ def with_slots(df: DataFrame, text: str, slots: str, k: int = K, n_slots: int =
 
 def written_out(slots: Column) -> Column:
     """A fingerprint as text: eight hexadecimal digits for each slot."""
-    return F.array_join(F.transform(slots, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.lower(F.array_join(F.transform(slots, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal slots."""
-    return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x: x["a"] == x["b"])) / F.size(a)
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], digest: Column) -> DataFrame:

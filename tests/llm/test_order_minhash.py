@@ -26,8 +26,8 @@ def number(n: int, width: int, seed: int) -> int:
 
 
 def brute_slots(text: str | None) -> list[int]:
-    text = text or ""
-    kmers = [signed(digest(text[i : i + K].encode("utf-32-be"))) >> BITS for i in range(max(len(text) - K, 0) + 1)]
+    wide = (text or "").encode("utf-16-be")
+    kmers = [signed(digest(wide[2 * i : 2 * (i + K)])) >> BITS for i in range(max(len(wide) // 2 - K, 0) + 1)]
     seen: dict[int, int] = {}
     ring = []
     for place, kmer in enumerate(kmers):
