@@ -1,17 +1,19 @@
 """Documents linked by the Jaccard similarity of their n-gram sets, found by rare-first prefix filtering.
 
-1. Every text becomes a set of n-gram numbers (``shingles``). Equal sets collapse to one node, its smallest document, so
-   copies never meet each other.
-2. A set of ``n`` n-grams misses at most ``m = n // 10`` of a partner's at similarity 0.9 (in general ``slack(n)``). Of each set
-   the ``m + k`` n-grams of the lowest numbers are its extended prefix: partners share at least ``k`` of them. N-grams in
+1. Every text becomes a set of n-gram numbers (``shingles``). All n-grams are counted in ``BUCKETS`` buckets of their numbers; the
+   order of all n-grams is by the count of the bucket, then the number. It is the same everywhere and rare first: what thousands
+   of documents share stands out of its bucket, whatever else falls into it. Equal sets collapse to one node, its smallest
+   document, so copies never meet each other.
+2. A set of ``n`` n-grams misses at most ``m = n // 10`` of a partner's at similarity 0.9 (in general ``slack(n)``). The
+   ``m + k`` first n-grams of each set are its extended prefix: partners share at least ``k`` of them. N-grams in
    one prefix only cannot be shared; nodes with fewer than ``k`` others have no partner and go.
-3. Inside the extended prefix n-grams are ordered rare first. Leaving out the ``k - 1`` most frequent ones still leaves every
-   pair of partners one in common; these are the inverted lists.
+3. Inside the extended prefix n-grams are ordered by how many prefixes hold them. Leaving out the ``k - 1`` most frequent ones
+   still leaves every pair of partners one in common; these are the inverted lists.
 4. The first node of each list is compared with the others, which joins most of each group of near copies. Then every list
    yields all pairs from different components that pass the length filter, the positional filter and the
    suffix filter (a lower bound of the sets' difference from their counts in 64 ranges of numbers). Long lists are cut into
    blocks and go out as pairs of blocks, so no task holds a whole one.
-5. Each remaining pair is verified once, on the whole sets. Components of the verified links are the result: pairs skipped in
+5. Each remaining pair that has not been tested is verified once, on the whole sets. Components of the verified links are the result: pairs skipped in
    4 lie inside one component, so none is lost.
 
 Texts without words (null, empty, blank) have no n-grams and are linked with nothing. Rows with the same key count as the same
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import map_batches, written
+from footfall.llm.common import map_batches, remove_written, written, written_to
 from footfall.llm.components import components
 from footfall.llm.shingles import shingle_set
 
 BLOCK = 2_048
 RANGES = 64
+# Buckets in which n-grams are counted: one array of this length in every task, whatever the size of the corpus.
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 # Nodes to verify up to which their table is broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_NODES = 500_000
 
@@ -57,9 +62,36 @@ def shared_least(n, percent: int):
     return np.maximum(1, _ceil(_ceil(percent * n, 100), 40))
 
 
-def extended_prefix(numbers: np.ndarray, percent: int) -> np.ndarray:
+def _bucket(numbers: np.ndarray) -> np.ndarray:
+    return (numbers >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def bucket_counts(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """How many n-grams of all documents fall into each bucket, every document's n-grams once."""
+
+    def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        total = np.zeros(BUCKETS, np.int64)
+        for (texts,) in batches:
+            found = [_bucket(shingle_set(t, width)) for t in texts]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield [used.astype(np.int32), total[used]]
+
+    parts = map_batches(df.select(F.col(f"`{text}`").alias("text")), ["text"], run, "bucket int, n bigint")
+    sums = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return counts
+
+
+def extended_prefix(numbers: np.ndarray, percent: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The first n-grams of a sorted set, rare ones first by the counts of their buckets."""
     n = len(numbers)
-    return numbers[: min(n, slack(n, percent) + _ceil(n, 40))]
+    size = min(n, slack(n, percent) + _ceil(n, 40))
+    if counts is not None:
+        numbers = numbers[np.lexsort((numbers, counts[_bucket(numbers)]))]
+    return numbers[:size]
 
 
 def _signed(numbers: np.ndarray) -> np.ndarray:
@@ -73,8 +105,10 @@ def _histogram(numbers: np.ndarray) -> bytes:
 
 def document_sets(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``doc_id, n, sig, shape, prefix`` per row: set size, digest of the set, histogram and extended prefix."""
+    shared = df.sparkSession.sparkContext.broadcast(bucket_counts(df, text, width))
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
+        counts = shared.value
         for keys, texts in batches:
             sets = [shingle_set(t, width) for t in texts]
             yield [
@@ -82,7 +116,7 @@ def document_sets(df: DataFrame, key: str, text: str, width: int, percent: int)
                 [len(s) for s in sets],
                 [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 [_histogram(s) for s in sets],
-                [_signed(extended_prefix(s, percent)) for s in sets],
+                [_signed(extended_prefix(s, percent, counts)) for s in sets],
             ]
 
     plain = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -219,8 +253,8 @@ def first_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough. ``pairs`` is a written table."""
-    wanted = written(
+    """The pairs whose whole sets are similar enough, as a written table. ``pairs`` is one, too."""
+    wanted, wanted_at = written_to(
         pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted"
     )
     few = wanted.count() <= BROADCAST_NODES
@@ -232,7 +266,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
             yield [keys, [shingle_set(t, width).tobytes() for t in texts]]
 
     found = map_batches(plain, ["doc_id", "text"], run_sets, "doc_id bigint, numbers binary")
-    sets = written(found.dropDuplicates(["doc_id", "numbers"]), "sets")
+    sets, sets_at = written_to(found.dropDuplicates(["doc_id", "numbers"]), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("numbers").alias("left")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("numbers").alias("right")), "b")
 
@@ -246,34 +280,41 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, width: int, p
                     good.append(k)
             yield [[a[k] for k in good], [b[k] for k in good]]
 
-    return map_batches(both, ["a", "b", "left", "right"], run, "a bigint, b bigint")
+    links = written(map_batches(both, ["a", "b", "left", "right"], run, "a bigint, b bigint"), "links")
+    for path in (wanted_at, sets_at):
+        remove_written(df.sparkSession, path)
+    return links
 
 
 def linked_components(
     df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``df``: the smallest document reachable by links."""
-    sets = written(document_sets(df, key, text, width, percent), "sets")
-    full = sets.where("n > 0")
+    spark = df.sparkSession
+    sets, sets_at = written_to(document_sets(df, key, text, width, percent), "sets")
     # Equal sets are one node, named by its smallest document.
-    nodes = written(
-        full.groupBy("sig").agg(
+    nodes, nodes_at = written_to(
+        sets.where("n > 0").groupBy("sig").agg(
             F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("shape").alias("shape"),
             F.first("prefix").alias("prefix"),
         ),
         "nodes",
     )
-    lists = written(inverted_lists(nodes.where("node is not null"), percent), "lists")
-    candidates = written(first_pairs(lists, percent), "pairs")
-    links = written(verified(candidates, df, key, text, width, percent), "links")
+    # Tables go after their last reader; what the result needs of them is narrow.
+    rows = written(sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig")), "rows")
+    remove_written(spark, sets_at)
+    lists, lists_at = written_to(inverted_lists(nodes.where("node is not null"), percent), "lists")
+    names = written(nodes.select("sig", "node"), "names")
+    remove_written(spark, nodes_at)
+    candidates = written(first_pairs(lists, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    links = verified(candidates, df, key, text, width, percent)
     known = written(components(links), "components")
     rest = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    others = written(block_pairs(rest, percent), "pairs")
+    others = written(block_pairs(rest, percent).join(candidates, ["a", "b"], "left_anti"), "pairs")
+    remove_written(spark, lists_at)
     more = verified(others, df, key, text, width, percent)
     final = components(links.unionByName(more))
-    named = nodes.select("sig", "node").join(final, "node", "left")
-    named = named.select("sig", F.coalesce("component", "node").alias("component_id"))
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    named = names.join(final, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
     return rows.join(named, "sig", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -79,6 +79,40 @@ def test_prefixes_hold_the_shared_n_grams():
         assert np.minimum(gap, 256 - gap).sum() <= len(x) + len(y) - 2 * ngram_join.overlap(len(x), len(y), percent)
 
 
+def test_pairs_are_tested_once_and_shared_passages_make_none(docs_of, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(50)) + " " + passage) for i in range(150)]
+    # Groups of near copies whose first member is not alike to all others.
+    for g in range(12):
+        words = [word() for _ in range(60)]
+        for k in range(6):
+            rows.append((1_000 + 10 * g + k, " ".join([*words[k:], *(f"n{g}x{j}" for j in range(k))])))
+    tested = []
+    real = ngram_join.verified
+
+    def counted(pairs, *args):
+        tested.append({tuple(sorted(r)) for r in pairs.collect()})
+        return real(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.linked_components(docs_of(rows), width=3, percent=90).collect()}
+    want = brute.jaccard_components(rows, 3, 90)
+    assert got == {d: c for d, (_, c) in want.items()}
+    first, second = tested
+    assert first and not first & second
+    assert all(a >= 1_000 for pair in first | second for a in pair)
+
+
+def test_order_of_n_grams_is_rare_first():
+    numbers = np.arange(1, 41, dtype=np.uint64) << np.uint64(50)
+    counts = np.ones(ngram_join.BUCKETS, np.int64)
+    counts[ngram_join._bucket(numbers[:20])] = 900
+    prefix = ngram_join.extended_prefix(numbers, 90, counts)
+    assert prefix.tolist() == numbers[20 : 20 + len(prefix)].tolist()
+
+
 def test_jaccard_odd_rows(docs_of):
     rows = [*ODD_TEXTS, ODD_TEXTS[5], (30, ODD_TEXTS[5][1].upper()), (None, "one two")]
     got = ngram_join.linked_components(docs_of(rows)).collect()
