@@ -38,11 +38,14 @@ def test_base_counts(texts):
 
 def test_line_rules():
     prose = "This line is plain prose and ends as it should."
-    assert quality.judge("\n".join([prose, prose.replace("plain", "other")]))[6]
+    second = "Another sentence of its own follows here with more to say."
+    assert quality.judge(f"{prose}\n{second}")[6]
+    # Two lines that differ in one word repeat 12 of 20 words in windows of five, which the base rule rejects.
+    assert not quality.judge("\n".join([prose, prose.replace("plain", "other")]))[6]
     for junk in ("A | b | c | d | e | f | g | h | i | j | k", "WE!! SHOUT!! ALL!! OF!! THIS!! LINE!! HERE!! AND!! ON!! ON!!",
                  "so### much%%% noise&&& in*** this$$$ line### that&&& it%%% goes### away&&&"):
         assert not quality.judge(junk)[6]
-        figures = quality.judge(f"{prose}\n{junk}\n{prose} More.")
+        figures = quality.judge(f"{prose}\n{junk}\n{second}")
         assert figures[6] and figures[8] == 1 and junk not in figures[11]
     with_notice = quality.judge(f"{prose}\nAll rights reserved.")
     assert with_notice[6] and with_notice[11] == prose
@@ -204,7 +207,9 @@ def test_secret_rows(docs_of):
     rows = secrets.find_secrets(docs_of([*ODD_TEXTS, (20, SECRETS[0]), (20, SECRETS[0])])).collect()
     assert len(rows) == len(ODD_TEXTS) + 2
     assert [(r.n_assign, r.n_access, r.n_hex) for r in rows if r.doc_id == 20] == [(1, 0, 1)] * 2
-    assert all(r.spans == "" for r in rows if r.doc_id != 20)
+    # 70,000 letters a are one run of hexadecimal digits.
+    assert [(r.n_hex, r.spans) for r in rows if r.doc_id == 9] == [(1, "hex:0:70000")]
+    assert all(r.spans == "" for r in rows if r.doc_id not in (9, 20))
     assert secrets.find_secrets(docs_of([])).count() == 0
 
 
