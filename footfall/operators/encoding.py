@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footfall.functions.seeded import DEFAULT_SEED, digest
+from footfall.session import staged
 
 ENCODED_COLUMNS = ["uid", "pid", "catname", "region"]
 _BUCKET_DIGITS = 3  # 16**3 buckets
@@ -17,7 +18,7 @@ _BUCKET_DIGITS = 3  # 16**3 buckets
 def build_dictionary(df: DataFrame, column: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """A seeded bijection from the distinct values onto 1..N: ``(original, mapped)``.
 
-    Values are shuffled by digest. Ranks are taken inside digest buckets, which are even because the values are
+    Values are shuffled by digest and written once, as buckets are counted and ranked. Ranks are taken inside digest buckets, which are even because the values are
     distinct, and shifted by the sizes of the buckets before; only the 4,096 bucket sizes meet in one task.
     """
     hashed = (
@@ -27,6 +28,7 @@ def build_dictionary(df: DataFrame, column: str, seed: int = DEFAULT_SEED) -> Da
         .withColumn("_digest", digest(seed, F.col("original")))
         .withColumn("_bucket", F.substring("_digest", 1, _BUCKET_DIGITS))
     )
+    hashed = staged(hashed, "distinct")
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     bases = (
         hashed.groupBy("_bucket")

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from footfall.operators.encoding import ENCODED_COLUMNS
 from footfall.operators.ordering import position_in_group
+from footfall.session import scratch_folder
 
 HOURS = 24
 TOP_K = 10
@@ -21,15 +25,8 @@ _PLACES_PER_BLOCK = 65_536
 
 
 def feature_metadata(df: DataFrame) -> DataFrame:
-    """One row: sizes of the blocks and where each starts, counted on the visits."""
-    return _metadata(
-        df.agg(
-            F.count_distinct("pid").alias("num_pois"),
-            F.count_distinct("catname").alias("num_categories"),
-            F.count_distinct("region").alias("num_regions"),
-            F.count_distinct("uid").alias("num_users"),
-        )
-    )
+    """One row: sizes of the blocks and where each starts, counted on the visits; each column is scanned by itself."""
+    return metadata_of_dictionaries({c: df.select(c).where(F.col(c).isNotNull()).distinct() for c in ENCODED_COLUMNS})
 
 
 def metadata_of_dictionaries(dictionaries: Mapping[str, DataFrame]) -> DataFrame:
@@ -142,14 +139,19 @@ def sparse_vectors(long_form: DataFrame, dim: Column | int) -> DataFrame:
 
 
 def ml_vectors(vectors: DataFrame) -> DataFrame:
-    """``pid, features`` as the sparse vectors that the machine-learning stages of Spark read."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    @F.udf(VectorUDT())
-    def sparse(dim, indices, values):
-        return Vectors.sparse(dim, indices, values)
+    """``pid, features`` as the sparse vectors that the machine-learning stages of Spark read.
 
-    return vectors.select("pid", sparse("dim", "indices", "values").alias("features"))
+    In files such a vector is a struct of its kind, size, indices and values, so the table is written as structs and read as vectors:
+    no row passes through Python.
+    """
+    struct = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.col("dim").cast("int").alias("size"),
+        F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values"),
+    )
+    path = scratch_folder(vectors.sparkSession, "vectors")
+    vectors.select("pid", struct.alias("features")).write.parquet(path)
+    schema = T.StructType([vectors.schema["pid"], T.StructField("features", VectorUDT())])
+    return vectors.sparkSession.read.schema(schema).parquet(path)
 
 
 def pid_to_index(heads: DataFrame) -> DataFrame:

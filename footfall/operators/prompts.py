@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.text import id_text, sid_text
 
@@ -21,9 +25,43 @@ IGNORED_LABEL = -100  # fixed value: label of a token that is not learned
 SEQUENCE_KEY = ["split", "uid", "seq_no"]
 
 
+# Places up to which a codebook is sent to every task: about 100 bytes each.
+SHIPPED_PLACES = 500_000
+
+
 def sequence_to_sids(sequences: DataFrame, codebook: DataFrame) -> DataFrame:
     """Adds ``tokens`` and ``target_token``: semantic ids in visit order. A place without codes is an error.
 
+    A codebook of up to ``SHIPPED_PLACES`` places is sent to the tasks, which look its ids up in place, a batch of lists at a time:
+    nothing is shuffled. A larger one is joined.
+    """
+    sids = codebook.select("pid", sid_text(F.col("codes")).alias("sid"))
+    held = sids.limit(SHIPPED_PLACES + 1).toArrow()
+    if held.num_rows > SHIPPED_PLACES:
+        return _joined_sids(sequences, sids)
+    pids, texts = held["pid"].combine_chunks(), held["sid"].combine_chunks()
+    schema = T.StructType([*sequences.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("target_token", T.StringType())])
+
+    def sids_of(places: pa.Array) -> pa.Array:
+        at = pc.index_in(places, value_set=pids.cast(places.type))
+        if at.null_count:
+            raise ValueError(f"no codes for place {places.filter(at.is_null())[0]}")
+        return texts.take(at)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["pids"]
+            lengths = pa.array(np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))), pa.int32())
+            tokens = pa.ListArray.from_arrays(lengths, sids_of(lists.flatten()))
+            columns = {name: batch[name] for name in batch.schema.names}
+            yield pa.RecordBatch.from_pydict({**columns, "tokens": tokens, "target_token": sids_of(batch["target"])})
+
+    return sequences.mapInArrow(look_up, schema)
+
+
+def _joined_sids(sequences: DataFrame, sids: DataFrame) -> DataFrame:
+    """The same by a join of the single visits.
+
     Sequences hold at most a few dozen places, so the regrouped lists are small. The first step of a sequence carries its
     other columns, so regrouping the steps brings the whole row back.
     """
@@ -31,7 +69,6 @@ def sequence_to_sids(sequences: DataFrame, codebook: DataFrame) -> DataFrame:
     rest = [c for c in sequences.columns if c not in SEQUENCE_KEY]
     steps = sequences.select(*SEQUENCE_KEY, F.struct(*rest).alias("_rest"), F.posexplode(with_target).alias("_at", "pid"))
     steps = steps.withColumn("_rest", F.when(F.col("_at") == 0, F.col("_rest")))
-    sids = codebook.select("pid", sid_text(F.col("codes")).alias("sid"))
     named = steps.join(sids, "pid", "left").select(
         *SEQUENCE_KEY,
         "_at",
@@ -121,21 +158,32 @@ def mask_prompt_labels(examples: DataFrame, max_length: int = 2048, eos: str = "
 def mask_prompt_labels_by(
     examples: DataFrame, tokenize: Callable[[str], tuple[list[int], list[int]]], max_length: int = 2048, eos: str = "</s>"
 ) -> DataFrame:
-    """The same with a caller's tokenizer: ``tokenize(text)`` gives token ids and their start offsets."""
+    """``input_ids, labels`` with a caller's tokenizer: ``tokenize(text)`` gives token ids and the places where they start.
+
+    A token that starts before the prompt's end gets label -100, also one that reaches into the completion. The other columns stay.
+    """
     ignored = IGNORED_LABEL
-    schema = "prompt string, completion string, input_ids array<int>, labels array<int>"
+    kept = examples.schema.fields
+    lists = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*kept, T.StructField("input_ids", lists), T.StructField("labels", lists)])
+    names = [f.name for f in kept]
 
-    def tokenise_batches(batches: Iterator) -> Iterator:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels = [], []
-            for prompt, completion in zip(batch["prompt"], batch["completion"]):
-                token_ids, starts = tokenize(prompt + completion + eos)
-                token_ids, starts = token_ids[:max_length], starts[:max_length]
-                ids.append(token_ids)
-                labels.append([ignored if s < len(prompt) else t for t, s in zip(token_ids, starts)])
-            yield batch.assign(input_ids=ids, labels=labels)
-
-    return examples.select("prompt", "completion").mapInPandas(tokenise_batches, schema)
+            ids, starts, ends = [], [], []
+            for prompt, completion in zip(batch["prompt"].to_pylist(), batch["completion"].to_pylist(), strict=True):
+                found, at = tokenize(prompt + completion + eos)
+                ids.append(found[:max_length])
+                starts += at[:max_length]
+                ends.append(len(prompt))
+            lengths = np.array([len(x) for x in ids], np.int64)
+            offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+            tokens = np.array([x for row in ids for x in row], np.int32)
+            masked = np.where(np.array(starts, np.int64) < np.repeat(np.array(ends, np.int64), lengths), ignored, tokens).astype(np.int32)
+            columns = [*(batch[name] for name in names), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tokens, masked))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "input_ids", "labels"])
+
+    return examples.mapInArrow(tokenise, schema)
 
 
 def token_lengths(df: DataFrame, text: str = "text") -> DataFrame:
@@ -178,38 +226,37 @@ def extract_user_sids(prompts: DataFrame) -> DataFrame:
     )
 
 
-def collect_users_sids(prompts: DataFrame) -> DataFrame:
-    """``kind, value``: the distinct users and the distinct semantic ids of a table of prompts."""
-    found = extract_user_sids(prompts).select(
+def _mentions(prompts: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, kind, value``: every user and semantic id that a prompt mentions."""
+    return extract_user_sids(prompts).select(
+        *by,
         F.explode(
             F.concat(
                 F.array(F.struct(F.lit("user").alias("kind"), F.col("user").alias("value"))),
                 F.transform("sids", lambda s: F.struct(F.lit("sid").alias("kind"), s.alias("value"))),
             )
-        ).alias("e")
-    )
-    return found.select("e.*").where("value is not null").distinct()
+        ).alias("e"),
+    ).select(*by, "e.*")
 
 
-def filter_cold_prompts(test: DataFrame, train: DataFrame, key: list[str]) -> DataFrame:
+def collect_users_sids(prompts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``kind, value``: the distinct users and the distinct semantic ids of a table of prompts, or of each table named by ``by``."""
+    return _mentions(prompts, list(by)).where("value is not null").distinct()
+
+
+def filter_cold_prompts(test: DataFrame, train: DataFrame, key: list[str], by: Sequence[str] = ()) -> DataFrame:
     """Test prompts whose user and semantic ids all occur in train. ``key`` identifies a prompt.
 
+    With ``by``, columns of both tables, many data sets are filtered at once, each by its own train prompts.
     A prompt that names no user is cold.
 
     Each mention is an item; an item train lacks marks its prompt, and marked prompts are anti-joined away.
     """
-    items = extract_user_sids(test).select(
-        *key,
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("user").alias("kind"), F.col("user").alias("value"))),
-                F.transform("sids", lambda s: F.struct(F.lit("sid").alias("kind"), s.alias("value"))),
-            )
-        ).alias("e"),
-    ).select(*key, "e.*")
+    own = [*by, "kind", "value"]
+    items = _mentions(test, list(dict.fromkeys([*key, *by])))
     # Reduce to distinct items first: the join then meets every item once, however often it is mentioned.
-    unseen = items.select("kind", "value").distinct().join(collect_users_sids(train), ["kind", "value"], "left_anti")
-    cold = items.join(unseen, ["kind", "value"], "left_semi").select(*key).distinct()
+    unseen = items.select(*own).distinct().join(collect_users_sids(train, by), own, "left_anti")
+    cold = items.join(unseen, own, "left_semi").select(*key).distinct()
     named = test.where(F.regexp_extract(F.lower("prompt"), USER_PATTERN, 0) != "")
     return named.join(cold, key, "left_anti")
 

@@ -8,17 +8,17 @@ are only ever streamed through Arrow batches; encoding needs no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from footfall.functions.seeded import DEFAULT_SEED
+from footfall.functions.seeded import DEFAULT_SEED, digest
+from footfall.session import staged
 
 MAX_CODEWORDS = 16_384
 MAX_CODEBOOK_VALUES = 4_000_000  # 32 MB of doubles in every task
@@ -30,6 +30,10 @@ EMA_DECAY = 0.99
 EMA_EPSILON = 1e-5
 KL_EPSILON = 1e-8
 KMEANS_MAX_ITER = 100
+# Codewords of one side of a pair of blocks.
+PAIR_BLOCK = 512
+# Parts of one in which Lloyd's steps add up residuals.
+UNITS = 1 << 24
 DIVERSITY_TERMS = ["utilization", "compactness", "kl_divergence"]
 
 ENCODED_TYPE = "codes array<int>, vector array<double>, level_sq array<double>"
@@ -132,6 +136,32 @@ def residuals_per_level(vectors: DataFrame, codewords: DataFrame) -> DataFrame:
     return coded.select("pid", F.posexplode(levels).alias("level", "e")).select("pid", "level", "e.code", "e.residual")
 
 
+def draw_codewords(vectors: DataFrame, vector_num: int, level: int, seed: int = DEFAULT_SEED) -> list[list[float]]:
+    """The first centres of a level: the vectors of the places with the smallest digests, all of them where there are fewer."""
+    drawn = vectors.select("vector", digest(f"{seed}|{level}", F.col("pid")).alias("_draw")).orderBy("_draw").limit(vector_num)
+    return [list(row.vector) for row in drawn.collect()]
+
+
+def lloyd_step(vectors: DataFrame, centres: Sequence[Sequence[float]]) -> list[list[float]]:
+    """The mean of the vectors nearest to each centre; a centre that has none stays.
+
+    Sums are of whole units of ``1 / UNITS``, so they are exact and depend on no order of rows, tasks or retries. They are map-side
+    combined, one row per centre and task.
+    """
+    dim = len(centres[0])
+    code = F.get(quantise(F.col("vector"), [centres])["codes"], F.lit(0))
+    units = F.transform("vector", lambda x: F.floor(x * UNITS + 0.5).cast("decimal(28,0)"))
+    sums = (
+        vectors.select(code.alias("code"), units.alias("u")).groupBy("code")
+        .agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.get("u", F.lit(i))).alias(f"s{i}") for i in range(dim)))
+    )
+    moved = [list(centre) for centre in centres]
+    # One row for each centre, of which there are at most MAX_CODEWORDS.
+    for row in sums.collect():
+        moved[row.code] = [float(row[f"s{i}"]) / UNITS / row.n for i in range(dim)]
+    return moved
+
+
 def fit_codebooks(
     vectors: DataFrame,
     vector_num: int,
@@ -139,27 +169,41 @@ def fit_codebooks(
     max_iter: int = KMEANS_MAX_ITER,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """k-means per level on the residual left by the levels before, over all rows; returns the codewords table."""
+    """k-means per level on the residual left by the levels before, over all rows; returns the codewords table.
+
+    Lloyd's steps from centres drawn by digest, the nearest centre of the smallest code, until none moves or ``max_iter`` steps are
+    done: the result is a function of the rows alone. Each level's residuals are written once; a step is one pass over them.
+    No rows give no codewords.
+    """
     spark: SparkSession = vectors.sparkSession
-    books: list[list[list[float]]] = []
-    for _ in range(levels):
-        rest = F.col("vector")
-        if books:
-            rest = F.zip_with("vector", quantise(F.col("vector"), books)["vector"], lambda a, b: a - b)
-        data = vectors.select(array_to_vector(rest).alias("features"))
-        model = KMeans(k=vector_num, maxIter=max_iter, seed=seed).fit(data)
-        books.append([[float(x) for x in center] for center in model.clusterCenters()])
-    rows = [(l, c, word) for l, level in enumerate(books) for c, word in enumerate(level)]
+    rest = staged(vectors.select("pid", F.col("vector").cast("array<double>").alias("vector")), "rest")
+    rows = []
+    for level in range(levels):
+        centres = draw_codewords(rest, vector_num, level, seed)
+        if not centres:
+            break
+        for _ in range(max_iter):
+            moved = lloyd_step(rest, centres)
+            if moved == centres:
+                break
+            centres = moved
+        rows += [(level, code, centre) for code, centre in enumerate(centres)]
+        if level < levels - 1:
+            left = F.zip_with("vector", quantise(F.col("vector"), [centres])["vector"], lambda a, b: a - b)
+            rest = staged(rest.select("pid", left.alias("vector")), "rest")
     return spark.createDataFrame(rows, "level int, code int, centroid array<double>")
 
 
-def _usage(assigned: DataFrame, codewords: DataFrame) -> DataFrame:
-    """``level, code, n`` for every codeword, used or not."""
-    counts = assigned.groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+def usage_of(counts: DataFrame, codewords: DataFrame) -> DataFrame:
+    """``level, code, n`` for every codeword, used or not, from the counts of the used ones."""
     spine = codewords.select("level", "code")
     return spine.join(counts, ["level", "code"], "left").select("level", "code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _usage(assigned: DataFrame, codewords: DataFrame) -> DataFrame:
+    return usage_of(assigned.groupBy("level", "code").agg(F.count(F.lit(1)).alias("n")), codewords)
+
+
 def explode_codes(encoded: DataFrame) -> DataFrame:
     """``pid, level, code`` from the codes array."""
     return encoded.select("pid", F.posexplode("codes").alias("level", "code"))
@@ -180,8 +224,15 @@ def ema_codebook_update(
     sums = assigned.groupBy("level", "code").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.get("residual", F.lit(i))).alias(f"s{i}") for i in range(dim))
     )
-    fresh = sums.select("level", "code", "n", F.array(*(f"s{i}" for i in range(dim))).alias("s"))
+    return ema_move(sums.select("level", "code", "n", F.array(*(f"s{i}" for i in range(dim))).alias("s")), state, dim, decay, eps)
+
+
+def ema_move(
+    sums: DataFrame, state: DataFrame, dim: int = VECTOR_DIM, decay: float = EMA_DECAY, eps: float = EMA_EPSILON
+) -> DataFrame:
+    """The same from ``level, code, n, s``: the rows of each used codeword and the sum of what it was given."""
     zero = F.array_repeat(F.lit(0.0), dim)
+    fresh = sums.select("level", "code", "n", "s")
     joined = state.select("level", "code", "ema_size", "ema_sum").join(fresh, ["level", "code"], "left")
     moved = joined.select(
         "level",
@@ -210,44 +261,56 @@ def quantization_loss(encoded: DataFrame, commitment: float = 0.25, dim: int = V
 
 def utilization_loss(assigned: DataFrame, codewords: DataFrame) -> DataFrame:
     """``level, utilization``: mean distance of a codeword's count from an even share, unused codewords included."""
+    return utilization_of(_usage(assigned, codewords))
+
+
+def utilization_of(usage: DataFrame) -> DataFrame:
     level = W.partitionBy("level")
     even = F.sum("n").over(level) / F.count(F.lit(1)).over(level)
-    return (
-        _usage(assigned, codewords)
-        .withColumn("gap", F.abs(F.col("n") - even))
-        .groupBy("level")
-        .agg(F.avg("gap").alias("utilization"))
-    )
+    gaps = usage.withColumn("gap", F.abs(F.col("n") - even))
+    return gaps.groupBy("level").agg(F.avg("gap").alias("utilization"))
 
 
 def compactness_loss(codewords: DataFrame) -> DataFrame:
     """``level, compactness``: twice the mean L2 distance over the pairs of codewords.
 
-    A level's codewords are bounded by ``MAX_CODEWORDS``; distances are summed inside one array per codeword, and no
-    pair becomes a row.
+    A level's codewords are cut into blocks of ``PAIR_BLOCK``; pairs of blocks are rows, and each adds up the distances between its
+    two small matrices. No pair of words becomes a row, and no row holds more than two blocks.
     """
 
-    def distance(a: Column, b: Column) -> Column:
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
-
-    words = codewords.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("code", "centroid"))).alias("words"))
-    each = words.select("level", "words", F.explode("words").alias("w"))
-    later = F.filter("words", lambda o: o["code"] > F.col("w.code"))
-    per_word = each.select(
-        "level",
-        F.aggregate(later, F.lit(0.0), lambda s, o: s + distance(F.col("w.centroid"), o["centroid"])).alias("total"),
-        F.size(later).alias("pairs"),
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for level, i, j, left, right in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                a, b = np.array(left), np.array(right)
+                # Row by row: the differences are exact, and a block's matrix of them stays small.
+                lengths = [np.sqrt(((word - (b[k + 1 :] if i == j else b)) ** 2).sum(axis=1)) for k, word in enumerate(a)]
+                out.append((level, float(sum(x.sum() for x in lengths)), sum(len(x) for x in lengths)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row[c] for row in out], type=kind) for c, kind in enumerate((pa.int32(), pa.float64(), pa.int64()))],
+                names=["level", "total", "pairs"],
+            )
+
+    blocks = codewords.groupBy("level", F.floor(F.col("code") / PAIR_BLOCK).cast("int").alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("code", "centroid"))), lambda w: w["centroid"]).alias("words")
     )
-    return per_word.groupBy("level").agg((2 * F.sum("total") / F.sum("pairs")).alias("compactness"))
+    other = blocks.select("level", F.col("block").alias("other"), F.col("words").alias("other_words"))
+    pairs = blocks.join(other, "level").where("block <= other").select("level", "block", "other", "words", "other_words")
+    per_pair = pairs.repartition("level", "block", "other").mapInArrow(sums, "level int, total double, pairs bigint")
+    return per_pair.groupBy("level").agg((2 * F.sum("total") / F.sum("pairs")).alias("compactness"))
 
 
 def kl_usage(assigned: DataFrame, codewords: DataFrame, eps: float = KL_EPSILON) -> DataFrame:
     """``level, kl_divergence``: mean over codewords of ``(1/K) * (ln(1/K) - ln(share + eps))``."""
+    return kl_of(_usage(assigned, codewords), eps)
+
+
+def kl_of(usage: DataFrame, eps: float = KL_EPSILON) -> DataFrame:
     level = W.partitionBy("level")
     words = F.count(F.lit(1)).over(level)
     share = F.col("n") / F.sum("n").over(level)
     term = (1 / words) * (F.log(1 / words) - F.log(share + eps))
-    return _usage(assigned, codewords).withColumn("term", term).groupBy("level").agg(F.avg("term").alias("kl_divergence"))
+    return usage.withColumn("term", term).groupBy("level").agg(F.avg("term").alias("kl_divergence"))
 
 
 def loss_weights(

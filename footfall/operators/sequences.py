@@ -6,13 +6,14 @@ user's whole history is never collected: Spark keeps the latest visits per map t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from footfall.functions.seeded import DEFAULT_SEED, unit_interval
 from footfall.functions.text import TIME_FORMAT, format_times
-from footfall.operators.splits import union_train_test
 
 WINDOW = 50
 STEP = 10
@@ -45,8 +46,9 @@ def _examples(windows: DataFrame, window: str = "window") -> DataFrame:
     return windows.withColumns({"inputs": inputs, "goal": F.element_at(visits, -1)})
 
 
-def _finish(examples: DataFrame) -> DataFrame:
+def _finish(examples: DataFrame, others: Sequence[str] = ()) -> DataFrame:
     return examples.select(
+        *others,
         "uid",
         F.col("seq_no").cast("int").alias("seq_no"),
         F.transform("inputs", lambda v: v["pid"]).alias("pids"),
@@ -77,7 +79,7 @@ def train_windows(history: DataFrame, window: int = WINDOW, step: int = STEP) ->
 
 
 def mask_augment(
-    examples: DataFrame, mask_prob: float = MASK_PROBABILITY, window: int = WINDOW, seed: int = DEFAULT_SEED
+    examples: DataFrame, mask_prob: float | Column = MASK_PROBABILITY, window: int = WINDOW, seed: int = DEFAULT_SEED
 ) -> DataFrame:
     """With probability ``mask_prob`` a random input visit becomes the target and the old target joins the input.
 
@@ -126,6 +128,45 @@ def val_examples(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return _finish(_examples(history.where((n > window) | ((n < window) & (n > 2))).withColumn("window", earlier)))
 
 
+def user_histories(train: DataFrame, test: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
+    """``uid, train, test``: each user's last ``cap`` visits of either part, oldest first, empty where there are none.
+
+    The rank is limited before the shuffle, so one pass over the visits and at most ``2 * cap`` of a user's travel.
+    """
+    columns = ["uid", "pid", "time", "row_id"]
+    rows = train.select(*columns, F.lit("train").alias("part")).unionByName(test.select(*columns, F.lit("test").alias("part")))
+    newest_first = W.partitionBy("uid", "part").orderBy(F.desc("time"), F.desc("row_id"))
+    kept = rows.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= cap)
+    visit = F.struct("time", "row_id", "pid")
+    lists = kept.groupBy("uid", "part").agg(F.array_sort(F.collect_list(visit)).alias("visits"))
+    none = F.array().cast(lists.schema["visits"].dataType)
+
+    def of(part: str) -> Column:
+        return F.coalesce(F.first(F.when(F.col("part") == part, F.col("visits")), ignorenulls=True), none).alias(part)
+
+    return lists.groupBy("uid").agg(of("train"), of("test"))
+
+
+def _cut(split: str, visits: Column, window: int, step: int) -> Column:
+    """``array<struct<split, seq_no, end, window>>`` of one split from the newest visits of a user."""
+    n = F.size(visits)
+
+    def piece(end: Column, seq_no: Column) -> Column:
+        part = F.slice(visits, F.greatest(end - window, F.lit(0)) + 1, F.least(end, F.lit(window)))
+        return F.struct(F.lit(split).alias("split"), seq_no.cast("int").alias("seq_no"), end.alias("end"), part.alias("window"))
+
+    if split == "train":
+        # A descending sequence fails where its start is below its end, so the long branch is guarded.
+        ends = F.when(n >= window, F.sequence(F.greatest(n, F.lit(window)), F.lit(window), F.lit(-step))).otherwise(F.array(n))
+        return F.transform(F.when(n >= min(MIN_TRAIN_VISITS, window), ends).otherwise(F.array().cast("array<int>")), piece)
+    if split == "val":
+        has, end = (n > window) | ((n < window) & (n > 2)), n - 1
+    else:
+        has, end = (n >= window) | (n > 2), n
+    one = F.when(has, F.array(end)).otherwise(F.array().cast("array<int>"))
+    return F.transform(one, piece)
+
+
 def generate_sequences(
     train: DataFrame,
     test: DataFrame,
@@ -134,15 +175,18 @@ def generate_sequences(
     mask_prob: float = MASK_PROBABILITY,
     seed: int = DEFAULT_SEED,
 ) -> DataFrame:
-    """All splits in one table, told apart by ``split``; write it partitioned by that column."""
-    parts = {
-        "train": train_sequences(train, window, step, mask_prob, seed),
-        "val": val_examples(test, window),
-        "test": test_examples(test, window),
-        "test_all": test_examples(union_train_test(train, test), window),
-    }
-    named = [part.select(F.lit(split).alias("split"), *SEQUENCE_COLUMNS) for split, part in parts.items()]
-    sequences = named[0]
-    for part in named[1:]:
-        sequences = sequences.unionByName(part)
-    return sequences
+    """All splits in one table, told apart by ``split``; write it partitioned by that column.
+
+    Every split needs only the newest visits of a user's train or test part, or of both together, so all four are cut from
+    one row for each user.
+    """
+    users = user_histories(train, test, max(HISTORY_CAP, window + 1))
+    # Only the newest HISTORY_CAP train visits are cut into windows, however wide these are.
+    capped = F.slice("train", F.greatest(F.size("train") - HISTORY_CAP, F.lit(0)) + 1, F.lit(HISTORY_CAP))
+    parts = {"train": capped, "val": F.col("test"), "test": F.col("test"), "test_all": F.array_sort(F.concat("train", "test"))}
+    held = users.select("uid", *(visits.alias(split) for split, visits in parts.items()))
+    cuts = F.concat(*(_cut(split, F.col(split), window, step) for split in parts))
+    rows = held.select("uid", F.explode(cuts).alias("_cut")).select("uid", "_cut.*")
+    # A draw below zero never comes up: only train examples are masked.
+    examples = mask_augment(_examples(rows), F.when(F.col("split") == "train", F.lit(mask_prob)).otherwise(-1.0), window, seed)
+    return _finish(examples, ["split"]).select("split", *SEQUENCE_COLUMNS)

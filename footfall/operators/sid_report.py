@@ -6,10 +6,10 @@ aggregation plus a bounded ranking, never a pass per prefix.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,11 +132,53 @@ def projection_subset(
     return inside.join(items, item, "left_semi").select(*prefixed.columns)
 
 
+def covariance(rows: DataFrame, vector: str = "vector") -> np.ndarray | None:
+    """Covariance matrix of the vectors, by merged sums of outer products; none for no rows.
+
+    A task adds up its own rows and sends one small table; the sums over tasks are an aggregation. The matrix has the size of the
+    vectors squared, whatever the number of rows.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                # A column of ones makes the sums and the count entries of the same matrix.
+                x = np.stack([np.append(v, 1.0) for v in batch.column(0).to_numpy(zero_copy_only=False)])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j]})
+
+    wide = rows.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    cells = wide.mapInArrow(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    if not cells:
+        return None
+    size = max(cell.j for cell in cells) + 1
+    sums = np.zeros((size, size))
+    for cell in cells:
+        sums[cell.i, cell.j] = sums[cell.j, cell.i] = cell.s
+    n, mean = sums[-1, -1], sums[-1, :-1] / sums[-1, -1]
+    return sums[:-1, :-1] / n - np.outer(mean, mean)
+
+
+def principal_axes(matrix: np.ndarray, k: int = 2) -> np.ndarray:
+    """The ``k`` leading eigenvectors as rows, zeros where there are fewer; of each the entry of largest magnitude, the first of equals, is positive."""
+    _, columns = np.linalg.eigh(matrix)
+    axes = np.zeros((k, len(matrix)))
+    axes[: len(matrix)] = columns.T[::-1][:k]
+    largest = axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)]
+    return axes * np.where(largest < 0, -1.0, 1.0)[:, None]
+
+
 def project_2d(rows: DataFrame, vector: str = "vector") -> DataFrame:
-    """Adds ``x, y``: the first two principal components of the vectors. No rows give no rows."""
-    if rows.isEmpty():
+    """Adds ``x, y``: the vectors along their first two principal axes, of fixed sign. No rows give no rows."""
+    matrix = covariance(rows, vector)
+    if matrix is None:
         return rows.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
-    data = rows.withColumn("_v", array_to_vector(F.col(vector)))
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(data)
-    both = vector_to_array("_p")
-    return model.transform(data).withColumns({"x": F.get(both, F.lit(0)), "y": F.get(both, F.lit(1))}).drop("_v", "_p")
+    axes = [F.array(*[F.lit(float(v)) for v in axis]) for axis in principal_axes(matrix)]
+
+    def along(axis: Column) -> Column:
+        return F.aggregate(F.zip_with(vector, axis, lambda a, b: a * b), F.lit(0.0), lambda total, p: total + p)
+
+    return rows.withColumns({name: along(axis) for name, axis in zip(("x", "y"), axes)})

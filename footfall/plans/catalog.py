@@ -5,6 +5,8 @@ Lists are shown as joined text, doubles rounded to six places and times as text,
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from footfall.functions.text import TIME_FORMAT, parse_list, sid_text
 from footfall.operators import (
     cleaning,
     encoding,
+    evaluation,
     features,
     graph,
     profiles,
@@ -26,8 +29,10 @@ from footfall.operators import (
     sequences,
     sid_report,
     splits,
+    training,
 )
 from footfall.plans import adapters as A
+from footfall.plans import dataset
 from footfall.plans.dataset import process_clean
 from footfall.session import scratch_folder, staged
 from footfall.sources import checkins, codebooks, instructions, tables
@@ -65,6 +70,19 @@ def read_checkins(spark, sf):
     return rows.select("row_id", *(F.coalesce(c, F.lit("")).alias(c) for c in checkins.RAW_COLUMNS))
 
 
+@query
+def read_checkins_in_order(spark, sf):
+    """Files in an order of their own, with line breaks and quotes in half of the category names: the places of each user as they stand there."""
+    path = scratch_folder(spark, "ordered-checkins")
+    broken = F.concat("catname", F.lit(",\r\n\"second\" line\n"), "cat_id")
+    rows = A.raw_checkins_ev(spark, sf).withColumn("_place", F.md5(F.col("row_id").cast("string")))
+    rows = rows.withColumn("catname", F.when(F.substring("_place", 32, 1) < "8", broken).otherwise(F.col("catname")))
+    files = rows.repartitionByRange(3, "_place").sortWithinPartitions("_place").select(*checkins.RAW_COLUMNS)
+    files.write.option("encoding", checkins.CHARSET).option("escape", '"').csv(path, header=True)
+    read = staged(checkins.read_checkins_in_order(spark, path), "ordered")
+    return graph.user_place_sequence(read).select("uid", "segment", joined("pids"), joined("catnames", "|"))
+
+
 @query
 def parse_list_column(spark, sf):
     """List literals made from the orders: numbers, words, empty, null, and a literal that no list parser takes."""
@@ -88,6 +106,25 @@ def read_instructions(spark, sf):
     return instructions.read_instructions(spark, path, lines=True)
 
 
+def _instruction_array(spark, sf):
+    folder = scratch_folder(spark, "instruction-array")
+    return instructions.write_instruction_array(
+        A.dialogue_examples(spark, sf), folder, "train", "codebook", order=["conv_id", "turn"]
+    )
+
+
+@query
+def read_instruction_array(spark, sf):
+    """Round trip through one JSON array."""
+    return instructions.read_instructions(spark, _instruction_array(spark, sf))
+
+
+@query
+def first_instructions(spark, sf):
+    """The first fifty records of an array, in its order."""
+    return instructions.read_instructions(spark, _instruction_array(spark, sf), max_examples=50)
+
+
 @query
 def write_instructions(spark, sf):
     """Round trip by split: what was written under each file name comes back."""
@@ -162,7 +199,7 @@ def append_new_runs(spark, sf):
     tables.append_new_runs(spark, older, path)
     repeated = offered.unionByName(offered.withColumn("train_acc", F.col("train_acc") + 1))
     tables.append_new_runs(spark, repeated, path)
-    return spark.read.schema(tables.METRIC_SCHEMA).parquet(path)
+    return tables.read_runs(spark, path)
 
 
 @query
@@ -353,6 +390,13 @@ def assemble_features(spark, sf):
     )
 
 
+@query
+def recency_pipeline(spark, sf):
+    """The features of the whole chain in its recency variant, from clean check-ins on."""
+    data = process_clean(A.clean_li(spark, sf, recency=True), A.LI_PLACE_MIN, A.LI_USER_MIN, with_recency=True)
+    return data.features.select("pid", "idx", r6("value"))
+
+
 @query
 def feature_vectors(spark, sf):
     visits = A.staged_encoded_li(spark, sf)
@@ -460,10 +504,16 @@ def residual_codes(spark, sf):
 
 @query
 def fit_codebooks(spark, sf):
-    """k-means per level on all vectors: the mean squared residual per level."""
+    """Five of Lloyd's steps per level on all vectors: every codeword and how many places take it."""
     vectors = A.vectors(spark, sf)
-    fitted = quantizer.fit_codebooks(vectors, vector_num=16, max_iter=20)
-    return quantizer.quantization_loss(quantizer.encode_places(vectors, fitted)).select("level", r6("mse"))
+    fitted = quantizer.fit_codebooks(vectors, vector_num=16, max_iter=FIT_STEPS)
+    used = quantizer.explode_codes(quantizer.encode_places(vectors, fitted)).groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+    total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
+    words = fitted.select("level", "code", r6(total, "centroid_sum"), r6(F.get("centroid", F.lit(0)), "centroid_0"))
+    return words.join(used, ["level", "code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+FIT_STEPS = 5
 
 
 def _assigned(spark, sf):
@@ -481,6 +531,19 @@ def ema_codebook_update(spark, sf):
     )
 
 
+@query
+def train_codebooks(spark, sf):
+    """Three epochs, the diversity terms from the second on, interrupted after the first: the log and the last codewords' sums."""
+    folder, vectors = scratch_folder(spark, "training"), A.vectors(spark, sf).select("pid", "vector")
+    start = training.start_state(A.codewords(spark, sf), 1.0)
+    for epochs in (1, 3):
+        training.train_codebooks(vectors, start, folder, epochs, diversity_start_epoch=1)
+    total = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x)
+    last = training.read_state(spark, folder, 2).agg(r6(F.sum(total), "centroid_sum"), r6(F.sum("ema_size"), "ema_size"))
+    log = training.read_log(spark, folder).select("epoch", *(r6(term) for term in (*training.TERMS, "loss")))
+    return log.crossJoin(F.broadcast(last))  # one row
+
+
 @query
 def quantization_loss(spark, sf):
     return quantizer.quantization_loss(A.encoded_vectors(spark, sf)).select("level", r6("mse"), r6("loss"))
@@ -573,6 +636,19 @@ def mask_prompt_labels(spark, sf):
     return masked.select("conv_id", "turn", joined("input_ids"), joined("labels"))
 
 
+def words_and_marks(text: str) -> tuple[list[int], list[int]]:
+    """A tokenizer with offsets: runs of letters and digits, and every other character by itself."""
+    found = [(m.group(), m.start()) for m in re.finditer(r"\w+|\W", text, re.ASCII)]
+    return [int(hashlib.md5(word.encode()).hexdigest()[:7], 16) for word, _ in found], [at for _, at in found]
+
+
+@query
+def load_tokenized(spark, sf):
+    """Instruction arrays to token ids and labels, cut at 64 tokens."""
+    rows = dataset.load_tokenized(spark, _instruction_array(spark, sf), words_and_marks, max_length=64)
+    return rows.select(joined("input_ids"), joined("labels"))
+
+
 @query
 def token_length_stats(spark, sf):
     stats = prompts.token_length_stats(prompts.token_lengths(A.table(spark, sf, "documents")))
@@ -720,6 +796,54 @@ def cross_eval_matrix(spark, sf):
     return matrix.select("train_dataset", r6("even"), r6("odd"))
 
 
+# Runs and the folders of their tables; the last one has been evaluated before.
+EVALUATED = {"run-a": "times", "run-b": "times", "run-c": "ids", "run-d": "half", "run-old": "half"}
+
+
+def _evaluation_folders(spark, sf, root: str):
+    """Instruction arrays of the sequences in three folders, and ``key, answer``: what a predictor says to a prompt."""
+    rows = staged(A.sequences_li(spark, sf), "sequences")
+    timed = staged(prompts.prompt_with_time(prompts.sequence_to_sids(rows, A.place_codebook(spark, sf))), "timed")
+    ids = staged(prompts.prompt_no_time(prompts.sequence_to_ids(rows)), "ids")
+    few = timed.where("split = 'test' or (split = 'train' and uid % 2 = 0)")
+    for folder, examples, kind, with_time in (("times", timed, "codebook", True), ("ids", ids, "id", False), ("half", few, "codebook", True)):
+        for mode in prompts.MODES if examples is not few else ("train", "test"):
+            part = examples.where(F.col("split") == mode)
+            instructions.write_instruction_array(part, f"{root}/{folder}", mode, kind, with_time, order=["uid", "seq_no"])
+
+    def said(examples, answers, hint):
+        key = F.md5(F.concat("prompt", F.lit(hint))).alias("key")
+        return prompts.prompt_completion(examples).join(answers, PREDICTION_KEY).select(key, "answer")
+
+    plain = F.coalesce(F.concat(F.col("predicted").cast("string"), F.lit(">")), F.lit("")).alias("answer")
+    both = said(timed, _answers(spark, sf).select(*PREDICTION_KEY, "answer"), scoring.SID_PREFIX).unionByName(
+        said(ids, _predicted(spark, sf).select(*PREDICTION_KEY, plain), scoring.ID_PREFIX)
+    )
+    # Prompts of the same text get the same answer.
+    return staged(both.groupBy("key").agg(F.min("answer").alias("answer")), "said")
+
+
+@query
+def evaluate_runs(spark, sf):
+    """Four runs over folders of both kinds, evaluated twice and appended once; a fifth is in the table already."""
+    root, path = scratch_folder(spark, "evaluation"), scratch_folder(spark, "evaluated")
+    said = _evaluation_folders(spark, sf, root)
+
+    def answer(asked):
+        rows = asked.select(*evaluation.ASKED, F.md5("prompt").alias("key")).join(said, "key", "left")
+        tries = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(5))))
+        blank = F.substring(digest("try", F.col("run_name"), F.col("key"), F.col("attempt")), 1, 1) < "a"
+        text = F.when(blank & (F.col("attempt") < 5), "\t ").otherwise(F.concat(F.lit(" "), F.coalesce("answer", F.lit("")), F.lit("\n")))
+        return tries.select(*evaluation.ASKED, "attempt", text.alias("text"))
+
+    known = spark.createDataFrame([("run-old", 0.5, None, None, 0.25)], tables.METRIC_SCHEMA)
+    tables.append_new_runs(spark, known, path)
+    for _ in range(2):
+        evaluation.evaluate_and_save(spark, {run: f"{root}/{folder}" for run, folder in EVALUATED.items()}, answer, path)
+    found = tables.read_runs(spark, path)
+    return found.select("run_name", *(F.coalesce(F.round(f"{s}_acc", 6), F.lit(-1.0)).alias(f"{s}_acc") for s in scoring.SPLITS))
+
+
 @query
 def prediction_log(spark, sf):
     path = scratch_folder(spark, "prediction-log")
@@ -870,7 +994,7 @@ def project_2d(spark, sf):
     prefixed = sid_report.with_prefix(A.enriched_place_codebook(spark, sf), sid_report.level_prefix(1))
     selected = sid_report.sample_frequent_prefixes(prefixed, sid_report.MIN_COUNT_LEVEL)
     subset = sid_report.projection_subset(prefixed, selected, "catname")
-    return sid_report.project_2d(subset).select("pid", "catname", r6(F.abs("x"), "x"), r6(F.abs("y"), "y"))
+    return sid_report.project_2d(subset).select("pid", "catname", r6("x"), r6("y"))
 
 
 # ---- regions ----
@@ -919,8 +1043,9 @@ def rank_combos_by_compactness(spark, sf):
 
 @query
 def first_combo_of_region(spark, sf):
-    top, _ = _combo_regions(spark, sf)
-    return regions.first_combo_of_region(top, regions.rank_combos_by_compactness(_stats(spark, sf)))
+    top, centers = _combo_regions(spark, sf)
+    pairs = regions.region_pair_distance(regions.combo_region_lists(top, centers))
+    return regions.first_combo_of_region(top, regions.rank_combos_by_compactness(regions.combo_distance_stats(pairs)))
 
 
 @query

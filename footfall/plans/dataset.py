@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from footfall.functions.seeded import DEFAULT_SEED
-from footfall.operators import cleaning, encoding, features, graph, profiles, sequences, splits
+from footfall.operators import cleaning, encoding, features, graph, profiles, prompts, sequences, splits
 from footfall.session import staged
+from footfall.sources import instructions
 
 
 @dataclass(frozen=True)
@@ -89,3 +91,17 @@ def process_clean(
         profiles.place_heads(visits), profiles.first_visits(visits, "time"), who, metadata
     )
     return Dataset(visits, dictionaries, profile, train, test, examples, metadata, long_features)
+
+
+def load_tokenized(
+    spark: SparkSession,
+    path: str,
+    tokenize: Callable[[str], tuple[list[int], list[int]]],
+    max_examples: int | None = None,
+    max_length: int = 2048,
+    eos: str = "</s>",
+) -> DataFrame:
+    """``input_ids, labels`` of the instruction records in a file, the first ``max_examples`` of them or all."""
+    records = instructions.read_instructions(spark, path, max_examples)
+    masked = prompts.mask_prompt_labels_by(prompts.prompt_completion(records), tokenize, max_length, eos)
+    return masked.select("input_ids", "labels")

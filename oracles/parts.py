@@ -228,7 +228,7 @@ PARTS: dict[str, str] = {
     "by2": "select *, codes[2]::varchar as prefix from book",
     "by12": "select *, codes[1]||','||codes[2] as prefix from book",
     "pbook": """
-      select p_partkey as pid, b.codes, b.catname, b.region_id from part
+      select p_partkey as pid, b.codes, b.q, b.catname, b.region_id from part
       join book b on b.pid = p_partkey % (select count(*) from embeddings) + 1""",
     "drawable": """
       select 'level_1' as report, 50 as least, pid, codes[1]::varchar as prefix, catname as item from pbook

@@ -1,8 +1,10 @@
-"""One statement per query key. ``fit_codebooks`` and ``project_2d`` have none: their results are not unique."""
+"""One statement per query key."""
 
 from __future__ import annotations
 
 from oracles.parts import cell, cell_text, compose, fmt, hex_int, sid, top_items, windows
+from oracles.vectors import fitted_codewords, projected, trained_codewords
+
 
 def _csv(column: str, sep: str = ",") -> str:
     return f"array_to_string({column},'{sep}')"
@@ -32,11 +34,18 @@ _DECODED = f"""
 STATEMENTS: dict[str, str] = {
     # sources and sinks
     "read_checkins": "select row_id, uid, pid, cat_id, catname, lat, lon, tz_offset, utc_time from raw",
+    "read_checkins_in_order": """
+      select uid, 0::bigint as segment, string_agg(pid, ',' order by place) as pids, string_agg(name, '|' order by place) as catnames from (
+        select uid, pid, md5(row_id::varchar) as place,
+               case when substr(md5(row_id::varchar),32,1) < '8' then catname||','||chr(13)||chr(10)||'"second" line'||chr(10)||cat_id else catname end as name
+        from raw) r group by uid""",
     "parse_list_column": """
       select o_orderkey, case when o_orderkey%5 in (3,4) then 2 else 0 end as n,
              case when o_orderkey%5 in (3,4) then o_custkey||','||o_orderkey else '' end as ints,
              o_orderpriority||'|'||o_orderstatus as words from orders""",
     "read_instructions": "select instruction, input, output from dialogue",
+    "read_instruction_array": "select instruction, input, output from dialogue",
+    "first_instructions": "select instruction, input, output from dialogue order by conv_id, turn limit 50",
     "write_instructions": """
       select ['train','val','test'][(conv_id%3+1)::int]||'_id_notime.json' as file_name, instruction, input, output from dialogue""",
     "split_from_filename": """
@@ -117,6 +126,11 @@ STATEMENTS: dict[str, str] = {
       union all select pid, (select c from sizes)+region-1, 1.0 from enc_heads
       union all select pid, (select c+r from sizes)+idx, value from f_hours
       union all select pid, (select c+r+24 from sizes)+idx, value from f_users""",
+    "recency_pipeline": """
+      select pid, idx, value from f_category
+      union all select pid, (select c from sizes)+region-1, 1.0 from enc_heads
+      union all select pid, (select c+r from sizes)+idx, value from f_hours
+      union all select pid, (select c+r+24 from sizes)+uid-1, case when recency<100 then round(pow(0.5,recency),6) else 0 end from enc_users""",
     "feature_vectors": """
       select pid, (select c+r+24+u from sizes) as dim, string_agg(idx::varchar, ',' order by idx) as indices,
              string_agg('1.0', ',' order by idx) as values
@@ -142,6 +156,8 @@ STATEMENTS: dict[str, str] = {
     # residual quantisation
     "nearest_codeword": "select pid, c0 as code from q0",
     "residual_codes": f"select pid, {_csv('codes')} as codes from coded",
+    "fit_codebooks": fitted_codewords(levels=3, words=16, steps=5),
+    "train_codebooks": trained_codewords(epochs=3),
     "ema_codebook_update": """
       select level, code, round(size,6) as ema_size, round(list_sum(centroid),6) as centroid_sum, round(centroid[1],6) as centroid_0 from (
         select level, code, size, list_transform(s, lambda v: v / ((size+1e-5::double)/(total+16*1e-5::double)*total)) as centroid from (
@@ -182,6 +198,14 @@ STATEMENTS: dict[str, str] = {
         target_token as output from toks""",
     "prompt_completion": "select conv_id, turn, instruction||chr(10)||input||' ' as prompt, output as completion from dialogue",
     "mask_prompt_labels": _LABELS,
+    "load_tokenized": f"""
+      select {_csv('input_ids')} as input_ids,
+             array_to_string(list_transform(input_ids, lambda t, i: case when starts[i] < inside then -100 else t end),',') as labels
+      from (select inside, list_transform(words, lambda w: {hex_int('md5(w)', 7)}) as input_ids,
+                   list_transform(words, lambda w, i: coalesce(list_sum(list_transform(words[1:i-1], lambda v: len(v))), 0)) as starts
+            from (select len(instruction||chr(10)||input||' ') as inside,
+                         regexp_extract_all(instruction||chr(10)||input||' '||output||'</s>','[0-9A-Za-z_]+|[^0-9A-Za-z_]')[1:64] as words
+                  from dialogue) d) t""",
     "token_length_stats": """
       select count(*) as examples, min(n) as min_len, max(n) as max_len, round(avg(n),6) as mean_len,
              (list(n order by n))[(count(*)//2+1)::bigint] as median_len from lens""",
@@ -227,6 +251,41 @@ STATEMENTS: dict[str, str] = {
                      row_number() over (order by uid, row_id) as spot from train) e
             where dst is not null group by half, src, dst) r where k=1) n on n.half=d.half and n.src=s.pids[len(s.pids)]
         join place_sid g on g.pid=s.target left join place_sid p on p.pid=n.dst) t group by train_dataset""",
+    "evaluate_runs": """
+      with ex as (
+        select 'times' as folder, '<a_' as hint, split, uid, instruction||chr(10)||input||' ' as prompt, output as completion, answer
+        from timed join answers using (split, uid, seq_no)
+        union all
+        select 'ids', '<', split, uid,
+               'Here is a record of a user''s POI accesses, your task is based on the history to predict the next POI that the user is likely to access.'
+                 ||chr(10)||'The user_'||uid||' visited: '||array_to_string(list_transform(pids, lambda p: '<'||p||'>'), ', ')
+                 ||', and in the next time user_'||uid||' is likely to visit: ',
+               '<'||s.target||'>', coalesce(predicted||'>','')
+        from seqs s join guessed g using (split, uid, seq_no)),
+      keyed as materialized (
+        select row_number() over () as row, * from (
+          select *, md5(prompt||hint) as key from ex union all
+          select 'half', hint, split, uid, prompt, completion, answer, md5(prompt||hint) from ex
+          where folder='times' and (split='test' or (split='train' and uid%2=0))) f),
+      said as (select key, min(answer) as answer from keyed group by key),
+      spoken as (
+        select row, folder, split, regexp_extract(lower(prompt),'user_[0-9]+') as user,
+               list_distinct(list_concat(regexp_extract_all(lower(prompt),'(?:<\\w+>)+'), regexp_extract_all(lower(completion),'(?:<\\w+>)+'))) as sids
+        from keyed),
+      warm as (
+        select row from spoken t where split<>'test' or ((folder, user) in (select folder, user from spoken where split='train')
+          and row not in (select row from (select row, folder, unnest(sids) as sid from spoken where split='test') m
+                          where (folder, sid) not in (select folder, unnest(sids) from spoken where split='train')))),
+      asked as (
+        select run_name, split, hint, completion, said.answer,
+               len(list_filter(range(0,5), lambda t: substr(md5('try|'||run_name||'|'||k.key||'|'||t),1,1) >= 'a')) as tries
+        from keyed k join warm using (row) join said on said.key=k.key
+        join (values ('run-a','times'),('run-b','times'),('run-c','ids'),('run-d','half')) r(run_name, of) on r.of=k.folder),
+      hits as (select run_name, split, contains(hint||(case when tries>0 then answer else '' end), completion)::int as hit from asked)
+      select run_name, round(coalesce(avg(hit) filter (split='train'),-1),6) as train_acc, round(coalesce(avg(hit) filter (split='val'),-1),6) as val_acc,
+             round(coalesce(avg(hit) filter (split='test_all'),-1),6) as test_all_acc, round(coalesce(avg(hit) filter (split='test'),-1),6) as test_acc
+      from hits group by run_name
+      union all select 'run-old', 0.5, -1.0, -1.0, 0.25""",
     "prediction_log": "select (gold='<a_'||result)::int as correct, gold, '<a_'||result as prediction from results",
     "perplexity": "select run, epoch, round(case when epoch%2=0 then 1.5 else exp(eval_loss) end,6) as perplexity from losses",
     "best_epoch_early_stop": """
@@ -273,6 +332,10 @@ STATEMENTS: dict[str, str] = {
       select distinct d.pid, d.prefix, d.item, d.report from drawable d
       join chosen c on c.report=d.report and c.prefix=d.prefix
       join (select distinct report, item from drawn_items) i on i.report=d.report and i.item=d.item""",
+    "project_2d": projected("""
+      select distinct d.pid, p.catname, p.q from drawable d join pbook p on p.pid=d.pid
+      join chosen c on c.report=d.report and c.prefix=d.prefix
+      join (select distinct report, item from drawn_items) i on i.report=d.report and i.item=d.item where d.report='level_1'"""),
     # regions
     "decode_region": f"""
       select *, 'https://www.google.com/maps/search/?api=1&query='||printf('%.3f,%.3f',center_lat,center_lon) as map_url from ({_DECODED}) d""",

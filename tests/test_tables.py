@@ -40,8 +40,8 @@ def test_runs_are_appended_once(spark, tmp_path):
     two = spark.createDataFrame([("a", 0.9, None, None, 0.9), ("b", 0.3, 0.4, 0.5, 0.6)], tables.METRIC_SCHEMA)
     for runs in (one.unionByName(one), two, two.unionByName(two.withColumn("train_acc", F.lit(9.0)))):
         tables.append_new_runs(spark, runs, path)
-    got = {r.run_name: r.train_acc for r in spark.read.parquet(path).collect()}
-    assert got == {"a": 0.1, "b": 0.3} and spark.read.parquet(path).count() == 2
+    got = {r.run_name: r.train_acc for r in tables.read_runs(spark, path).collect()}
+    assert got == {"a": 0.1, "b": 0.3} and tables.read_runs(spark, path).count() == 2
 
 
 @pytest.mark.parametrize("with_recency", [False, True])
@@ -77,3 +77,20 @@ def test_sparse_vectors(spark):
     rows = spark.createDataFrame([(1, 4, 1.0), (1, 0, 0.5), (2, 9, 1.0)], "pid int, idx bigint, value double")
     found = {r.pid: r.features for r in ml_vectors(sparse_vectors(rows, 10)).collect()}
     assert list(found[1].toArray()) == [0.5, 0, 0, 0, 1.0, 0, 0, 0, 0, 0] and found[2].indices.tolist() == [9]
+
+
+def test_vectors_feed_machine_learning(spark):
+    from pyspark.ml.clustering import KMeans
+
+    from footfall.operators.features import ml_vectors, sparse_vectors
+
+    rows = [(pid, (pid % 2) * 5 + k, 1.0) for pid in range(12) for k in range(3)]
+    df = ml_vectors(sparse_vectors(spark.createDataFrame(rows, "pid int, idx bigint, value double"), 10))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    found = KMeans(k=2, seed=1).fit(df).transform(df).collect()
+    groups = {r.pid % 2: set() for r in found}
+    for r in found:
+        groups[r.pid % 2].add(r.prediction)
+    assert len(groups[0]) == len(groups[1]) == 1 and groups[0] != groups[1]
+    assert ml_vectors(sparse_vectors(spark.createDataFrame([], "pid int, idx bigint, value double"), 10)).count() == 0
