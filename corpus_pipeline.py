@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import bpe, line_runs, mixing, ngram_join, quality
+from footfall.llm.common import spare
 from footfall.session import scratch_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated, whole and in part, until every source has its target weight."""
+    (figures,) = spare(docs, "_mix_figures")
     tie = F.xxhash64("text")
-    return mixing.repeated(mixing.mixed(docs, "_mix_figures", mixing.n_words(F.col("text")), tie=tie), "_mix_figures")
+    return mixing.repeated(mixing.mixed(docs, figures, mixing.n_words(F.col("text")), tie=tie), figures)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

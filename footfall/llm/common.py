@@ -45,6 +45,17 @@ def map_batches(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each longer by underscores as long as ``df`` has a column of it in any case."""
+    taken = {name.lower() for name in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def written_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``written``, and the folder."""
     path = scratch_folder(df.sparkSession, name)

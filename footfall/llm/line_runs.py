@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from footfall.llm.common import map_batches, written
+from footfall.llm.common import map_batches, spare, written
 
 MIN_WORDS = 5
 # Top bits of a line's digest that cut the order of lines into buckets.
@@ -142,36 +142,34 @@ def without_repeats(
     """``df`` with shortened texts and a struct ``out``: ``n_removed, n_runs``. Every row stays; null texts stay null."""
     if out in df.columns:
         raise ValueError(f"the input has a column {out}")
+    doc, digest, found = spare(df.withColumn(out, F.lit(0)), "_gone_doc", "_gone_digest", "_gone")
     gone = removed_lines(df, key, text, min_words).select(
-        F.col("doc").alias("_gone_doc"), F.col("digest").alias("_gone_digest"), "lines", "n_runs"
+        F.col("doc").alias(doc), F.col("digest").alias(digest), F.struct("lines", "n_runs").alias(found)
     )
-    gone = gone.select("_gone_doc", "_gone_digest", F.struct("lines", "n_runs").alias("_gone"))
     column = F.col(f"`{text}`")
     joined = df.join(
-        gone,
-        F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col("_gone_doc")) & (F.xxhash64(column) == F.col("_gone_digest")),
-        "left",
+        gone, F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(column) == F.col(digest)), "left"
     )
     parts = F.split(column, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1).cast("array<bigint>"), F.col("_gone.lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1).cast("array<bigint>"), F.col(f"{found}.lines"))
     shorter = F.array_join(F.transform(left, lambda i: F.get(parts, i.cast("int"))), "\n")
     figures = F.struct(
-        F.coalesce(F.size("_gone.lines"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("_gone.n_runs", F.lit(0)).cast("bigint").alias("n_runs"),
+        F.coalesce(F.size(f"{found}.lines"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(f"{found}.n_runs", F.lit(0)).cast("bigint").alias("n_runs"),
     )
-    figures = F.when(F.col("_gone").isNotNull(), figures).otherwise(
+    figures = F.when(F.col(found).isNotNull(), figures).otherwise(
         F.struct(F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_runs"))
     )
     return (
-        joined.withColumn(text, F.when(F.col("_gone").isNotNull(), shorter).otherwise(column))
+        joined.withColumn(text, F.when(F.col(found).isNotNull(), shorter).otherwise(column))
         .withColumn(out, figures)
-        .drop("_gone", "_gone_doc", "_gone_digest")
+        .drop(found, doc, digest)
     )
 
 
 def keep_first_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``df`` with their texts shortened; rows of which no word is left go, those that had none stay."""
-    out = "_line_runs"
+    (out,) = spare(df, "_line_runs")
     rows = without_repeats(df, out, key, text, min_words)
     empty = (F.col(f"{out}.n_removed") > 0) & ~F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")
     return rows.where(~empty).drop(out)

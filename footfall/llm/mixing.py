@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from footfall.llm.common import written
+from footfall.llm.common import spare, written
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # Between a word and the white space after it: cuts a text into pieces of one word each.
@@ -124,31 +124,32 @@ def mixed(
         .select(F.struct("source", "source_size", "target", "whole", "cut", "last").alias("_plan"))
     )
     # One row per source, written so that its size is known: the rows are not dealt out by source, of which one may be hot.
-    plan = written(plan.withColumn("_plan_source", F.col("_plan.source")), "mix-plan")
+    own, plans, of, extra = spare(rows, "_mix", "_plan", "_plan_source", "_extra")
+    plan = written(plan.select(F.col("_plan").alias(plans), F.col("_plan.source").alias(of)), "mix-plan")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    joined = rows.withColumn("_mix", F.col(out)).drop(out)
-    joined = joined.join(plan, F.col("_mix.source").eqNullSafe(F.col("_plan_source"))).drop("_plan_source")
-    here = F.col("_mix.bucket") == F.col("_plan.last.bucket")
-    order = W.partitionBy("_mix.source").orderBy("_mix.digest", "_mix.size", "_mix.tie")
+    joined = rows.withColumn(own, F.col(out)).drop(out)
+    joined = joined.join(plan, F.col(f"{own}.source").eqNullSafe(F.col(of))).drop(of)
+    here = F.col(f"{own}.bucket") == F.col(f"{plans}.last.bucket")
+    order = W.partitionBy(f"{own}.source").orderBy(f"{own}.digest", f"{own}.size", f"{own}.tie")
     before = F.coalesce(
-        F.sum("_mix.size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    ) + F.col("_plan.last.start")
-    room = F.floor(F.col("_plan.cut") - before + F.lit(0.5)).cast("bigint")
+        F.sum(f"{own}.size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    ) + F.col(f"{plans}.last.start")
+    room = F.floor(F.col(f"{plans}.cut") - before + F.lit(0.5)).cast("bigint")
     in_cut = joined.where(here).withColumn(
-        "_extra", F.greatest(F.lit(0), F.least(F.col("_mix.size"), room)).cast("bigint")
+        extra, F.greatest(F.lit(0), F.least(F.col(f"{own}.size"), room)).cast("bigint")
     )
     elsewhere = joined.where(~here).withColumn(
-        "_extra", F.when(F.col("_mix.bucket") < F.col("_plan.last.bucket"), F.col("_mix.size")).otherwise(F.lit(0))
+        extra, F.when(F.col(f"{own}.bucket") < F.col(f"{plans}.last.bucket"), F.col(f"{own}.size")).otherwise(F.lit(0))
     )
     result = F.struct(
-        F.col("_mix.size").alias("size"),
-        F.col("_plan.source_size").alias("source_size"),
-        F.col("_plan.target").alias("target"),
-        F.col("_plan.whole").alias("whole"),
-        F.col("_extra").alias("extra"),
-        (F.col("_plan.whole") * F.col("_mix.size") + F.col("_extra")).alias("taken"),
+        F.col(f"{own}.size").alias("size"),
+        F.col(f"{plans}.source_size").alias("source_size"),
+        F.col(f"{plans}.target").alias("target"),
+        F.col(f"{plans}.whole").alias("whole"),
+        F.col(extra).alias("extra"),
+        (F.col(f"{plans}.whole") * F.col(f"{own}.size") + F.col(extra)).alias("taken"),
     )
-    return elsewhere.unionByName(in_cut).withColumn(out, result).drop("_mix", "_plan", "_extra")
+    return elsewhere.unionByName(in_cut).withColumn(out, result).drop(own, plans, extra)
 
 
 def repeated(df: DataFrame, mix: str, text: str = "text") -> DataFrame:
@@ -156,6 +157,7 @@ def repeated(df: DataFrame, mix: str, text: str = "text") -> DataFrame:
     whole, extra, size = F.col(f"{mix}.whole"), F.col(f"{mix}.extra"), F.col(f"{mix}.size")
     copies = (whole + F.when(extra > 0, 1).otherwise(0)).cast("int")
     part = F.array_join(F.slice(F.split(F.col(f"`{text}`"), AFTER_WORD), 1, extra.cast("int")), "")
-    last = (F.col("_copy") > whole) & (extra < size)
-    rows = df.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return rows.withColumn(text, F.when(last, part).otherwise(F.col(f"`{text}`"))).drop("_copy", mix)
+    (copy,) = spare(df, "_copy")
+    last = (F.col(copy) > whole) & (extra < size)
+    rows = df.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return rows.withColumn(text, F.when(last, part).otherwise(F.col(f"`{text}`"))).drop(copy, mix)

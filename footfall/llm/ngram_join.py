@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.common import map_batches, remove_written, written, written_to
+from footfall.llm.common import map_batches, remove_written, spare, written, written_to
 from footfall.llm.components import components
 from footfall.llm.shingles import shingle_set
 
@@ -327,5 +327,6 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     such rows has their set.
     """
     gone = linked_components(df, key, text, width, percent).where("component_id < doc_id or doc_id is null and component_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col("_gone")), "left_anti")
+    (name,) = spare(df, "_gone")
+    gone = gone.select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(name)), "left_anti")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from footfall.llm import bpe, quality
@@ -18,7 +19,7 @@ from tests.llm.conftest import ODD_TEXTS
 
 
 def test_one_query_for_each_operator():
-    assert sorted(k.split("_")[0] for k in QUERIES) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+    assert sorted(k.split("_")[0] for k in QUERIES) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
 
 
 @pytest.mark.parametrize("key", sorted(STATEMENTS))
@@ -81,3 +82,19 @@ def test_stages_keep_columns_and_take_odd_rows(spark, docs_of):
             assert out.columns == docs.columns
             out.collect()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(rows)
+
+
+def test_columns_named_like_those_inside_stay(spark, docs_of):
+    inside = ["_gone", "_GONE_DOC", "_gone_digest", "_plan", "_plan_source", "_mix", "_copy", "_extra", "_line_runs", "_mix_figures"]
+    run = "\n".join(f"line {k} of a run that comes again" for k in range(6))
+    rows = [(1, f"first words of one document\n{run}"), (2, f"other words in the next one\n{run}"), (3, "a third text"), (3, "a third text")]
+    docs = docs_of(rows)
+    for name in inside:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        plain = stage(spark, docs.drop(*inside), "")
+        assert sorted(map(tuple, out.drop(*inside).collect())) == sorted(map(tuple, plain.collect())), name
+        for r in out.collect():
+            assert all(r[c] == f"{c} of {r.doc_id}" for c in inside)
