@@ -74,9 +74,12 @@ def test_prefixes_hold_the_shared_n_grams():
         prefixes = [ngram_join.extended_prefix(s, percent) for s in (x, y)]
         assert len(np.intersect1d(*prefixes)) >= least
         assert max(ngram_join.shared_least(len(s), percent) for s in (x, y)) <= max(1, least)
-        shapes = [np.frombuffer(ngram_join._histogram(s << np.uint64(50)), np.uint8).astype(int) for s in (x, y)]
-        gap = np.abs(shapes[0] - shapes[1])
-        assert np.minimum(gap, 256 - gap).sum() <= len(x) + len(y) - 2 * ngram_join.overlap(len(x), len(y), percent)
+        shapes = [ngram_join._shapes([ngram_join._histogram(s << np.uint64(50))]) for s in (x, y)]
+        counts = [np.bincount((s >> np.uint64(5)).astype(int), minlength=ngram_join.RANGES) % 4 for s in (x, y)]
+        apart = np.abs(counts[0] - counts[1])
+        gap = ngram_join.shape_gap(*shapes)[0]
+        assert gap == np.minimum(apart, 4 - apart).sum()
+        assert gap <= len(x) + len(y) - 2 * ngram_join.overlap(len(x), len(y), percent)
 
 
 def test_pairs_are_tested_once_and_shared_passages_make_none(docs_of, monkeypatch):
