@@ -706,12 +706,12 @@ def _predicted(spark, sf):
     return scoring.predict_next_place(sequences.generate_sequences(train, test), graph.forward_edges(train))
 
 
-def _answers(spark, sf):
+def _answers(spark, sf, predicted=None):
     """``gold`` and the ``answer`` text after the hint, with the answer blank where no successor is known."""
     sids = staged(A.place_codebook(spark, sf).select("pid", sid_text(F.col("codes")).alias("sid")), "sids")
     gold = sids.select(F.col("pid").alias("target"), F.col("sid").alias("gold"))
     guess = sids.select(F.col("pid").alias("predicted"), F.col("sid").alias("guess"))
-    rows = _predicted(spark, sf).select(*PREDICTION_KEY, "target", "predicted")
+    rows = (_predicted(spark, sf) if predicted is None else predicted).select(*PREDICTION_KEY, "target", "predicted")
     answer = F.coalesce(F.substr("guess", F.lit(len(scoring.SID_PREFIX) + 1)), F.lit(""))
     return rows.join(gold, "target").join(guess, "predicted", "left").select(*PREDICTION_KEY, "gold", answer.alias("answer"))
 
@@ -802,7 +802,10 @@ EVALUATED = {"run-a": "times", "run-b": "times", "run-c": "ids", "run-d": "half"
 
 def _evaluation_folders(spark, sf, root: str):
     """Instruction arrays of the sequences in three folders, and ``key, answer``: what a predictor says to a prompt."""
-    rows = staged(A.sequences_li(spark, sf), "sequences")
+    train, test = A.split_li(spark, sf)
+    rows = staged(sequences.generate_sequences(train, test), "sequences")
+    guessed = scoring.predict_next_place(rows, graph.forward_edges(train)).select(*PREDICTION_KEY, "target", "predicted")
+    guessed = staged(guessed, "guessed")
     timed = staged(prompts.prompt_with_time(prompts.sequence_to_sids(rows, A.place_codebook(spark, sf))), "timed")
     ids = staged(prompts.prompt_no_time(prompts.sequence_to_ids(rows)), "ids")
     few = timed.where("split = 'test' or (split = 'train' and uid % 2 = 0)")
@@ -816,8 +819,8 @@ def _evaluation_folders(spark, sf, root: str):
         return prompts.prompt_completion(examples).join(answers, PREDICTION_KEY).select(key, "answer")
 
     plain = F.coalesce(F.concat(F.col("predicted").cast("string"), F.lit(">")), F.lit("")).alias("answer")
-    both = said(timed, _answers(spark, sf).select(*PREDICTION_KEY, "answer"), scoring.SID_PREFIX).unionByName(
-        said(ids, _predicted(spark, sf).select(*PREDICTION_KEY, plain), scoring.ID_PREFIX)
+    both = said(timed, _answers(spark, sf, guessed).select(*PREDICTION_KEY, "answer"), scoring.SID_PREFIX).unionByName(
+        said(ids, guessed.select(*PREDICTION_KEY, plain), scoring.ID_PREFIX)
     )
     # Prompts of the same text get the same answer.
     return staged(both.groupBy("key").agg(F.min("answer").alias("answer")), "said")

@@ -35,6 +35,20 @@ def test_prompt_texts(spark):
     assert ids[5].tokens == ["<1>", "<2>"] and ids[5].target_token == "<1>"
 
 
+def test_large_codebooks_are_joined(spark, monkeypatch):
+    rows = [(u, [u % 5 + 1, 2, 3], u % 3 + 1) for u in range(40)]
+    book = spark.createDataFrame([(p, [p, p + 1]) for p in range(1, 8)], "pid int, codes array<int>")
+    df = spark.createDataFrame(rows, "uid int, pids array<int>, target int").selectExpr("'train' as split", "uid", "0 as seq_no", "pids", "target")
+    held = prompts.sequence_to_sids(df, book)
+    monkeypatch.setattr(prompts, "SHIPPED_PLACES", 3)
+    joined = prompts.sequence_to_sids(df, book)
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert held.columns == joined.columns
+    assert sorted(map(tuple, held.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
+    assert prompts.sequence_to_sids(df.where("uid < 0"), book).count() == 0
+
+
 def test_unknown_place_is_an_error(spark):
     book = spark.createDataFrame([(1, [4])], "pid int, codes array<int>")
     with pytest.raises(Exception, match="no codes for place 9"):

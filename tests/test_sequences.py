@@ -123,6 +123,26 @@ def test_all_splits_are_named(frame):
     assert got == {"train", "val", "test", "test_all"}
 
 
+@pytest.mark.parametrize(("window", "mask"), [(50, 0.0), (50, 1.0), (7, 0.3), (90, 0.0)])
+def test_all_splits_from_one_row_for_each_user(frame, window, mask):
+    train, test = frame.where("row_id % 3 <> 0"), frame.where("row_id % 3 = 0")
+    found = sequences.generate_sequences(train, test, window, 10, mask).cache()
+    wanted = {
+        "train": sequences.train_sequences(train, window, 10, mask),
+        "val": sequences.val_examples(test, window),
+        "test": sequences.test_examples(test, window),
+        "test_all": sequences.test_examples(splits.union_train_test(train, test), window),
+    }
+    for split, df in wanted.items():
+        assert collected(found.where(F.col("split") == split)) == collected(df)
+
+
+def test_visits_are_shuffled_once_for_all_splits(frame):
+    plan = sequences.generate_sequences(frame, frame)._jdf.queryExecution().executedPlan().toString()
+    # The visits by user and part after their limit, then one row for each user and part.
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning")
+
+
 def test_history_is_cut_before_the_shuffle(frame):
     plan = sequences.cap_history(frame)._jdf.queryExecution().executedPlan().toString()
     before = plan[plan.index("Exchange") :]
