@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from footfall.functions.seeded import DEFAULT_SEED
 from footfall.operators import cleaning, encoding, features, graph, profiles, prompts, sequences, splits
-from footfall.session import staged
+from footfall.session import scratch, staged
 from footfall.sources import instructions
 
 
+# Names of the scratch tables that only lead to the encoded rows.
+_PASSING = ("clean-", "kept-", "distinct-")
+
+
 @dataclass(frozen=True)
 class Dataset:
     visits: DataFrame
@@ -66,14 +71,16 @@ def process_clean(
     """The same from clean check-ins.
 
     Clean rows, filtered rows, encoded rows and the split are written once each to the shared scratch folder: every one of
-    them is read several times, and later scans prune columns instead of cleaning the raw files again.
+    them is read several times, and later scans prune columns instead of cleaning the raw files again. Of these, the clean and the
+    filtered rows are deleted as soon as the encoded rows are written.
     """
-    clean = staged(clean, "clean")
-    kept = staged(cleaning.frequency_filter(clean, poi_min_freq, user_min_freq), "kept")
-    dictionaries = {
-        name: staged(table, f"dictionary-{name}") for name, table in encoding.build_dictionaries(kept, seed).items()
-    }
-    visits = staged(encoding.apply_dictionary(kept, dictionaries), "visits")
+    with scratch(clean.sparkSession) as made:
+        kept = staged(cleaning.frequency_filter(staged(clean, "clean"), poi_min_freq, user_min_freq), "kept")
+        dictionaries = {
+            name: staged(table, f"dictionary-{name}") for name, table in encoding.build_dictionaries(kept, seed).items()
+        }
+        visits = staged(encoding.apply_dictionary(kept, dictionaries), "visits")
+        made[:] = [path for path in made if os.path.basename(path).startswith(_PASSING)]
 
     if with_recency:
         who = profiles.visitor_recency(visits)

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from footfall.operators import encoding, features, graph, profiles
+from footfall.operators import encoding, features, graph, ordering, profiles
 from footfall.operators.ordering import position_in_group
 
 SCHEMA = "row_id bigint, row_block bigint, uid int, pid int, catname int, region int, time timestamp_ntz, recency int"
@@ -187,3 +187,46 @@ def test_positions_do_not_depend_on_blocks(spark, visits):
     wide = position_in_group(visits, ["uid"], [F.col("row_id")], F.lit(0))
     narrow = position_in_group(visits, ["uid"], [F.col("row_id")], F.col("row_block"))
     assert wide.exceptAll(narrow).isEmpty()
+
+
+@pytest.mark.parametrize("bound", [0, 40, 200, 10_000])
+def test_results_do_not_depend_on_which_groups_are_large(spark, visits, rows, monkeypatch, bound):
+    """All groups cut into blocks, the hot ones, or none: the same ranks, positions and lists."""
+    monkeypatch.setattr(ordering, "GROUP_ROWS", bound)
+    for both, ranked in ((True, graph.neighbors(visits)), (False, graph.forward_neighbors(visits))):
+        got = defaultdict(dict)
+        for r in ranked.collect():
+            got[r.src][r["rank"]] = r.dst
+        for place, dsts in brute_neighbors(rows, both).items():
+            freq = Counter()
+            for seq in by_user(rows).values():
+                for i, r in enumerate(seq):
+                    if r[3] == place:
+                        freq.update([seq[i - 1][3]] if both and i else [])
+                        freq.update([seq[i + 1][3]] if i + 1 < len(seq) else [])
+            assert [freq[got[place][k]] for k in range(1, len(dsts) + 1)] == sorted(freq.values(), reverse=True)
+            assert sorted(got[place].values()) == sorted(dsts)
+    seen = defaultdict(list)
+    for r in sorted(rows):
+        if r[2] not in seen[r[3]]:
+            seen[r[3]].append(r[2])
+    lists = {r.pid: r.uids for r in profiles.place_profile(visits).where("segment = 0").collect()}
+    assert lists == dict(seen)
+
+
+def test_rows_of_ordinary_groups_are_shuffled_once(visits):
+    """One exchange brings the visits of a user together, one the pairs of a place, which are counted and ranked there."""
+    plan = graph.neighbors(visits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    plan = profiles.place_users(visits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_only_keys_above_the_bound_are_large(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "GROUP_ROWS", 3)
+    df = spark.createDataFrame([(1,)] * 3 + [(2,)] * 4 + [(None,)] * 5, "k int")
+    large = ordering.large_groups(df, ["k"])
+    assert {r.k for r in large.collect()} == {2, None}
+    assert ordering.in_groups(df, ["k"], large).count() == 9
+    assert {r.k for r in ordering.in_groups(df, ["k"], large, "left_anti").collect()} == {1}
+    assert ordering.large_groups(df.where("k = 1"), ["k"]) is None
