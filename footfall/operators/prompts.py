@@ -67,13 +67,10 @@ def _joined_sids(sequences: DataFrame, sids: DataFrame) -> DataFrame:
     """
     with_target = F.concat("pids", F.array("target"))
     places = sequences.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list(with_target))).alias("_pids"))
-    named = places.select("uid", F.explode("_pids").alias("pid")).join(sids, "pid", "left").select(
-        "uid",
-        F.struct(
-            "pid", F.coalesce("sid", F.raise_error(F.concat(F.lit("no codes for place "), F.coalesce(F.col("pid").cast("string"), F.lit("null"))))).alias("sid")
-        ).alias("_named"),
-    )
-    known = named.groupBy("uid").agg(F.map_from_entries(F.collect_list("_named")).alias("_sids"))
+    missing = F.raise_error(F.concat(F.lit("no codes for place "), F.coalesce(F.col("pid").cast("string"), F.lit("null"))))
+    named = places.select("uid", F.explode("_pids").alias("pid")).join(sids, "pid", "left").withColumn("sid", F.coalesce("sid", missing))
+    # A list of pairs is wider than the two lists of their parts, which one aggregation collects in one order.
+    known = named.groupBy("uid").agg(F.map_from_arrays(F.collect_list("pid"), F.collect_list("sid")).alias("_sids"))
     tokens = F.transform("pids", lambda pid: F.element_at("_sids", pid)).alias("tokens")
     # Without a user there is one list of places at most, and no key to join by.
     nobody = sequences.where("uid is null").crossJoin(known.where("uid is null").select("_sids"))

@@ -133,18 +133,20 @@ def user_histories(train: DataFrame, test: DataFrame, cap: int = HISTORY_CAP) ->
 
     The rank is limited before the shuffle, so one pass over the visits and at most ``2 * cap`` of a user's travel.
     """
-    columns = ["uid", "pid", "time", "row_id"]
-    rows = train.select(*columns, F.lit("train").alias("part")).unionByName(test.select(*columns, F.lit("test").alias("part")))
-    newest_first = W.partitionBy("uid", "part").orderBy(F.desc("time"), F.desc("row_id"))
-    kept = rows.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= cap)
-    visit = F.struct("time", "row_id", "pid")
-    lists = kept.groupBy("uid", "part").agg(F.array_sort(F.collect_list(visit)).alias("visits"))
-    none = F.array().cast(lists.schema["visits"].dataType)
-
-    def of(part: str) -> Column:
-        return F.coalesce(F.first(F.when(F.col("part") == part, F.col("visits")), ignorenulls=True), none).alias(part)
-
-    return lists.groupBy("uid").agg(of("train"), of("test"))
+    newest_first = W.partitionBy("uid").orderBy(F.desc("time"), F.desc("row_id"))
+
+    def newest(rows: DataFrame, part: str) -> DataFrame:
+        ranked = rows.select("uid", "pid", "time", "row_id").withColumn("_rank", F.row_number().over(newest_first))
+        return ranked.where(F.col("_rank") <= cap).groupBy("uid").agg(
+            F.array_sort(F.collect_list(F.struct("time", "row_id", "pid"))).alias(part)
+        )
+
+    # Both tables lie by user already, so putting them together moves nothing.
+    lists = newest(train, "train").unionByName(newest(test, "test"), allowMissingColumns=True)
+    none = F.array().cast(lists.schema["train"].dataType)
+    return lists.groupBy("uid").agg(
+        *(F.coalesce(F.first(part, ignorenulls=True), none).alias(part) for part in ("train", "test"))
+    )
 
 
 def _cut(split: str, visits: Column, window: int, step: int) -> Column:

@@ -171,7 +171,9 @@ def train_li(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sequences_li(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.generate_sequences(*split_li(spark, sf, numbers=True))
+    """Sequences of all splits; either part is read once for them, so the split itself is not written."""
+    rows = clean_li(spark, sf, numbers=True).select("uid", "pid", "time", *cleaning.ORDER_COLUMNS)
+    return sequences.generate_sequences(*splits.split_data(staged(rows, "clean")))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,6 +49,20 @@ def test_large_codebooks_are_joined(spark, monkeypatch):
     assert prompts.sequence_to_sids(df.where("uid < 0"), book).count() == 0
 
 
+def test_joined_places_are_looked_up_once_for_each_user(spark, monkeypatch):
+    monkeypatch.setattr(prompts, "SHIPPED_PLACES", 3)
+    book = spark.createDataFrame([(p, [p, p + 1]) for p in range(1, 8)], "pid int, codes array<int>")
+    rows = [("train", u, k, [1, 2, 2, k + 3], 7) for u in (1, 2, None) for k in range(3)] * 2
+    df = spark.createDataFrame(rows, "split string, uid int, seq_no int, pids array<int>, target int")
+    got = prompts.sequence_to_sids(df, book)
+    assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString()
+    sid = {p: f"<a_{p}><b_{p + 1}>" for p in range(1, 8)}
+    want = [(*r, [sid[p] for p in r[3]], sid[r[4]]) for r in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    with pytest.raises(Exception, match="no codes for place 9"):
+        prompts.sequence_to_sids(df.withColumn("target", F.lit(9)), book).collect()
+
+
 def test_unknown_place_is_an_error(spark):
     book = spark.createDataFrame([(1, [4])], "pid int, codes array<int>")
     with pytest.raises(Exception, match="no codes for place 9"):
