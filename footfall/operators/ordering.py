@@ -103,8 +103,8 @@ def _by_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bloc
 def consecutive_pairs(df: DataFrame, key: str, value: str, order: str, block: str) -> DataFrame:
     """Every pair of neighbouring rows of a group: ``key, value, block, at, next_value, next_block, next_at``.
 
-    ``block, at`` order the rows of a group as ``order`` does, equal ones included, in few bytes: ``at`` is the rank in the block, and an
-    ordinary group is one block, null. Inside a block the partner comes from ``lead``; the last row of a block of a large group meets the first row
+    ``block, at`` order the rows of a group as ``order`` does, in few bytes: ``at`` is the number in the block, and an ordinary group is
+    one block, null. Inside a block the partner comes from ``lead``; the last row of a block of a large group meets the first row
     of the group's next block on the block table, so no large group is ever walked by one task.
     """
     shape = [key, value, block, "at", f"next_{value}", f"next_{block}", "next_at"]
@@ -112,7 +112,7 @@ def consecutive_pairs(df: DataFrame, key: str, value: str, order: str, block: st
     def ranked(rows: DataFrame) -> DataFrame:
         inside = W.partitionBy(key, block).orderBy(order)
         here = F.struct(F.col(value), F.col(block), F.col("at"))
-        return rows.select(key, value, order, block).withColumn("at", F.rank().over(inside)).withColumn("_next", F.lead(here).over(inside))
+        return rows.select(key, value, order, block).withColumn("at", F.row_number().over(inside)).withColumn("_next", F.lead(here).over(inside))
 
     def shaped(rows: DataFrame) -> DataFrame:
         following = (F.col(f"_next.{name}").alias(f"next_{name}") for name in (value, block, "at"))
@@ -120,7 +120,7 @@ def consecutive_pairs(df: DataFrame, key: str, value: str, order: str, block: st
 
     def small(rows: DataFrame) -> DataFrame:
         inside = W.partitionBy(key).orderBy(order)
-        here = rows.select(key, value, order).withColumn("at", F.rank().over(inside))
+        here = rows.select(key, value, order).withColumn("at", F.row_number().over(inside))
         after = here.withColumns({f"next_{value}": F.lead(value).over(inside), "next_at": F.lead("at").over(inside)})
         none = F.lit(None).cast(df.schema[block].dataType)
         return after.where("next_at is not null").withColumns({block: none, f"next_{block}": none}).select(*shape)
@@ -128,7 +128,7 @@ def consecutive_pairs(df: DataFrame, key: str, value: str, order: str, block: st
     def large(rows: DataFrame) -> DataFrame:
         steps = ranked(rows)
         here = F.struct(F.col(value), F.col(block), F.col("at"))
-        ends = steps.groupBy(key, block).agg(F.min_by(here, order).alias("_first"), F.max_by(here, order).alias("_last"))
+        ends = steps.groupBy(key, block).agg(F.min_by(here, "at").alias("_first"), F.max_by(here, "at").alias("_last"))
         after = F.lead("_first").over(W.partitionBy(key).orderBy(block)).alias("_next")
         bridges = ends.select(key, F.col(f"_last.{value}").alias(value), block, F.col("_last.at").alias("at"), after)
         return shaped(steps).unionByName(shaped(bridges))
