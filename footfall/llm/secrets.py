@@ -3,7 +3,11 @@
 Three patterns give the base spans, which always stay. The field tags the pieces of the text (runs of letters and digits,
 single signs) as secret begin, inside or outside, from their shape, the words near them and features of the whole file; Viterbi
 decodes the best tagging. It is fitted by maximum likelihood on a bounded sample of documents (``TRAIN_DOCUMENTS``) of the whole
-table, with base spans and without, and tags every document whole. What it finds beside the base spans is added under the kind ``secret``.
+table, with base spans and without; its chains there are the stretches round digits and ``=`` (``crf.windows``). Tagged is every document
+whole: each line is one chain, of all its pieces. What is found beside the base spans is added under the kind ``secret``.
+
+Features and scores are computed for all pieces of a batch by arrays. Where a bound on all tags of the neighbours shows that every best tagging
+has the outside label, the chain falls apart; the stretches between are decoded in step. The tagging is that of the whole chains.
 
 Null and empty texts have no spans. Without any sample (empty table, or nothing labelled) the field adds nothing. Repeated
 rows give repeated rows.
@@ -14,12 +18,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from footfall.llm.common import map_batches
-from footfall.llm.crf import PIECE, TOKEN, TRAIN_PIECES, adam, labelled_sample, log_sum, stretch, windows
+from footfall.llm.crf import PIECE, TRAIN_PIECES, adam, labelled_sample, log_sum, stretch, windows
 
 KINDS = ("assign", "access", "hex", "secret")
 ASSIGN = re.compile(
@@ -47,6 +53,11 @@ FEATURES = (
     "file_assigns file_keyword file_braces first_in_window alone"
 ).split()
 _ID = {name: k for k, name in enumerate(FEATURES)}
+KEYWORDS = ("pass", "password", "passwd", "passphrase", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
+# Characters of texts whose pieces are looked at together; a longer text is a batch of its own.
+BATCH_CHARS = 1 << 20
+# Bits of the kinds of a character.
+_LETTER, _UPPER, _DIGIT, _HEX, _SPACE, _DIGIT_LIKE = 1, 2, 4, 8, 16, 32
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -124,6 +135,112 @@ def window_pieces(text: str, start: int, end: int, file: list[int]) -> tuple[lis
     return places, features
 
 
+class Pieces(NamedTuple):
+    """All pieces of some texts: places in their texts, active features (a bit for each), number of the text, and the first of each line."""
+
+    start: np.ndarray
+    end: np.ndarray
+    features: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+
+
+@cache
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(0x110000, np.uint8)
+    for at in range(0x110000):
+        c = chr(at)
+        if at < 128:
+            kinds[at] = _LETTER * c.isalpha() + _UPPER * c.isupper() + _DIGIT * c.isdigit() + _HEX * (c in "0123456789abcdefABCDEF")
+        kinds[at] += _SPACE * c.isspace() + _DIGIT_LIKE * c.isdigit()
+    return kinds
+
+
+@cache
+def _keyword_shapes() -> np.ndarray:
+    """Whether a keyword has this length, first and last character."""
+    shapes = np.zeros((16, 128, 128), bool)
+    for word in KEYWORDS:
+        for a in (word[0], word[0].upper()):
+            for b in (word[-1], word[-1].upper()):
+                shapes[len(word), ord(a), ord(b)] = True
+    return shapes
+
+
+def _shifted(marks: np.ndarray, by: int, same: np.ndarray) -> np.ndarray:
+    """The marks of the pieces ``by`` places before (after, if negative), false where those are of another line."""
+    out = np.zeros_like(marks)
+    if by > 0:
+        out[by:] = marks[:-by] & (same[by:] == same[:-by])
+    else:
+        out[:by] = marks[-by:] & (same[:by] == same[-by:])
+    return out
+
+
+def pieces_of(texts: list[str]) -> Pieces:
+    """What ``window_pieces`` finds in every line of every text, by arrays."""
+    joined = "\n".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds()[codes]
+    word = (kinds & (_LETTER | _DIGIT)) > 0
+    after_word = np.append(False, word[:-1]) if len(word) else word
+    start = np.flatnonzero(((kinds & _SPACE) == 0) & ~(word & after_word))
+    is_word = word[start]
+    breaks = np.flatnonzero(~word)
+    end = start + 1
+    if is_word.any():
+        stops = np.append(breaks, len(codes))
+        end = np.where(is_word, stops[np.searchsorted(stops, start)], end)
+
+    def held(marks: np.ndarray) -> np.ndarray:
+        upto = np.append(0, np.cumsum(marks))
+        return upto[end] - upto[start]
+
+    n = end - start
+    digits, letters = held((kinds & _DIGIT) > 0), held((kinds & _LETTER) > 0)
+    upper, hexes = held((kinds & _UPPER) > 0), held((kinds & _HEX) > 0)
+    is_digit = (kinds & _DIGIT) > 0
+    changes = np.append(0, np.cumsum(is_digit[1:] != is_digit[:-1])) if len(codes) else np.zeros(0, np.int64)
+    turns = changes[end - 1] - changes[start] if len(start) else start
+    mixed = is_word & (digits > 0) & (letters > 0)
+    line = np.append(0, np.cumsum(codes == 10))[start]
+    sign = np.where(is_word, 0, codes[start]) if len(start) else start
+    quote, assigns, dot = (sign == 34) | (sign == 39), (sign == 61) | (sign == 58), sign == 46
+    all_digits = np.where(is_word, digits == n, (kinds[start] & _DIGIT_LIKE) > 0)
+    shaped = is_word & (n < 16)
+    shaped[shaped] = _keyword_shapes()[n[shaped], codes[start[shaped]], codes[end[shaped] - 1]]
+    keyword = shaped
+    for k in np.flatnonzero(shaped):
+        keyword[k] = joined[start[k] : end[k]].lower() in KEYWORDS
+    akia = is_word & (n >= 4) & (codes[start] == 65)
+    for k in np.flatnonzero(akia):
+        akia[k] = joined.startswith("AKIA", start[k])
+    blank = np.append((kinds & _SPACE) > 0, True)
+    first = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, bool)
+    own = {
+        "bias": np.ones(len(start), bool), "letters": is_word & (digits == 0), "digits": is_word & (letters == 0),
+        "sign": ~is_word & ~quote & ~assigns, "quote": quote, "assigns": assigns,
+        "upper": mixed & (upper == letters), "lower": mixed & (upper == 0), "mixed": mixed, "hex": mixed & (n >= 12) & (hexes == n),
+        "akia": akia, "len1_5": is_word & (n < 6), "len6_11": is_word & (n >= 6) & (n < 12), "len12_19": is_word & (n >= 12) & (n < 20),
+        "len20_31": is_word & (n >= 20) & (n < 32), "len32": is_word & (n >= 32), "turns4": mixed & (turns >= 4), "turns8": mixed & (turns >= 8),
+        "keyword_near": np.logical_or.reduce([_shifted(keyword, by, line) for by in (1, 2, 3, 4)]), "keyword_here": keyword,
+        "assigns_before": _shifted(assigns, 1, line) | _shifted(assigns, 2, line),
+        "quote_before": _shifted(quote, 1, line), "quote_after": _shifted(quote, -1, line),
+        "dots_near": _shifted(dot, 1, line) | _shifted(dot, -1, line),
+        "digit_neighbour": _shifted(all_digits, 1, line) | _shifted(all_digits, -1, line),
+        "first_in_window": first, "alone": blank[start - 1] & blank[end],
+    }
+    features = np.zeros(len(start), np.int32)
+    for name, marks in own.items():
+        features |= marks.astype(np.int32) << _ID[name]
+    lengths = np.array([len(t) + 1 for t in texts])
+    borders = np.cumsum(lengths)
+    text = np.searchsorted(borders, start, "right")
+    features |= np.array([sum(1 << f for f in file_features(t)) for t in texts], np.int32)[text]
+    begins = borders - lengths
+    return Pieces(start - begins[text], end - begins[text], features, text, first)
+
+
 def labelled(text: str) -> list[tuple[list[list[int]], list[int]]] | None:
     """Windows of a text with the tags that its base spans give; the value of an assignment counts, not its keyword."""
     values = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if "=" in text or ":" in text else []
@@ -174,6 +291,65 @@ class Chain:
             tags.append(int(choice[tags[-1]]))
         return tags[::-1], scores
 
+    def scores_of(self, features: np.ndarray) -> np.ndarray:
+        """The same of features held as bits, by sums for all values of half of the bits."""
+        half = (len(self.emit) + 1) // 2
+        total = 0.0
+        for emit, bits in ((self.emit[:half], features & ((1 << half) - 1)), (self.emit[half:], features >> half)):
+            sums = np.zeros((1, 3))
+            for row in emit:
+                sums = np.concatenate([sums, sums + row])
+            total = total + sums[bits]
+        return total
+
+    def open(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Pieces for which it is not certain that every best tagging of their lines has the outside label.
+
+        Certain is where any other label, whatever its neighbours' labels, loses against the outside one; a piece inside that follows
+        then becomes a begin.
+        """
+        if not len(scores):
+            return first
+        last = np.append(first[1:], True)
+        to_begin = np.append(scores[1:, BEGIN] - scores[1:, INSIDE], 0.0)
+        begun = min(0.0, (self.move[BEGIN] - self.move[INSIDE]).min())
+        uncertain = np.zeros(len(scores), bool)
+        for tag in (BEGIN, INSIDE):
+            before = np.where(first, self.start[OUT] - self.start[tag], (self.move[:, OUT] - self.move[:, tag]).min())
+            plain = min(self.move[OUT, OUT] - self.move[tag, OUT], self.move[OUT, BEGIN] - self.move[tag, BEGIN])
+            moved = to_begin + self.move[OUT, BEGIN] - self.move[tag, INSIDE] + begun
+            after = np.where(last, 0.0, np.minimum(plain, moved))
+            uncertain |= scores[:, OUT] - scores[:, tag] + before + after <= 1e-6
+        return uncertain
+
+    def tag_lines(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best tags of the pieces of many lines; ``first`` marks where one begins. Open stretches are decoded in step."""
+        tags = np.full(len(scores), OUT, np.int8)
+        held = self.open(scores, first)
+        begins = np.flatnonzero(held & (first | ~np.append(False, held[:-1])))
+        if not len(begins):
+            return tags
+        ends = np.flatnonzero(held & np.append(first[1:] | ~held[1:], True)) + 1
+        order = np.argsort(begins - ends, kind="stable")
+        begins, sizes = begins[order], (ends - begins)[order]
+        best = np.where(first[begins][:, None], self.start, self.move[OUT]) + scores[begins]
+        back = np.zeros((len(scores), 3), np.int8)
+        # Stretches by falling length: those that go on at a step are the first ones.
+        going = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        for step in range(1, sizes[0]):
+            k = going[step]
+            total = best[:k, :, None] + self.move
+            at = begins[:k] + step
+            back[at] = total.argmax(axis=1)
+            best[:k] = total.max(axis=1) + scores[at]
+        follows = np.append(~first[1:], False)[begins + sizes - 1]
+        best += np.where(follows[:, None], self.move[:, OUT], 0.0)
+        tags[begins + sizes - 1] = best.argmax(axis=1)
+        for step in range(sizes[0] - 1, 0, -1):
+            at = begins[: going[step]] + step
+            tags[at - 1] = back[at, tags[at]]
+        return tags
+
 
 def fit(windows_of: list[tuple[list[list[int]], list[int]]], longest: int = LONGEST) -> Chain | None:
     """Maximum likelihood with a square penalty; forward and backward sums run over all windows in step."""
@@ -223,34 +399,39 @@ def fit(windows_of: list[tuple[list[list[int]], list[int]]], longest: int = LONG
 
 def spans(text: str, chain: Chain | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a text as ``start, kind number, end``."""
-    base = base_spans(text)
+    return spans_of([text], chain)[0]
+
+
+def spans_of(texts: list[str], chain: Chain | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """The same of many texts, all pieces of which are tagged together."""
+    bases = [base_spans(text) for text in texts]
     if chain is None:
-        return base, base
-    added = []
-    file = None
-    for start, end in windows(text, SITE, REACH):
-        # Only a window with a piece of some length and a digit can hold more than its base spans.
-        if not any(len(t) >= 8 for t in TOKEN.findall(text, start, end)):
-            continue
-        file = file_features(text) if file is None else file
-        places, features = window_pieces(text, start, end, file)
-        if not places:
-            continue
-        tags, scores = chain.best(features)
-        i = 0
-        while i < len(tags):
-            if tags[i] == OUT:
-                i += 1
-                continue
-            j = i + 1
-            while j < len(tags) and tags[j] == INSIDE:
-                j += 1
-            a, b = places[i][0], places[j - 1][1]
-            sure = sum(scores[k, tags[k]] - scores[k, OUT] for k in range(i, j))
-            if b - a >= 8 and sure >= MARGIN and not any(u < b and a < v for u, _, v in base):
-                added.append((a, 3, b))
-            i = j
-    return base, sorted(base + added)
+        return [(base, base) for base in bases]
+    added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    pieces = pieces_of(texts)
+    scores = chain.scores_of(pieces.features)
+    tags = chain.tag_lines(scores, pieces.first)
+    for i in np.flatnonzero(tags == BEGIN).tolist():
+        j = i + 1
+        while j < len(tags) and tags[j] == INSIDE:
+            j += 1
+        a, b, text = int(pieces.start[i]), int(pieces.end[j - 1]), pieces.text[i]
+        sure = sum(scores[k, tags[k]] - scores[k, OUT] for k in range(i, j))
+        if b - a >= 8 and sure >= MARGIN and not any(u < b and a < v for u, _, v in bases[text]):
+            added[text].append((a, 3, b))
+    return [(base, sorted(base + more)) for base, more in zip(bases, added, strict=True)]
+
+
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > BATCH_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 def _joined(found: list[tuple[int, int, int]]) -> str:
@@ -263,7 +444,7 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for keys, texts in batches:
-            found = [spans(t or "", chain) for t in texts]
+            found = [f for part in _batches([t or "" for t in texts]) for f in spans_of(part, chain)]
             counts = [[sum(s[1] == kind for s in every) for _, every in found] for kind in range(4)]
             digests = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
             yield [keys, *counts, digests, [_joined(every) for _, every in found]]

@@ -190,6 +190,46 @@ def test_viterbi_is_the_best_path():
     assert value(tags) == max(value(p) for p in np.ndindex(3, 3, 3, 3))
 
 
+def _path_value(chain, scores, path):
+    moves = sum(chain.move[a, b] for a, b in zip(path, path[1:], strict=False))
+    return chain.start[path[0]] + sum(scores[i, t] for i, t in enumerate(path)) + moves
+
+
+def test_all_pieces_of_all_lines_are_tagged(texts):
+    odd = random_texts("tokenscr_ky=:'\" 0a1bfAKIA.\n\u00b2\u0663\u00a0\x1c", 300, 80, 6)
+    odd += ["", "\n", "a", "AKIA" + "Z" * 16, "PassWord: 'x'\n\n= key", "\u00b2 x", "passphrase" * 3]
+    read = [*texts, *odd]
+    pieces = secrets.pieces_of(read)
+    rng = np.random.default_rng(7)
+    emit = rng.normal(size=(len(secrets.FEATURES), 3)) + [0.5, 0.0, 0.0]
+    chain = secrets.Chain(emit, rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores = chain.scores_of(pieces.features)
+    tags, is_open, at = chain.tag_lines(scores, pieces.first), chain.open(scores, pieces.first), 0
+    for k, text in enumerate(read):
+        begin = 0
+        for line in text.split("\n"):
+            places, features = secrets.window_pieces(text, begin, begin + len(line), secrets.file_features(text))
+            part = slice(at, at + len(places))
+            assert list(zip(pieces.start[part].tolist(), pieces.end[part].tolist(), strict=True)) == places
+            assert [[k for k in range(len(secrets.FEATURES)) if f >> k & 1] for f in pieces.features[part].tolist()] == features and set(pieces.text[part].tolist()) <= {k}
+            if places:
+                best, own = chain.best(features)
+                # Other tags are as good where features repeat.
+                assert np.isclose(_path_value(chain, own, tags[part]), _path_value(chain, own, best), rtol=0, atol=1e-6)
+            at += len(places)
+            begin += len(line) + 1
+    assert at == len(tags) and 0 < is_open.sum() < len(tags)
+
+
+def test_secrets_far_from_digits_are_looked_at():
+    emit = np.zeros((len(secrets.FEATURES), 3))
+    emit[secrets.FEATURES.index("bias"), secrets.OUT] = 2.0
+    emit[secrets.FEATURES.index("len20_31"), secrets.BEGIN] = 9.0
+    text = "There is no number near the word qWbnRtZuiOpLkjHgFdSa in this line."
+    at = text.index("qWbn")
+    assert secrets.spans(text, secrets.Chain(emit, np.zeros((3, 3)), np.zeros(3))) == ([], [(at, 3, at + 20)])
+
+
 def test_field_finds_what_patterns_miss(texts):
     made = [w for t in [*texts, *SECRETS] for w in secrets.labelled(t) or []]
     chain = secrets.fit(made)
