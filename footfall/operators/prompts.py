@@ -25,28 +25,32 @@ IGNORED_LABEL = -100  # fixed value: label of a token that is not learned
 SEQUENCE_KEY = ["split", "uid", "seq_no"]
 
 
-# Places up to which a codebook is sent to every task: about 100 bytes each.
-SHIPPED_PLACES = 500_000
+# Places and different semantic ids up to which a codebook is sent to every task: 12 bytes for a place, about 100 for a semantic id.
+SHIPPED_PLACES = 2_000_000
+SHIPPED_SIDS = 250_000
 
 
 def sequence_to_sids(sequences: DataFrame, codebook: DataFrame) -> DataFrame:
     """Adds ``tokens`` and ``target_token``: semantic ids in visit order. A place without codes is an error.
 
-    A codebook of up to ``SHIPPED_PLACES`` places is sent to the tasks, which look its ids up in place, a batch of lists at a time:
-    nothing is shuffled. A larger one is joined.
+    A codebook of up to ``SHIPPED_PLACES`` places with up to ``SHIPPED_SIDS`` different ids is sent to the tasks, which look its ids up
+    in place, a batch of lists at a time: nothing is shuffled. Every id is sent once, and its number for each place. A larger one is joined.
     """
     sids = codebook.select("pid", sid_text(F.col("codes")).alias("sid"))
     held = sids.limit(SHIPPED_PLACES + 1).toArrow()
     if held.num_rows > SHIPPED_PLACES:
         return _joined_sids(sequences, sids)
-    pids, texts = held["pid"].combine_chunks(), held["sid"].combine_chunks()
+    coded = held["sid"].combine_chunks().dictionary_encode()
+    if len(coded.dictionary) > SHIPPED_SIDS:
+        return _joined_sids(sequences, sids)
+    pids, numbers, texts = held["pid"].combine_chunks(), coded.indices, coded.dictionary
     schema = T.StructType([*sequences.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("target_token", T.StringType())])
 
     def sids_of(places: pa.Array) -> pa.Array:
         at = pc.index_in(places, value_set=pids.cast(places.type))
         if at.null_count:
             raise ValueError(f"no codes for place {places.filter(at.is_null())[0]}")
-        return texts.take(at)
+        return texts.take(numbers.take(at))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

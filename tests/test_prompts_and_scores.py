@@ -49,6 +49,18 @@ def test_large_codebooks_are_joined(spark, monkeypatch):
     assert prompts.sequence_to_sids(df.where("uid < 0"), book).count() == 0
 
 
+def test_many_places_with_few_ids_are_not_joined(spark, monkeypatch):
+    book = spark.range(600_000).selectExpr("id as pid", "array(int(id % 4), int(id % 3)) as codes")
+    df = seqs(spark, [("train", 1, 0, [599_999, 7], ["a", "b"], 500_002, "c")])
+    held = prompts.sequence_to_sids(df, book)
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
+    assert held.first().tokens == ["<a_3><b_2>", "<a_3><b_1>"] and held.first().target_token == "<a_2><b_1>"
+    monkeypatch.setattr(prompts, "SHIPPED_SIDS", 3)
+    joined = prompts.sequence_to_sids(df, book.where("pid < 40 or pid > 500000"))
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.select("tokens", "target_token").collect() == held.select("tokens", "target_token").collect()
+
+
 def test_joined_places_are_looked_up_once_for_each_user(spark, monkeypatch):
     monkeypatch.setattr(prompts, "SHIPPED_PLACES", 3)
     book = spark.createDataFrame([(p, [p, p + 1]) for p in range(1, 8)], "pid int, codes array<int>")
