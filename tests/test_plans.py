@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.operators import cleaning, graph, profiles, prompts, quantizer, sequences, splits
-from footfall.plans import adapters
+from footfall.plans import adapters, catalog
+from footfall.session import scratch
 
 
 def plan_of(df) -> str:
@@ -37,6 +38,12 @@ def test_split_folders_prune(spark, sf_dir):
     assert re.search(r"PartitionFilters: \[[^\]]*part[^\]]*= train", plan)
 
 
+def test_predictions_write_no_split(spark, sf_dir):
+    with scratch(spark) as made:
+        assert catalog.CATALOG["top1_accuracy"](spark, sf_dir).count() > 0
+        assert made and not any("/split-" in path for path in made)
+
+
 def test_no_exchange_to_one_partition_on_visits(visits):
     """Only the split's per-bucket counts may meet in one task, never the visits themselves."""
     for df in (
