@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.geo import plus_code_region
 from footfall.functions.text import TIME_FORMAT
+from footfall.session import staged
 
 ORDER_COLUMNS = ["row_id", "row_block"]
 CLEAN_COLUMNS = ["uid", "pid", "catname", "region", "time", *ORDER_COLUMNS]
@@ -142,9 +143,10 @@ def frequency_filter(df: DataFrame, poi_min_freq: int = 10, user_min_freq: int =
     """Places with enough check-ins, then users with enough remaining ones. One pass, not a fixpoint.
 
     Counts are taken map-side and joined back, rather than by a window over the place: a place or user that holds
-    a large share of the rows is then never sorted by one task.
+    a large share of the rows is then never sorted by one task. The kept places are written first, so that Spark knows their size:
+    as long as it sends tables of that size to all tasks, the rows are not shuffled for them.
     """
-    places = df.groupBy("pid").agg(F.count("uid").alias("n")).where(F.col("n") >= poi_min_freq).select("pid")
+    places = staged(df.groupBy("pid").agg(F.count("uid").alias("n")).where(F.col("n") >= poi_min_freq).select("pid"), "places")
     kept = df.join(places, "pid", "left_semi")
     users = kept.groupBy("uid").agg(F.count("pid").alias("n")).where(F.col("n") >= user_min_freq).select("uid")
     return kept.join(users, "uid", "left_semi").select(*df.columns)

@@ -109,6 +109,14 @@ def test_recency_counts_rows_without_offset(spark):
     assert sorted(r[0] for r in got) == [2, 12]
 
 
+def test_rows_are_not_shuffled_for_few_places(spark):
+    df = spark.createDataFrame([(i % 7, i % 90, i) for i in range(3000)], "pid int, uid int, row_id int")
+    kept = cleaning.frequency_filter(df, 10, 10)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [pid" in plan and "SortMergeJoin [pid" not in plan
+    assert kept.count() == 3000
+
+
 def test_frequency_filter_is_one_pass(spark):
     # Place a has two visits, one by a user who is then dropped: a stays with one visit.
     rows = [("u1", "a"), ("u1", "b"), ("u1", "b"), ("u2", "a"), ("u2", "c"), (None, "b")]
