@@ -38,6 +38,8 @@ PLACE = (1 << PLACE_BITS) - 1
 # Rows of a range of keys, and the most ranges: their borders are one small row.
 RANGE_ROWS = 1_024
 MAX_RANGES = 16_384
+# Bits of the distances to a k-mer's first occurrence that are searched before all of them.
+NEAR_BITS = (3, 7)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,9 +85,9 @@ def _numbered(sorted_kmers: Column) -> Column:
 
 
 def _moved(by_digest: Column) -> Callable[[Column, Column], Column]:
-    def same(back: Column | int, x: Column, i: Column) -> Column:
-        # Null, so not true, before the first element.
-        return F.shiftright(F.get(by_digest, i - back).bitwiseXOR(x), PLACE_BITS) == 0
+    def same(x: Column, at: Column) -> Column:
+        # No element behind is smaller, so the digests are equal unless ``x`` lies beyond all places of that one; null before the first.
+        return x <= F.get(by_digest, at).bitwiseOR(F.lit(PLACE))
 
     def moved(x: Column, number: Column) -> Column:
         return (
@@ -93,16 +95,24 @@ def _moved(by_digest: Column) -> Callable[[Column, Column], Column]:
             .bitwiseAND(F.lit(~PLACE)).bitwiseOR(x.bitwiseAND(F.lit(PLACE)))
         )
 
-    def again(x: Column, i: Column) -> Column:
-        # Equal k-mers stand side by side, so the number is found by doubling steps back.
-        far = F.aggregate(
-            _powers(i),
-            F.lit(0),
-            lambda found, step: F.when(same(found + step, x, i), found + step).otherwise(found),
+    def far(x: Column, i: Column, steps: Column) -> Column:
+        # Equal k-mers stand side by side, so the first of them is found by halving steps, from the third one back.
+        first = F.aggregate(
+            steps, i - 3, lambda found, step: F.when(same(x, found - step), found - step).otherwise(found)
         )
-        return moved(x, F.when(same(3, x, i), far).when(same(2, x, i), F.lit(2)).otherwise(F.lit(1)))
-
-    return lambda x, i: F.when(same(1, x, i), again(x, i)).otherwise(x)
+        return i - first
+
+    def number(x: Column, i: Column) -> Column:
+        # Steps enough for the distance are tried in turn, as most k-mers come a few times only.
+        searched = far(x, i, _powers(i))
+        for bits in reversed(NEAR_BITS):
+            reach = 3 + (1 << bits)
+            searched = F.when(same(x, i - reach), searched).otherwise(
+                far(x, i, F.array(*[F.lit(1 << b) for b in reversed(range(bits))]))
+            )
+        return F.when(same(x, i - 2), F.when(same(x, i - 3), searched).otherwise(F.lit(2))).otherwise(F.lit(1))
+
+    return lambda x, i: F.when(same(x, i - 1), moved(x, number(x, i))).otherwise(x)
 
 
 def _slot(start: Column, held: Column) -> Column:

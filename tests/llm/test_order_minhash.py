@@ -84,6 +84,22 @@ def test_against_brute_force(spark, docs_of, small_texts, monkeypatch, range_row
     assert as_set(df.collect()) == as_set(brute_rows(small_texts))
 
 
+@pytest.mark.parametrize("near_bits", [(3, 7), (1, 2), ()])
+def test_numbers_of_repeated_kmers(docs_of, monkeypatch, near_bits):
+    monkeypatch.setattr(order_minhash, "NEAR_BITS", near_bits)
+    # So many occurrences that the search of each reach, and the one of all, meets its first and last number.
+    rows = [(n, "0123456789abcdef"[: 1 + n % 16] * n + "end of a text") for n in (*range(1, 16), 129, 130, 131, 132, 133, 300)]
+    rows += [(1_000 + n, "x" * (K + n)) for n in (0, 1, 2, 3, 9, 10, 11, 129, 130, 131, 132, 300)]
+    got = {r.doc_id: r.fingerprint for r in order_minhash.fingerprints(docs_of(rows)).collect()}
+    assert got == {key: "".join(f"{x:08x}" for x in brute_slots(text)) for key, text in rows}
+
+
+def test_near_repeats_are_searched_first(docs_of):
+    plan = order_minhash.fingerprints(docs_of([(1, "a text")]))._jdf.queryExecution().optimizedPlan().toString()
+    # Not only the powers of two of the whole distance, which are made anew for each k-mer.
+    assert "[4,2,1]" in plan and "[64,32,16,8,4,2,1]" in plan
+
+
 def test_single_row_and_empty_table(docs_of):
     one = order_minhash.edit_comparison(docs_of([(7, "only one text here")])).first()
     assert one.near_next == 1.0 and one.doc_id == 7
