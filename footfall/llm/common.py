@@ -56,16 +56,19 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
-def written_to(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written_to(df: DataFrame, name: str, rows_per_file: int = 0) -> tuple[DataFrame, str]:
     """``written``, and the folder."""
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to a fresh shared folder and reads it back: computed once, lineage cut, no local copy to lose."""
-    return written_to(df, name)[0]
+def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """Writes ``df`` to a fresh shared folder and reads it back: computed once, lineage cut, no local copy to lose.
+
+    With ``rows_per_file`` no file holds more rows, for tables of few large rows: a file is not split among tasks.
+    """
+    return written_to(df, name, rows_per_file)[0]
 
 
 def release(spark: SparkSession) -> None:

@@ -4,7 +4,9 @@ Equal vectors collapse to one node that carries the smallest of their ids, as ma
 shards of about ``SHARD`` by a digest, so shards stay of one size and their number grows with the table. A graph is built in batches:
 a greedy search from fixed entry nodes proposes neighbours, robust pruning keeps an edge only where no kept neighbour is closer by
 the factor ``alpha``, reverse edges are added and pruned alike; a first round uses ``alpha`` 1, a second ``ALPHA``. Blocks of queries
-meet every shard's graph and walk it with a beam; the shards' answers are merged and scored in double precision.
+meet every shard's graph and walk it with a beam; the shards' answers are merged and scored in double precision. Tasks read graphs and
+blocks from the written tables: copies of the queries for all shards would grow with queries times shards, in a shuffle or, where Spark
+takes them for a small table, in the driver that broadcasts them.
 
 Null vectors, empty ones, zero ones and those with null or non-finite components take no part, nor do rows without an
 id. Rows with equal id and vector count once; a query never finds its own id. Vectors of different lengths are searched apart. With
@@ -25,6 +27,10 @@ from footfall.llm.common import map_batches, written
 
 SHARD = 4_096
 QUERIES = 512
+# Graphs and blocks of queries in one file, which one task reads: the graphs are dealt to many tasks, and blocks of equal vectors, which
+# take little room in a file, do not all meet in one.
+FILE_GRAPHS = 4
+FILE_BLOCKS = 8
 DEGREE = 32
 ALPHA = 1.2
 BEAM = 64
@@ -234,13 +240,14 @@ def nearest(
     asked = written(clean(queries).withColumn("dim", F.size("vector")), "queries")
     shards = max(1, -(-nodes.count() // SHARD))
     blocks = max(1, -(-asked.count() // QUERIES))
-    graphs = written(shard_graphs(nodes, shards), "graphs")
-    block = (
+    graphs = written(shard_graphs(nodes, shards), "graphs", FILE_GRAPHS)
+    block = written(
         asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        .groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vector")).alias("asked"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vector")).alias("asked")),
+        "blocks", FILE_BLOCKS,
     )
-    tasks = block.repartition("shard", "block").join(graphs, ["dim", "shard"])
+    # Every task pairs some graphs with some blocks and reads both itself: nothing is copied, shuffled or sent by the driver.
+    tasks = graphs.join(block.hint("shuffle_replicate_nl"), "dim")
 
     def run(batches: Iterator[list[list]]) -> Iterator[list[list]]:
         for dims, *columns in batches:

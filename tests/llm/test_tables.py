@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -280,6 +281,32 @@ def test_nearest_odd_rows(spark):
     assert vector_graph.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_queries_are_not_copied_for_every_shard(spark, monkeypatch):
+    """Neither shuffled nor broadcast once per shard: the driver's memory and the shuffle would grow with queries times shards."""
+    monkeypatch.setattr(vector_graph, "SHARD", 8)
+    monkeypatch.setattr(vector_graph, "QUERIES", 5)
+    monkeypatch.setattr(vector_graph, "FILE_GRAPHS", 2)
+    monkeypatch.setattr(vector_graph, "FILE_BLOCKS", 1)
+    rng = np.random.default_rng(5)
+    # Two lengths, which meet only their like; ten equal queries in one block.
+    rows = [(i, [float(v) for v in rng.normal(size=2 + i % 2)]) for i in range(120)]
+    rows += [(1000 + i, [1.0, 2.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = vector_graph.nearest(df, df.where("vec_id % 3 = 0"), k=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastExchange" not in plan
+    # The one shuffle brings the answers to a query together.
+    assert len(re.findall(r"Exchange (\w+)\(", plan)) == 1 and re.search(r"Exchange hashpartitioning\(query_id#", plan)
+    want = {}
+    for q, x in rows:
+        if q % 3 == 0:
+            near = exact_nearest([r for r in rows if len(r[1]) == len(x)], [(q, x)], 4)[q]
+            want.update({(q, n): (i, score) for n, (score, i) in enumerate(near, 1)})
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found.collect()}
+    assert {at: i for at, (i, _) in got.items()} == {at: i for at, (i, _) in want.items()}
+    assert all(got[at][1] == pytest.approx(want[at][1], rel=1e-12, abs=1e-12) for at in want)
+
+
 # ---- pages ----
 
 
