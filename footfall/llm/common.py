@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,12 +70,6 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     return written_to(df, name, rows_per_file)[0]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs whose DataFrames are gone; it does so when the JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_written(spark: SparkSession, path: str) -> None:
     """Deletes a folder of ``written_to``, through the file system that it lies in."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

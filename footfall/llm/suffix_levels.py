@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.anchors import LENGTH, Pieces, cut
-from footfall.llm.common import map_batches, release, remove_written, written, written_to
+from footfall.llm.common import map_batches, remove_written, written, written_to
+from footfall.session import release
 
 BATCHES = 4
 # Text bytes whose suffixes one range of the arrays holds, about.

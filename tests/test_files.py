@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import gzip
 import json
 import random
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footfall.operators import graph
+from footfall.session import scratch
 from footfall.sources import checkins, instructions
 from footfall.sources.records import JsonObjects, QuotedLines, records
 
@@ -127,3 +129,26 @@ def test_array_files(spark, tmp_path, monkeypatch):
         assert json.load(f) == []
     splits = {r["split"]: r["count"] for r in instructions.read_instruction_folder(spark, str(tmp_path / "one")).groupBy("split").count().collect()}
     assert splits == {"train": 120}
+
+
+def test_compressed_array_files(spark, tmp_path, monkeypatch):
+    rows = examples(120, 4)
+    df = spark.createDataFrame([(i, *row.values()) for i, row in enumerate(rows)], "i int, instruction string, input string, output string")
+    for name, bound in (("one", None), ("many", 1_000)):
+        if bound:
+            monkeypatch.setattr(instructions, "ARRAY_FILE_BYTES", bound)
+        with scratch(spark) as made:
+            path = instructions.write_instruction_array(
+                df.repartition(5), str(tmp_path / name), "train", "codebook", order=["i"], compression="gzip", written=True
+            )
+            # Rows of a written table are not written once more.
+            assert not any("/records-" in folder for folder in made)
+        files = sorted((tmp_path / name / "train_codebook.json").glob("part-*"))
+        assert (len(files) > 3) == bool(bound) and all(f.name.endswith(".gz") for f in files)
+        assert [x for f in files for x in json.loads(gzip.decompress(f.read_bytes()))] == rows
+        back = instructions.read_instruction_arrays(spark, path).orderBy("row_id").collect()
+        assert [(r.instruction, r.input, r.output) for r in back] == [tuple(row.values()) for row in rows]
+    empty = instructions.write_instruction_array(df.where("i < 0"), str(tmp_path / "one"), "val", "codebook", order=["i"], compression="gzip")
+    assert instructions.read_instruction_arrays(spark, empty).count() == 0
+    splits = {r["split"]: r["count"] for r in instructions.read_instruction_folder(spark, str(tmp_path / "one")).groupBy("split").count().collect()}
+    assert splits == {"train": 120}
